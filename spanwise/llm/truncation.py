@@ -6,7 +6,7 @@ terminal punctuation are flagged, and so are values of other lengths that stop
 in mid-course; both unless the text ends with something whole.
 
 Whether an unpunctuated ending is whole is learned from all texts: how often
-its last token, after the same two or three tokens, ended a sentence or line
+its last token, after the same one to three tokens, ended a sentence or line
 elsewhere, against how often a sentence went on there or the token was only
 the beginning of a longer word. Closing remarks, log lines, readings and file
 names, which no full stop follows, show by closing several different texts.
@@ -72,7 +72,7 @@ def _code(tokens: list[str]) -> int:
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """text to (context, token, ends, goes), summed within each batch; contexts of three and of two tokens."""
+    """text to (context, token, ends, goes), summed within each batch; contexts of three, two and one tokens."""
     for pdf in batches:
         seen: dict[tuple[str, ...], list[int]] = {}  # kind, three tokens of context, token
         for text in pdf["text"]:
@@ -90,7 +90,7 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     x[i < len(padded) - 1] += 1
         rows: dict[tuple[int, str], list[int]] = {}
         for (kind, a, b, c, t), (e, g) in seen.items():
-            for context in (_code([kind, a, b, c]), _code([kind, b, c])):
+            for context in (_code([kind, a, b, c]), _code([kind, b, c]), _code([kind, c])):
                 x = rows.setdefault((context, t), [0, 0])
                 x[0] += e
                 x[1] += g
@@ -113,9 +113,9 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not tail:
                 continue
             p, kind = _padded(tail), _kind(tail)
-            out.append((i, source, len(text), len(text.encode()), broken, p[-1], _code([kind, *p[-4:-1]]), _code([kind, *p[-3:-1]]), _code(tail), xxhash.xxh64_intdigest(text) - (1 << 63)))
+            out.append((i, source, len(text), len(text.encode()), broken, p[-1], _code([kind, *p[-4:-1]]), _code([kind, *p[-3:-1]]), _code([kind, p[-2]]), _code(tail), xxhash.xxh64_intdigest(text) - (1 << 63)))
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "source", "chars", "bytes", "broken", "token", "context3", "context2", "tail", "body"])
+            yield pd.DataFrame(out, columns=["doc_id", "source", "chars", "bytes", "broken", "token", "context3", "context2", "context1", "tail", "body"])
 
 
 def length_limits(documents: DataFrame, least_share: float = 0.01, least_ratio: float = 8.0, slack_bytes: int = 3) -> DataFrame:
@@ -148,12 +148,12 @@ def truncated(documents: DataFrame, whole_share: float = 0.5, whole_share_at_lim
     source is one of its own; repeated ids give a row for each row.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(unify_source(F.col("source")), F.lit("")).alias("source"), "text").where("text is not null")
-    tails = docs.mapInPandas(_tails, "doc_id long, source string, chars int, bytes int, broken boolean, token string, context3 long, context2 long, tail long, body long")
+    tails = docs.mapInPandas(_tails, "doc_id long, source string, chars int, bytes int, broken boolean, token string, context3 long, context2 long, context1 long, tail long, body long")
     grams = docs.select("text").mapInPandas(_grams, "context long, token string, ends long, goes long").groupBy("context", "token").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
 
     # Copies of one text are one witness.
     closers = tails.groupBy("tail", "body").agg(F.lit(1).alias("one")).groupBy("tail").agg(F.count("*").alias("closing"))
-    asked = tails.select(F.col("context3").alias("context"), "token").unionByName(tails.select(F.col("context2").alias("context"), "token")).distinct()
+    asked = tails.select(F.explode(F.array("context3", "context2", "context1")).alias("context"), "token").distinct()
     same = F.col("g.token") == F.col("a.token")
     longer = ~same & F.startswith(F.col("g.token"), F.col("a.token")) & (F.col("a.token") != "9")
     stats = (
@@ -169,12 +169,14 @@ def truncated(documents: DataFrame, whole_share: float = 0.5, whole_share_at_lim
     named = lambda n: stats.select(F.col("context").alias(f"context{n}"), "token", F.col("ends").alias(f"ends{n}"), F.col("goes").alias(f"goes{n}"))
     judged = (
         tails.join(limits, "source", "left").join(closers, "tail")
-        .join(named(3), ["context3", "token"], "left").join(named(2), ["context2", "token"], "left")
-        .fillna(0, ["ends3", "goes3", "ends2", "goes2"])
+        .join(named(3), ["context3", "token"], "left").join(named(2), ["context2", "token"], "left").join(named(1), ["context1", "token"], "left")
+        .fillna(0, [f"{x}{n}" for n in (3, 2, 1) for x in ("ends", "goes")])
     )
-    close = F.col("ends3") + F.col("goes3") > 0
-    ended = F.when(close, F.col("ends3")).otherwise(F.col("ends2")) + F.col("closing") - 1
-    went_on = F.when(close, F.col("goes3")).otherwise(F.col("goes2"))
+    # The longest context that occurs elsewhere decides; a whole ending that closes several texts is longer than any.
+    known = lambda n: F.col(f"ends{n}") + F.col(f"goes{n}") > 0
+    decide = lambda x: F.when(known(3), F.col(f"{x}3")).when(F.col("closing") > 1, 0).when(known(2), F.col(f"{x}2")).otherwise(F.col(f"{x}1"))
+    ended = decide("ends") + F.col("closing") - 1
+    went_on = decide("goes")
     at_limit = F.coalesce((F.col("chars") == F.col("char_limit")), F.lit(False)) | F.coalesce(F.col("bytes") >= F.col("byte_limit") - slack_bytes, F.lit(False))
     judged = judged.select("doc_id", "source", "broken", at_limit.alias("at_limit"), ended.alias("ended"), went_on.alias("went_on"))
     share = F.when(F.col("at_limit"), whole_share_at_limit).otherwise(whole_share)
