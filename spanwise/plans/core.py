@@ -9,6 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from spanwise.operators import proximity, quarantine
 from spanwise.session import table
 
+P2_SQL = """
+WITH d AS (
+  SELECT d.defect_id, i.structure_id, min(d.x_m) x, min(d.y_m) y, min(d.z_m) z
+  FROM defects d JOIN inspections i USING (inspection_id)
+  WHERE d.coordinate_frame = 'map' AND NOT (d.x_m = 0 AND d.y_m = 0 AND d.z_m = 0)
+    AND NOT isnan(d.x_m) AND NOT isnan(d.y_m) AND NOT isnan(d.z_m)
+  GROUP BY d.defect_id, i.structure_id)
+SELECT a.defect_id AS defect_id_a, b.defect_id AS defect_id_b
+FROM d a JOIN d b ON a.structure_id = b.structure_id AND a.defect_id < b.defect_id
+WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.25
+"""
+
+P7_BOXES_SQL = r"""
+WITH r AS (
+  SELECT line_id, file_name, line_no, string_split_regex(trim(regexp_replace(line, '\r$', ''), ' ' || chr(9)), '[ \t]+') AS f
+  FROM raw_lines WHERE feed = 'boxes'),
+v AS (
+  SELECT line_id, file_name, line_no, f[1] AS c,
+    [CASE WHEN regexp_full_match(s, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(s AS DOUBLE) END FOR s IN f[2:5]] AS n
+  FROM r WHERE len(f) = 5)
+SELECT line_id, file_name, line_no, CAST(c AS INTEGER) AS class_id, n[1] AS x, n[2] AS y, n[3] AS width, n[4] AS height
+FROM v WHERE regexp_full_match(c, '[0-5]') AND n[1] BETWEEN 0 AND 1 AND n[2] BETWEEN 0 AND 1 AND n[3] > 0 AND n[3] <= 1 AND n[4] > 0 AND n[4] <= 1
+""".replace("\\\\", "\\")
+
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = proximity.near_defects(table(spark, sf, "defects"), table(spark, sf, "inspections"))
@@ -29,3 +53,7 @@ def p7_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p7_found, p7_results, p7_boxes)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p2_found": P2_SQL, "p7_boxes": P7_BOXES_SQL}
