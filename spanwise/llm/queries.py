@@ -10,6 +10,75 @@ from spanwise.llm import components, cross_split, eval_leaks, grouped_splits, mi
 from spanwise.session import table
 
 
+#: Equivalents for queries that SQL can express on whole tables.
+P3_SQL = """
+WITH e AS (SELECT sample_id, lower(trim(run_id)) r, timestamp_ns t FROM trajectory_est WHERE run_id IS NOT NULL AND timestamp_ns IS NOT NULL AND timestamp_ns <> 0),
+g AS (SELECT lower(trim(run_id)) r, timestamp_ns t, min(sample_id) id FROM trajectory_gt WHERE run_id IS NOT NULL AND timestamp_ns IS NOT NULL AND timestamp_ns <> 0 GROUP BY 1, 2),
+lo AS (SELECT e.sample_id, e.t et, g.t, g.id FROM e ASOF JOIN g ON e.r = g.r AND e.t >= g.t),
+hi AS (SELECT e.sample_id, e.t et, g.t, g.id FROM e ASOF JOIN g ON e.r = g.r AND e.t <= g.t),
+c AS (SELECT *, abs(et - t) d FROM (SELECT * FROM lo UNION ALL SELECT * FROM hi))
+SELECT sample_id AS est_sample_id, arg_min(id, (d, t, id)) AS gt_sample_id FROM c WHERE d <= 50000000 GROUP BY sample_id
+"""
+
+_UNKNOWN = "('null','none','nil','n/a','na','nan','nat','unknown','unk','undefined','unset','missing','not available','tbd','tba','?','??','???','-','--','---','.','_','#n/a')"
+P4_SQL = f"""
+WITH g AS (
+  SELECT upper(trim(duplicate_group_id)) k, record_id, recorded_at, coalesce(trim(inclusion_reason), '') <> '' AND coalesce(trim(exclusion_reason), '') = '' AS inc,
+    coalesce(trim(label_relative_path) <> '' AND lower(trim(label_relative_path)) NOT IN {_UNKNOWN}, false) AS label_relative_path,
+    coalesce(annotation_count >= 0, false) AS annotation_count,
+    coalesce(trim(class_ids) <> '' AND lower(trim(class_ids)) NOT IN {_UNKNOWN}, false) AS class_ids,
+    coalesce(width >= 1, false) AS width, coalesce(height >= 1, false) AS height
+  FROM gyu_det_v3_baseline_v1 WHERE trim(duplicate_group_id) <> ''),
+m AS (SELECT *, label_relative_path::int + annotation_count::int + class_ids::int + width::int + height::int AS n FROM g QUALIFY count(*) OVER (PARTITION BY k) > 1),
+l AS (
+  SELECT k, record_id, recorded_at, inc, n, unnest(['record','label_relative_path','annotation_count','class_ids','width','height']) AS field_name,
+    unnest([true, label_relative_path, annotation_count, class_ids, width, height]) AS ok FROM m)
+SELECT k AS duplicate_group_id, field_name, record_id FROM l WHERE ok
+QUALIFY row_number() OVER (PARTITION BY k, field_name ORDER BY inc DESC, n DESC, recorded_at DESC NULLS LAST, record_id) = 1
+"""
+
+_SPLIT = "CASE WHEN lower(trim({0})) IN ('train','training') THEN 'train' WHEN lower(trim({0})) IN ('valid','val','validation') THEN 'valid' WHEN lower(trim({0})) IN ('test','testing') THEN 'test' END"
+P5_SQL = f"""
+WITH RECURSIVE m AS (SELECT {_SPLIT.format("split")} s, lower(trim(image_filename)) n, min(image_id) id FROM manifest GROUP BY 1, 2),
+e AS (
+  SELECT DISTINCT a.id a, b.id b FROM leakage_review r
+  JOIN m a ON a.s = {_SPLIT.format("r.split_a")} AND a.n = lower(trim(r.image_a))
+  JOIN m b ON b.s = {_SPLIT.format("r.split_b")} AND b.n = lower(trim(r.image_b))
+  WHERE r.human_outcome <> 'REJECT_LEAKAGE_CANDIDATE' AND r.review_authorized AND a.id <> b.id),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w(id, l) AS (SELECT a, a FROM u UNION SELECT u.b, w.l FROM w JOIN u ON u.a = w.id WHERE w.l < u.b)
+SELECT id AS image_id, min(l) AS group_id FROM w GROUP BY id
+"""
+
+P6_SQL = f"""
+SELECT lower(trim(leakage_group_id)) AS leakage_group_id FROM gyu_det_v3_baseline_v1
+WHERE trim(leakage_group_id) <> '' GROUP BY 1 HAVING count(DISTINCT {_SPLIT.format("processed_split")}) > 1
+"""
+
+P1_SQL = f"""
+WITH m AS (
+  SELECT image_id, {_SPLIT.format("split")} s, lower(trim(image_sha256)) sha, regexp_replace(lower(trim(perceptual_hash)), '^0x', '') h
+  FROM manifest WHERE file_size_bytes > 0),
+b AS (
+  SELECT *, CASE WHEN regexp_full_match(h, '[0-9a-f]{{32}}') THEN ('0x' || h[1:16])::UBIGINT END hi, CASE WHEN regexp_full_match(h, '[0-9a-f]{{32}}') THEN ('0x' || h[17:32])::UBIGINT END lo FROM m),
+c AS (SELECT *, bit_count(hi::BIT) + bit_count(lo::BIT) n FROM b),
+p AS (
+  SELECT t.image_id t, e.image_id e FROM c t JOIN c e ON t.sha = e.sha WHERE t.s = 'train' AND e.s IN ('valid', 'test')
+  UNION
+  SELECT t.image_id, e.image_id FROM c t, c e WHERE t.s = 'train' AND e.s IN ('valid', 'test') AND t.n BETWEEN 9 AND 119 AND e.n BETWEEN 9 AND 119
+    AND bit_count(xor(t.hi, e.hi)::BIT) + bit_count(xor(t.lo, e.lo)::BIT) <= 12)
+SELECT least(t, e) AS image_id_a, greatest(t, e) AS image_id_b FROM p
+"""
+
+P8_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM eval_items),
+dw AS (SELECT doc_id, unnest([array_to_string(w[k:k+12], ' ') FOR k IN range(1, len(w) - 11)]) x FROM d WHERE len(w) >= 13),
+iw AS (SELECT item_id, unnest([array_to_string(w[k:k+12], ' ') FOR k IN range(1, len(w) - 11)]) x FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)
+"""
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = cross_split.cross_split_pairs(table(spark, sf, "manifest"))
     return pairs.select("image_id_a", "image_id_b")
@@ -75,3 +144,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_report, p3_found, p4_found, p4_records, p5_found, p6_found, p6_splits, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_rates)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
