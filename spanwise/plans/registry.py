@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.plans import core
+from spanwise.plans import core, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**core.queries()}
+    return {**reference.queries(), **core.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core.oracle_sql()}
+    return {**reference.oracle_sql(), **core.oracle_sql()}
