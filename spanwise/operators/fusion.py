@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 import math
 import uuid
 from dataclasses import dataclass, field
@@ -100,6 +100,27 @@ class State:
         return decision, defect.defect_id
 
 
+    def to_json(self) -> str:
+        """Canonical text of the state: sorted keys, stamps in ISO form, exact partial sums."""
+        defects = {k: {"n": d.n, "parts": d.parts, "tracks": d.tracks, "first": pd.Timestamp(d.first).isoformat(), "last": pd.Timestamp(d.last).isoformat()} for k, d in self.defects.items()}
+        return json.dumps({"defects": defects, "seen": self.seen}, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> State:
+        """The state of to_json; other keys, a count that isn't its observations' or an unknown defect are errors."""
+        raw = json.loads(text)
+        if set(raw) != {"defects", "seen"}:
+            raise ValueError("unknown or missing keys")
+        state = cls(seen={k: (f, d) for k, (f, d) in raw["seen"].items()})
+        for k, d in raw["defects"].items():
+            if set(d) != {"n", "parts", "tracks", "first", "last"} or d["n"] != sum(own == k for _, own in state.seen.values()):
+                raise ValueError(f"inconsistent defect {k}")
+            state.defects[k] = Defect(k, d["n"], d["parts"], d["tracks"], pd.Timestamp(d["first"]), pd.Timestamp(d["last"]))
+        if any(own not in state.defects for _, own in state.seen.values()):
+            raise ValueError("observations of unknown defects")
+        return state
+
+
 def rows_of(pdf: pd.DataFrame) -> list[dict]:
     rows = pdf.sort_values("seq", kind="stable").to_dict("records")
     for r in rows:
