@@ -17,12 +17,12 @@ UNKNOWN_MARKS = (
     "missing", "not available", "tbd", "tba", "?", "??", "???", "-", "--", "---", ".", "_", "#n/a",
 )
 
-_BLANKS = r"^[\s ]+|[\s ]+$"
+_BLANKS = " \t\n\r\x0b\x0c\u0085\u00a0\u2007\u202f\u3000\ufeff"
 
 
 def trimmed(c: Column) -> Column:
     """Without surrounding blanks of any kind."""
-    return F.regexp_replace(c, _BLANKS, "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def plain(c: Column) -> Column:
@@ -55,8 +55,10 @@ def filled(c: Column) -> Column:
 
 def hex_text(c: Column, digits: int) -> Column:
     """Lower-case hex digits without blanks and 0x; null unless exactly `digits` long."""
-    h = F.regexp_replace(plain(c), "^0x", "")
-    return F.when(h.rlike(f"^[0-9a-f]{{{digits}}}$"), h)
+    p = plain(c)
+    h = F.when(F.startswith(p, F.lit("0x")), F.substring(p, 3, digits + 1)).otherwise(p)
+    only_hex = (F.length(h) == digits) & (F.translate(h, "0123456789abcdef", "") == "")
+    return F.when(only_hex, h)
 
 
 def hex_long(h: Column, start: int) -> Column:
