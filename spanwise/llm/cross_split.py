@@ -212,12 +212,13 @@ def prepared(manifest: DataFrame) -> DataFrame:
     sha and hi/lo are null where the hash is missing or malformed; `telling`
     is false for hashes of (nearly) one colour, which match nothing.
     """
-    perceptual = hex_text(F.col("perceptual_hash"), 32)
     ones = F.bit_count("hi") + F.bit_count("lo")
+    # Step by step: an expression used twice is not worked out twice.
     return (
         manifest.where("file_size_bytes > 0")
-        .select("image_id", unify_split(F.col("split")).alias("split"), plain(F.col("source")).alias("source"), hex_text(F.col("image_sha256"), 64).alias("sha"), hex_long(perceptual, 1).alias("hi"), hex_long(perceptual, 17).alias("lo"))
+        .select("image_id", unify_split(F.col("split")).alias("split"), plain(F.col("source")).alias("source"), hex_text(F.col("image_sha256"), 64).alias("sha"), hex_text(F.col("perceptual_hash"), 32).alias("perceptual"))
         .where("split is not null")
+        .select("image_id", "split", "source", "sha", hex_long(F.col("perceptual"), 1).alias("hi"), hex_long(F.col("perceptual"), 17).alias("lo"))
         .withColumn("telling", F.coalesce((ones > 8) & (ones < 120), F.lit(False)))
     )
 
