@@ -62,17 +62,18 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, time: str, k
     rights, state = (x.repartition(n, "entity", "slot") for x in (rights, state))
     state = state.select("*", F.lit(None).cast("struct<distance:bigint,r_t:bigint,r_id:bigint>").alias("best"), F.lit(0).alias("rings"), F.lit(False).alias("done"))
 
+    # The bucket is worked out in the join itself, so that all rings read one shuffle of the right side.
+    same = (F.col("l.entity") == F.col("r.entity")) & (F.col("l.slot") == F.col("r.slot"))
     width, ring, last = first_width or -(-tolerance // 4), 0, False
     while not last:
         last, ring = width >= tolerance, ring + 1
         here = _floor("t", width)
         asked = state.select("*", F.explode_outer(F.when(~F.col("done"), F.array(here - 1, here, here + 1))).alias("bucket"))
-        offered = rights.select("*", _floor("r_t", width).alias("bucket"))
         gap = F.abs(F.col("r_t") - F.col("t"))
         match = F.when(gap <= tolerance, F.struct(gap.alias("distance"), F.col("r_t"), F.col("r_id")))
         state = (
-            asked.join(offered, ["entity", "slot", "bucket"], "left")
-            .groupBy("entity", "slot", "t")
+            asked.alias("l").join(rights.alias("r"), same & (F.col("l.bucket") == _floor("r_t", width)), "left")
+            .groupBy("l.entity", "l.slot", "t")
             .agg(F.first("best").alias("held"), F.min(match).alias("seen"), F.first("done").alias("done"), F.first("rings").alias("rings"))
         )
         edge = F.least(F.col("t") - (here - 1) * width, (here + 2) * width - F.col("t"))
