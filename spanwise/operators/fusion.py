@@ -39,13 +39,17 @@ class Defect:
     first: object = None
     last: object = None
 
-    def centre(self) -> tuple[float, float, float]:
+    def __post_init__(self) -> None:
+        self.centre = self._mean() if self.n else None
+
+    def _mean(self) -> tuple[float, ...]:
         return tuple(sum(self.parts[k]) / self.n + 0.0 for k in "xyz")
 
     def add(self, o: dict) -> None:
         self.n += 1
         for k, v in (("confidence", o["confidence"]), ("x", o["x_m"]), ("y", o["y_m"]), ("z", o["z_m"])):
             self.parts[k] = _partials(self.parts[k], float(v))
+        self.centre = self._mean()
         if o["track_id"] is not None:
             self.tracks[o["track_id"]] = self.tracks.get(o["track_id"], 0) + 1
         self.first = o["ts"] if self.first is None else min(self.first, o["ts"])
@@ -84,9 +88,9 @@ class State:
             if known[0] != o["fingerprint"]:
                 raise ReplayConflict(o["observation_id"])
             return "REPLAY", known[1]
-        best = None
+        best, at = None, (o["x_m"], o["y_m"], o["z_m"])
         for d in self.defects.values():
-            gap = math.dist(d.centre(), (o["x_m"], o["y_m"], o["z_m"]))
+            gap = math.dist(d.centre, at)
             if gap <= radius:
                 rank = (not (o["track_id"] is not None and o["track_id"] in d.tracks), gap, d.defect_id)
                 best = min(best, (rank, d), key=lambda x: x[0]) if best else (rank, d)
