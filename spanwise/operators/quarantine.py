@@ -61,7 +61,7 @@ def fields(line: Column) -> Column:
 
 
 def _bare(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t]+|[ \t]+\z", "")
+    return F.btrim(c, F.lit(" \t"))
 
 
 def _number(c: Column) -> Column:
@@ -73,7 +73,9 @@ def _number(c: Column) -> Column:
 def _parsed(rows: DataFrame, feed: str) -> DataFrame:
     """Adds `f` (fields), `ok_quotes`, `ok_count` and `v` (values, null where invalid)."""
     if feed == "results":
-        cut, names = F.when(quoted_well(F.col("line")), fields(F.col("line"))), RESULT_COLUMNS
+        # Most lines have no quote and need no quoting rules.
+        plain = ~F.contains("line", F.lit('"'))
+        cut, names = F.when(plain, F.split("line", ",", -1)).when(quoted_well(F.col("line")), fields(F.col("line"))), RESULT_COLUMNS
     else:
         cut, names = F.split(_bare(F.col("line")), r"[ \t]+", -1), BOX_COLUMNS
     # explode(array(x)) keeps the optimizer from copying x into every place that uses it.
