@@ -24,7 +24,6 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(r"[^\W_]+")
-_NAME_AFTER = re.compile(r"[^\W_][,;]?[ \t]+$")
 
 #: Unit words.
 UNITS = frozenset("mm cm dm m km µm um nm in ft yd mi mg g kg t lb oz ms s sec min h hr d °c c f k hz khz mhz ghz v mv kv a ma w kw mw n kn pa kpa mpa bar db px dpi l ml kb mb gb tb".split())
