@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanwise.functions import scalars as X
+from spanwise.session import cut
 
 
 def pair_unique(images: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,6 +99,120 @@ def hamming_neighbours(hashes: DataFrame, radius: int = 12, pieces: int = 13) ->
     return met.where(~earlier).select("id_a", "id_b", "distance")
 
 
+def slack_bands(radius: int, narrow: int = 14) -> list[tuple[int, int, int]]:
+    """(first bit, width, slack) of bands of 128 bits; slack + 1 adds up to radius + 1, so two hashes within it agree in a band but for its slack."""
+    near, exact = divmod(radius + 1, 2)
+    if not 1 <= near <= 20:
+        raise ValueError("radius from 1 to 40")
+    first, rest = exact * narrow, 128 - exact * narrow
+    cuts = [first + round(i * rest / near) for i in range(near + 1)]
+    # At most 20 bits of a band are used, which bounds a task's table of places.
+    return [(0, narrow, 0)] * exact + [(a, min(b - a, 20), 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def near_pairs(hashes: DataFrame, radius: int = 12, rows_per_shard: int = 131_072, rows_per_chunk: int = 400_000) -> DataFrame:
+    """Pairs (id_a, id_b, distance) within `radius` of 128 bits, as `hamming_neighbours`, for large radii; hashes: (id, hi, lo), distinct ids.
+
+    Bands of up to 20 bits that may differ in one bit meet far fewer pairs by
+    chance than radius + 1 exact ones. A hash travels to the shard of each band's
+    leading bits, its one-bit variants only by leading bit; those of the other
+    bits are looked up inside the task. Hot shards are split after counting.
+    """
+    bands = slack_bands(radius)
+    hashes = cut(hashes.where("id is not null and hi is not null and lo is not null").select("id", "hi", "lo"))
+    lead = min(max(1, math.ceil(math.log2(max(1, hashes.count()) / rows_per_shard))), min(w for _, w, _ in bands) - 4)
+
+    def prefix(start: int, width: int) -> Column:
+        """The leading bits of the band: its last `lead` bits, counted from the lowest of hi and then of lo."""
+        out = F.lit(0).cast("bigint")
+        for k in range(start + width - lead, start + width):
+            bit = F.shiftrightunsigned("hi" if k < 64 else "lo", k % 64).bitwiseAND(F.lit(1).cast("bigint"))
+            out = out.bitwiseOR(F.shiftleft(bit, k - (start + width - lead)))
+        return out
+
+    def routed(bent: bool) -> DataFrame:
+        keys = []
+        for i, (start, width, slack) in enumerate(bands):
+            key = prefix(start, width).bitwiseOR(F.lit(i << lead).cast("bigint"))
+            # Of two hashes that differ in a leading bit, the one without it travels to the other.
+            bits = [F.lit(1 << j).cast("bigint") for j in range(lead if bent and slack else 0)]
+            keys += [key, *(F.when(key.bitwiseAND(b) == 0, key.bitwiseOR(b)) for b in bits)]
+        return hashes.select("id", "hi", "lo", F.explode(F.array_compact(F.array(*(k.cast("int") for k in keys)))).alias("shard"))
+
+    # One row for each shard: a few hundred at most.
+    sizes = {r.shard: r["count"] for r in routed(True).groupBy("shard").count().collect()}
+    chunks = [max(1, math.ceil(sizes.get(s, 0) / rows_per_chunk)) for s in range(len(bands) << lead)]
+    count = F.element_at(F.array(*map(F.lit, chunks)), F.col("shard") + 1)
+    n = 2 * sum(chunks)
+    left = routed(True).withColumn("chunk", F.pmod(F.xxhash64("hi", "lo"), count).cast("int")).repartition(n, "shard", "chunk")
+    right = routed(False).withColumn("chunk", F.explode(F.sequence(F.lit(0), count - 1)))
+    # Both sides come from one table: fresh names keep a cogroup from mixing their columns.
+    right = right.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "hi", "lo", "shard", "chunk"))).repartition(n, "r_shard", "r_chunk")
+    return left.groupBy("shard", "chunk").cogroup(right.groupBy("r_shard", "r_chunk")).applyInPandas(_shard_pairs(bands, lead, radius), f"id_a {dict(hashes.dtypes)['id']}, id_b {dict(hashes.dtypes)['id']}, distance int")
+
+
+def _band_of(start: int, width: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    mask = np.uint64((1 << width) - 1)
+    if start >= 64:
+        return (lo >> np.uint64(start - 64)) & mask
+    out = hi >> np.uint64(start)
+    if start + width > 64:
+        out = out | (lo << np.uint64(64 - start))
+    return out & mask
+
+
+def _shard_pairs(bands: list[tuple[int, int, int]], lead: int, radius: int, block_pairs: int = 2_000_000):
+    def pairs(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            number = int(key[0]) >> lead
+            start, width, slack = bands[number]
+            tail = width - lead
+            split = lambda pdf, p: [pdf[f"{p}{c}"].to_numpy(np.int64).view(np.uint64) for c in ("hi", "lo")]
+            (ah, al), (bh, bl) = split(left, ""), split(right, "r_")
+            ai, bi = left["id"].to_numpy(), right["r_id"].to_numpy()
+            low = np.uint64((1 << tail) - 1)
+            values = _band_of(start, width, bh, bl) & low  # the shard's hashes all have its leading bits
+            order = np.argsort(values, kind="stable")
+            bh, bl, bi = bh[order], bl[order], bi[order]
+            begin = np.append(0, np.cumsum(np.bincount(values.astype(np.int64), minlength=1 << tail)))
+            own = _band_of(start, width, ah, al)
+            straight = (own >> np.uint64(tail)) == np.uint64(int(key[0]) & ((1 << lead) - 1))
+            own = own & low
+
+            def check(a: np.ndarray, b: np.ndarray) -> None:
+                once = ~straight[a] | (ai[a] < bi[b])  # a hash from another shard meets the other one here only
+                a, b = a[once], b[once]
+                gap_hi, gap_lo = ah[a] ^ bh[b], al[a] ^ bl[b]
+                distance = np.bitwise_count(gap_hi).astype(np.int32) + np.bitwise_count(gap_lo)
+                for i, (s, w, may) in enumerate(bands[:number]):  # a pair found by several bands is told once, by the first
+                    distance[np.bitwise_count(_band_of(s, w, gap_hi, gap_lo)) <= may] = 129
+                near = distance <= radius
+                x, y = ai[a[near]], bi[b[near]]
+                found.append(pd.DataFrame({"id_a": np.where(x < y, x, y), "id_b": np.where(x < y, y, x), "distance": distance[near]}))
+
+            for flip in [0, *(1 << j for j in range(tail))] if slack else [0]:
+                rows = np.arange(len(ai)) if flip == 0 else np.flatnonzero(straight)  # a leading bit flipped is the one that may
+                at = (own[rows] ^ np.uint64(flip)).astype(np.int64)
+                size = begin[at + 1] - begin[at]
+                rows, at, size = rows[size > 0], at[size > 0], size[size > 0]
+                ends, i = np.cumsum(size), 0
+                while i < len(rows):
+                    done = int(ends[i] - size[i])
+                    to = max(i + 1, int(np.searchsorted(ends, done + block_pairs, "right")))
+                    if size[i] > block_pairs:  # one value with very many hashes
+                        for k in range(int(begin[at[i]]), int(begin[at[i] + 1]), block_pairs):
+                            b = np.arange(k, min(k + block_pairs, int(begin[at[i] + 1])))
+                            check(np.full(len(b), rows[i]), b)
+                    else:
+                        n = size[i:to]
+                        check(np.repeat(rows[i:to], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at[i:to]], n))
+                    i = to
+        return pd.concat(found) if found else pd.DataFrame({"id_a": left["id"][:0], "id_b": left["id"][:0], "distance": np.zeros(0, np.int32)})
+
+    return pairs
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, change, changed): added, removed or changed rows, with the names of changed fields; keys are unique."""
     a = before.select(key, F.struct(*fields).alias("was"))

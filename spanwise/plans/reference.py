@@ -201,6 +201,11 @@ def exact_duplicates(spark, sf):
     return inventory.duplicate_classes(table(spark, sf, "manifest"), hex_text(F.col("image_sha256"), 64), "image_id", unify_split(F.col("split")))
 
 
+def telling_hashes(spark, sf) -> DataFrame:
+    h = table(spark, sf, "manifest").select("image_id", hex_text(F.col("perceptual_hash"), 32).alias("h")).where("h is not null").groupBy("h").agg(F.min("image_id").alias("id"))
+    return h.select("id", hex_long(F.col("h"), 1).alias("hi"), hex_long(F.col("h"), 17).alias("lo")).where("bit_count(hi) + bit_count(lo) between 9 and 119")
+
+
 @query("""
 WITH h AS (SELECT regexp_replace(lower(trim(perceptual_hash)), '^0x', '') h, min(image_id) id FROM manifest WHERE perceptual_hash IS NOT NULL GROUP BY 1),
 b AS (SELECT id, ('0x' || h[1:16])::UBIGINT hi, ('0x' || h[17:32])::UBIGINT lo FROM h),
@@ -209,9 +214,13 @@ SELECT a.id AS id_a, z.id AS id_b, (bit_count(xor(a.hi, z.hi)::BIT) + bit_count(
 FROM c a JOIN c z ON a.id < z.id WHERE a.n BETWEEN 9 AND 119 AND z.n BETWEEN 9 AND 119 AND bit_count(xor(a.hi, z.hi)::BIT) + bit_count(xor(a.lo, z.lo)::BIT) <= 4""")
 def near_hashes(spark, sf):
     """Distinct hashes, each standing for its smallest image id, within 4 bits."""
-    h = table(spark, sf, "manifest").select("image_id", hex_text(F.col("perceptual_hash"), 32).alias("h")).where("h is not null").groupBy("h").agg(F.min("image_id").alias("id"))
-    h = h.select("id", hex_long(F.col("h"), 1).alias("hi"), hex_long(F.col("h"), 17).alias("lo")).where("bit_count(hi) + bit_count(lo) between 9 and 119")
-    return inventory.hamming_neighbours(h, 4, 5)
+    return inventory.hamming_neighbours(telling_hashes(spark, sf), 4, 5)
+
+
+@query(_SQL["near_hashes"].replace("<= 4", "<= 12"))
+def near_hashes_12(spark, sf):
+    """Distinct hashes, each standing for its smallest image id, within the 12 bits of the reference's search."""
+    return inventory.near_pairs(telling_hashes(spark, sf), 12)
 
 
 @query(f"""

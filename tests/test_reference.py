@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions import geometry as G, scalars as X
 from spanwise.operators import detection as D, fusion as U, graph, inventory as I, store, trajectory as T, validate as V
+from spanwise.plans import reference
 from spanwise.sources import files
 from spanwise.streaming import fusion_stream as S
 
@@ -95,6 +96,29 @@ def test_hamming_neighbours_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("shard, chunk", [(131_072, 400_000), (8, 5)])
+def test_near_pairs_brute_force(spark, shard, chunk):
+    rng = np.random.default_rng(18)
+    base = [int.from_bytes(rng.bytes(16), "big") for _ in range(25)]
+    vals = base + [b ^ sum(1 << int(k) for k in rng.choice(128, size=int(rng.integers(1, 16)), replace=False)) for b in base for _ in range(6)]
+    vals += [base[0] ^ (0b11 << k) for k in range(0, 127, 3)]
+    sign = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(i, sign(v >> 64), sign(v & (2**64 - 1))) for i, v in enumerate(vals)] + [(9999, None, 1)], "id long, hi long, lo long")
+    for radius in (12, 5):
+        got = I.near_pairs(df, radius, shard, chunk).collect()
+        want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(vals) for j, b in enumerate(vals) if i < j and (a ^ b).bit_count() <= radius)
+        assert sorted(map(tuple, got)) == want
+    assert I.near_pairs(df.limit(0)).count() == 0
+
+
+def test_near_hashes_12_keeps_pairs_beyond_4_bits(spark, tmp_path):
+    v = 0x0123456789ABCDEF0123456789ABCDEF
+    rows = [(i, f"{v ^ ((1 << n) - 1):032x}") for i, n in enumerate((0, 4, 12, 25))]
+    spark.createDataFrame(rows, "image_id long, perceptual_hash string").write.parquet(str(tmp_path / "manifest.parquet"))
+    got = reference.queries()["near_hashes_12"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(0, 1, 4), (0, 2, 12), (1, 2, 8)}
+
+
 def observations(spark, rows):
     t0 = datetime(2026, 9, 16, 16)
     full = [(s, 1, o, 0, track, 0.5, x, 0.0, 0.0, t0 + timedelta(seconds=s)) for s, o, track, x in rows]
