@@ -125,29 +125,34 @@ def _windows_of(df: DataFrame, key: str, span: int) -> DataFrame:
 
 
 def _judge(doc: str, item: str, shifts: list[int], span: int) -> tuple[int, int, int]:
-    """(verbatim, template, slots): the longest run of equal words, of consistent slots, and how many slots differ there."""
+    """(verbatim, template, slots): the longest run of equal words, of consistent slots (one with replaced slots before one without), and how many slots differ there."""
     a, b = words_of(doc), words_of(item)
     an, bn = named(doc), named(item)
     verbatim = template = slots = 0
     for shift in shifts:
         run = 0
-        start, forth, back, differ = None, {}, {}, 0
-        for j in range(max(0, -shift), min(len(b), len(a) - shift)):
+        first = max(0, -shift)
+        start, forth, back, differ = first, {}, {}, [0]  # bindings with their last place; differing words so far
+        for j in range(first, min(len(b), len(a) - shift)):
             x, y = b[j], a[j + shift]
             run = run + 1 if x == y else 0
             verbatim = max(verbatim, run)
             kx, ky = (NAME if n else slot(w) for w, n in ((x, bn[j]), (y, an[j + shift])))
             fits = x == y or (kx == ky and kx in (NUMBER, UNIT, NAME))
-            consistent = fits and forth.get((kx, x), y) == y and back.get((kx, y), x) == x
-            if not consistent:
-                start, forth, back, differ = None, {}, {}, 0
-            if fits:
-                start = j if start is None else start
-                if kx in (NUMBER, UNIT, NAME):
-                    forth[kx, x], back[kx, y] = y, x
-                differ += x != y
-                if j - start + 1 > template:
-                    template, slots = j - start + 1, differ
+            differ.append(differ[-1] + (x != y))
+            if not fits:
+                start = j + 1
+                continue
+            # A conflict moves the start to just after the binding it conflicts with; places before the start don't count.
+            for known, word, other in ((forth, x, y), (back, y, x)):
+                value, place = known.get((kx, word), (other, -1))
+                if value != other:
+                    start = max(start, place + 1)
+            if kx in (NUMBER, UNIT, NAME):
+                forth[kx, x], back[kx, y] = (y, j), (x, j)
+            length, replaced = j - start + 1, differ[-1] - differ[start - first]
+            if (replaced > 0, length) > (slots > 0, template):
+                template, slots = length, replaced
     return verbatim, template, slots
 
 
@@ -156,7 +161,8 @@ def eval_leaks(documents: DataFrame, items: DataFrame, span: int = 13, broadcast
 
     kind is 'verbatim' where at least `span` consecutive words are equal, else
     'reparameterised' where as many agree but for consistently replaced
-    numbers, units and names. Null, empty and shorter texts give no row; a
+    numbers, units and names. template_words is the longest such run with a
+    replaced slot, or without one where there is none. Null, empty and shorter texts give no row; a
     repeated id counts as one document. The evaluation windows are broadcast
     only if counted to be at most `broadcast_windows`; else the join shuffles.
     """

@@ -143,6 +143,38 @@ def test_slots_must_be_consistent():
     assert eval_leaks._judge(bad, item, [0], 13)[1] < 13
 
 
+def longest_consistent(doc, item):
+    """Brute force on one diagonal: the words of the longest run with replaced slots that map one-to-one."""
+    a, b, best = eval_leaks.words_of(doc), eval_leaks.words_of(item), 0
+    kinds = (eval_leaks.NUMBER, eval_leaks.UNIT)
+    for s in range(len(b)):
+        for e in range(s + 1, min(len(a), len(b)) + 1):
+            pairs = list(zip(b[s:e], a[s:e]))
+            slots = {(eval_leaks.slot(x), x, y) for x, y in pairs if eval_leaks.slot(x) in kinds}
+            fits = all(x == y or eval_leaks.slot(x) == eval_leaks.slot(y) in kinds for x, y in pairs)
+            one = len(slots) == len({(k, x) for k, x, _ in slots}) == len({(k, y) for k, _, y in slots})
+            if fits and one and any(x != y for x, y in pairs):
+                best = max(best, e - s)
+    return best
+
+
+def test_a_conflict_drops_only_what_is_before_it(spark):
+    words = "5 crew men lift long beams over old piers and wait until 5 more boats come back here with sand for all the walls".split()
+    other = ["8", *words[1:12], "9", *words[13:]]
+    assert eval_leaks._judge(" ".join(other), " ".join(words), [0], 13)[1:] == (len(words) - 1, 1)
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        item = [str(rng.choice(["1", "2", "3", "mm", "cm", "the", "pier"])) for _ in range(24)]
+        doc = [str(rng.choice(["1", "2", "mm", "km"])) if rng.random() < 0.4 else w for w in item]
+        got = eval_leaks._judge(" ".join(doc), " ".join(item), [0], 13)
+        want = longest_consistent(" ".join(doc), " ".join(item))
+        assert (got[1], got[2] > 0) == (want, True) if want else got[2] == 0
+    item = "5 crew men lift long beams over old piers and wait until 5 more boats come back here with sand for all the walls"
+    docs = spark.createDataFrame([(1, item.replace("5", "8", 1).replace("5", "9", 1))], "doc_id long, text string")
+    items = spark.createDataFrame([(2, item)], "item_id long, text string")
+    assert [tuple(r)[:3] for r in eval_leaks.eval_leaks(docs, items).collect()] == [(1, 2, "reparameterised")]
+
+
 def test_mixture(spark):
     docs = [(i, ["Big Src", "big-src", "small"][0 if i < 300 else 1 if i < 500 else 2], "word " * (1 + i % 9)) for i in range(560)] + [(900, "small", None), (901, "small", ""), (902, "other", "x"), (903, None, "x")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("bucket", F.lit(0))
