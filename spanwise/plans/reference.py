@@ -266,6 +266,7 @@ w(threshold, image_id, class_id, k, pid, rid, used) AS (
 m AS (SELECT threshold, pid, rid FROM w WHERE rid IS NOT NULL)"""
 RANKED = "a AS (SELECT t.threshold, p.class_id, p.image_id, p.id, p.confidence, m.pid IS NOT NULL AS correct FROM p CROSS JOIN t LEFT JOIN m ON m.threshold = t.threshold AND m.pid = p.id), n AS (SELECT class_id, count(*) truths FROM r GROUP BY class_id)"
 THRESHOLDS = [0.5, 0.75]
+TEN = str(detection.IOU_THRESHOLDS)
 
 
 def detections(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -297,6 +298,19 @@ def average_precision(spark, sf):
     return d.withColumn("ap", r9("ap"))
 
 
+@query(_SQL["average_precision"].replace(str(THRESHOLDS), TEN))
+def average_precision_50_95(spark, sf):
+    """Average precision at the reference's ten thresholds."""
+    return detection.evaluate(*detections(spark, sf)).withColumn("ap", r9("ap"))
+
+
+@query(f"""WITH aps AS ({_SQL["average_precision_50_95"]})
+SELECT round(avg(ap) FILTER (threshold = 0.5::DOUBLE), 8) AS map50, round(avg(ap), 8) AS map50_95 FROM aps""")
+def mean_average_precision(spark, sf):
+    d = detection.map_over(average_precision_50_95(spark, sf))
+    return d.select(*(F.round(c, 8).alias(c) for c in ("map50", "map50_95")))
+
+
 @query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED},
 g AS (SELECT class_id, threshold, truths, count(*) FILTER (correct) tp, count(*) FILTER (NOT correct) fp FROM a JOIN n USING (class_id) GROUP BY ALL)
 SELECT class_id, threshold, tp, fp, truths - tp AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / truths, 9) AS recall, round(2 * tp / (tp + fp + truths), 9) AS f1, round(fp / 100, 9) AS fp_per_image FROM g""")

@@ -57,6 +57,35 @@ def test_greedy_match_takes_the_best_unused(spark):
     assert got == {(0.5, 1, 7), (0.5, 2, 8), (0.9, 1, 7)}
 
 
+def test_average_precision_at_all_ten_thresholds(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    lines = [(int(o), int(n), int(rng.integers(0, 50)), int(rng.integers(0, 50)), float(rng.integers(1, 9))) for o in range(120) for n in range(1, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    boxes = [(o * 10 + n, o // 40, s % 3, (p % 7, s % 5, p % 7 + 4 + q % 8, s % 5 + 4 + q % 6), p % 1000 / 1000) for o, n, p, s, q in lines]
+    guesses, truths = [b for b in boxes if b[0] % 10 % 2], [b for b in boxes if b[0] % 10 % 2 == 0]
+
+    def overlap(a, b):
+        both = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    want = {}
+    for t in [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]:
+        for c in range(3):
+            regions, used, curve, tp = [r for r in truths if r[2] == c], set(), [], 0
+            for k, p in enumerate(sorted((p for p in guesses if p[2] == c), key=lambda p: (-p[4], p[1], p[0])), 1):
+                best = min(((-overlap(p[3], r[3]), r[0]) for r in regions if r[1] == p[1] and r[0] not in used), default=(0, 0))
+                if -best[0] >= t:
+                    used.add(best[1])
+                    tp += 1
+                curve.append((tp / len(regions), tp / k))
+            want[c, t] = sum(max((p for r, p in curve if r >= k / 100), default=0.0) for k in range(101)) / 101
+    run = reference.queries()
+    got = {(r.class_id, r.threshold): r.ap for r in run["average_precision_50_95"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-8) and len(got) == 30
+    m = run["mean_average_precision"](spark, str(tmp_path)).first()
+    assert m.map50 == pytest.approx(np.mean([want[c, 0.5] for c in range(3)]), abs=1e-7) and m.map50_95 == pytest.approx(np.mean(list(want.values())), abs=1e-7)
+
+
 POSE = "run string, t long, sample_id long, x_m double, y_m double, z_m double, qx double, qy double, qz double, qw double"
 
 
