@@ -67,10 +67,11 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     target and actual share, tokens, uses, and the most often any document is used.
 
     Sources are unified in spelling. The budget is `total_tokens`, or else the
-    largest at which every source can meet its share within max_repeats; with a
-    larger one, short sources stop at max_repeats and the actual shares say so.
+    largest at which every source with tokens and repeats can meet its share
+    within max_repeats; with a larger one, short sources stop at max_repeats and the actual shares say so.
     Null and empty texts have no tokens and are not used; sources without a
-    target, with a null or negative one or without documents contribute nothing;
+    target, with a null or negative one, without tokens or repeats contribute nothing
+    and leave the others' shares in proportion;
     repeated rows are documents of their own. `slopes` tilts a source's weight
     from 1 - slope at the start to 1 + slope at the end; what the others leave
     at each time is their normalisation.
@@ -85,7 +86,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     # One row for each target source: the targets are a table of settings.
     supply = wanted.join(have, "source", "left").fillna(0, ["have", "docs"]).orderBy("source").collect()
     scale = sum(r["target"] for r in supply) or 1.0
-    limits = [r["repeats"] * r["have"] / (r["target"] / scale) for r in supply if r["target"] > 0]
+    limits = [r["repeats"] * r["have"] / (r["target"] / scale) for r in supply if r["target"] > 0 and r["have"] > 0 and r["repeats"] > 0]
     budget = int(total_tokens if total_tokens is not None else min(limits, default=0))
     slopes = slopes or {}
     rows = []

@@ -193,6 +193,17 @@ def test_mixture(spark):
     assert mixture.mixture(df.limit(0), targets)[0].count() == 0
 
 
+def test_mixture_without_tokens_of_a_source(spark):
+    docs = [(i, "a" if i < 40 else "b", "word " * 5) for i in range(100)] + [(200, "blank", ""), (201, "unused", "word " * 5)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 1), ("gone", 0.2, 3), ("blank", 0.1, 3), ("unused", 0.1, 0)], "source string, target_share double, max_repeats int")
+    plan, shares = mixture.mixture(df, targets)
+    got = {r.source: r for r in shares.collect()}
+    assert got["a"].uses == 40 and got["b"].uses == pytest.approx(40, abs=1) and got["a"].actual_share == pytest.approx(0.5, abs=0.01)
+    assert all(got[s].uses == got[s].tokens == 0 and got[s].actual_share == 0 for s in ("gone", "blank", "unused"))
+    assert plan.count() == got["a"].uses + got["b"].uses
+
+
 def test_token_count_round_trip(spark):
     encoding = mixture._encoding(mixture.TOKENIZER)
     text = "Crack 0.3 mm — Überbau, señal!\n\n  two  spaces"
