@@ -320,6 +320,16 @@ def class_scores(spark, sf):
     return d.select("class_id", "threshold", "tp", "fp", "fn", *(r9(c).alias(c) for c in ("precision", "recall", "f1", "fp_per_image")))
 
 
+@query(_SQL["class_scores"].replace("g AS (", "z AS (SELECT count(*) images FROM (SELECT image_id FROM p UNION SELECT image_id FROM r)), g AS (").replace("fp / 100, 9", "fp / images, 9").replace("FROM g", "FROM g, z"))
+def class_scores_counted(spark, sf):
+    """As class_scores, but with false positives for each image that has a prediction or region."""
+    rows, truths = ranked_detections(spark, sf)
+    p, r = detections(spark, sf)
+    images = p.select("image_id").unionByName(r.select("image_id")).distinct().count()
+    d = detection.class_scores(rows, truths, images, ["class_id", "threshold"])
+    return d.select("class_id", "threshold", "tp", "fp", "fn", *(r9(c).alias(c) for c in ("precision", "recall", "f1", "fp_per_image")))
+
+
 @query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED},
 g AS (SELECT threshold, least(floor(confidence * 10), 9)::INT bin, count(*) n, avg(confidence) c, avg(correct::INT) y FROM a GROUP BY ALL)
 SELECT threshold, bin, n, round(c, 9) AS mean_confidence, round(y, 9) AS accuracy, round(n / sum(n) OVER (PARTITION BY threshold) * abs(c - y), 9) AS ece_part FROM g""".replace("SELECT threshold, bin, n, round", "SELECT threshold, bin, g.n, round").replace("round(n / sum(n)", "round(g.n / sum(g.n)"))
