@@ -22,6 +22,9 @@ from spanwise.session import cut
 
 SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
 
+#: How often at least each component of a block is tried in a seed.
+TRIES = 3
+
 
 def anneal(sizes: np.ndarray, labels: np.ndarray, aim: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
     """(energy, split of each component). `aim`: wanted (splits, 1 + labels) totals, size first."""
@@ -38,7 +41,9 @@ def anneal(sizes: np.ndarray, labels: np.ndarray, aim: np.ndarray, start: np.nda
     best, best_at = energy, at.copy()
     if n == 0 or k < 2:
         return best, best_at
-    picks, others = rng.integers(n, size=(steps, 2)), rng.integers(1, k, size=steps)
+    # The first of two comes from whole permutations, so that each component is tried.
+    first = rng.permuted(np.tile(np.arange(n), (math.ceil(steps / n), 1)), axis=1).ravel()[:steps]
+    picks, others = np.stack([first, rng.integers(n, size=steps)], axis=1), rng.integers(1, k, size=steps)
     swaps, luck = rng.random(steps) < 0.5, rng.random(steps)
     heat = max(energy, 1e-6) / 4
     for s in range(steps):
@@ -64,7 +69,8 @@ def anneal(sizes: np.ndarray, labels: np.ndarray, aim: np.ndarray, start: np.nda
 
 
 def _search(sizes, labels, aim, hashed, seeds: int, steps: int) -> np.ndarray:
-    """The best of several seeds; the first starts from the hash, the others from a rotation of it."""
+    """The best of several seeds, with `steps` or more, growing with the components; the first starts from the hash, the others from a rotation of it."""
+    steps = max(steps, TRIES * len(sizes))
     runs = [anneal(sizes, labels, aim, (hashed + (seed > 0) * seed) % len(aim) if seed % 2 else hashed, seed, steps) for seed in range(seeds)]
     return min(runs, key=lambda r: r[0])[1]
 
@@ -105,7 +111,7 @@ def assign_components(parts: DataFrame, shares: dict[str, float] | None = None,
         sizes, labels = np.array([r["size"] for r in big]), np.array([r["labels"] for r in big], dtype=float).reshape(len(big), width)
         order = np.argsort(-sizes, kind="stable")
         at, room = np.zeros(len(big), int), aim[:, 0].copy()
-        for i in order:  # first into the split with most room, then annealed against overfull splits only
+        for i in order:  # first into the split with most room, then annealed on sizes and labels
             at[i] = int(np.argmax(room))
             room[at[i]] -= sizes[i]
         loose = whole - np.append(sizes.sum(), labels.sum(0))
@@ -116,9 +122,10 @@ def assign_components(parts: DataFrame, shares: dict[str, float] | None = None,
             return aim - have
 
         rest = left(at)
-        if (rest[:, 0] < 0).any() or loose[0] < 0.05 * total:
-            at = anneal(sizes, labels, aim if loose[0] == 0 else np.maximum(aim * (1 - loose / np.maximum(whole, 1)), 0), at, 0, steps)[1]
-            rest = left(at)
+        tried = anneal(sizes, labels, aim if loose[0] == 0 else np.maximum(aim * (1 - loose / np.maximum(whole, 1)), 0), at, 0, steps)[1]
+        # Where the giants fitted, none of the splits may be overfull for the labels' sake.
+        if (rest[:, 0] < 0).any() or loose[0] < 0.05 * total or (left(tried)[:, 0] >= 0).all():
+            at, rest = tried, left(tried)
         placed = {r["component"]: names[a] for r, a in zip(big, at)}
         aim = np.maximum(rest, 0)
         aim = aim * (loose / np.maximum(aim.sum(0), 1e-9))[None, :]

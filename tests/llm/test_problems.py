@@ -119,6 +119,23 @@ def test_grouped_splits(spark):
     assert divided.count() == 98
 
 
+def test_search_grows_with_the_components():
+    n = 20_000
+    start = np.zeros(n, int)
+    at = grouped_splits._search(np.ones(n, np.int64), np.zeros((n, 0)), np.full((3, 1), n / 3), start, 2, 6_000)
+    assert np.abs(np.bincount(at, minlength=3) - n / 3).max() < 0.01 * n
+
+
+def test_giants_are_balanced_on_labels(spark):
+    giants = [(f"g:{i}", 100, [100 if i % 2 else 0]) for i in range(40)]
+    loose = [(f"r:{i}", 1, [0]) for i in range(600)]
+    parts = spark.createDataFrame(giants + loose, "component string, size long, labels array<long>")
+    got = grouped_splits.assign_components(parts, {"a": 0.5, "b": 0.5}).collect()
+    share = sum(r["labels"][0] for r in got if r["split"] == "a") / 2000
+    size = sum(r["size"] for r in got if r["split"] == "a") / 4600
+    assert abs(share - 0.5) < 0.01 and abs(size - 0.5) < 0.01 and len(got) == 640
+
+
 ITEM = "Pump 12 lifts 40 mm of silt in Kelmoor while the crew of Ardvale waits near bay 7 for the second boat to come back"
 
 
