@@ -107,6 +107,14 @@ def test_image_survivors(spark):
     assert survivors.image_survivors(df.limit(0)).count() == 0
 
 
+def test_weighted_vote_of_all_values(spark):
+    rows = [("g", "f", "x/a.txt", i, 1.0) for i in range(3)] + [("g", "f", f"y/b{i}.txt", 10 + i, 0.1) for i in range(8)] + [("g", "f", "x/c.txt", 30 + i, 1.0) for i in range(5)]
+    long = spark.createDataFrame(rows, "group_id string, field_name string, value string, record_id long, w double")
+    order = [F.col("record_id").asc()]
+    assert [tuple(r) for r in survivors.survivors(long, order, weight=F.col("w")).collect()] == [("g", "f", "x/c.txt", 30, 10)]
+    assert [tuple(r)[2:4] for r in survivors.survivors(long, order).collect()] == [("x/a.txt", 0)]
+
+
 def test_grouped_splits(spark):
     rows = [(i, "Hot " if i < 600 else (f"g{i % 97}" if i < 1500 else None), ["train", "val", " TEST", "excluded", None][i % 5], f"[{i % 6}]" if i % 7 else "?") for i in range(3000)]
     df = spark.createDataFrame(rows, "record_id long, leakage_group_id string, processed_split string, class_ids string")
