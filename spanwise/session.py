@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import math
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Masters whose executors are the driver's own process.
+_LOCAL = re.compile(r"local(\[[^\]]*\])?$")
+
 
 def local_session(cores: int = 8, app: str = "spanwise", partitions: int | None = None) -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
@@ -18,6 +22,7 @@ def local_session(cores: int = 8, app: str = "spanwise", partitions: int | None
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,13 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder from spark.checkpoint.dir; only where the session
-    names none (tests, one machine) is a temporary folder set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """Take the shared folder from spark.checkpoint.dir; where the session names none, a
+    temporary one of this application is set, but only if driver and executors are one machine's process.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "spanwise-checkpoint"))
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not _LOCAL.match(context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spanwise-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,11 +55,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parts_for(rows: int, per_part: int, least: int) -> int:
-    """How many partitions hold `rows` at `per_part` rows each."""
-    return max(least, math.ceil(rows / per_part))
-
-
-def parallelism(spark: SparkSession) -> int:
-    """At least one wave of tasks on the cluster as it is."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def release(df: DataFrame) -> None:
+    """Delete the checkpoint files of a table that `cut` gave, once nothing reads it any more; other tables are left alone."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or not plan.rdd().getCheckpointFile().isDefined():
+        return
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
