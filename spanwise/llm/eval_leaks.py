@@ -1,20 +1,26 @@
 """Evaluation texts leaking into training text, by template canonicalisation.
 
 Texts become words (maximal runs of letters and digits, case ignored). A
-word's template is itself, or a typed placeholder: number, unit, name. Windows
-of `span` template words are hashed and joined between evaluation items and
-documents, so a passage is found whatever its numbers, units or names are.
-Matched windows on one diagonal are then checked on the words themselves: a
-run of `span` equal words is a verbatim leak; a run whose slots differ but map
-one-to-one is a re-parameterised one.
+word's template is itself, or a typed placeholder: number, unit (a unit word
+right after a number), name. Windows of `span` template words are hashed and
+the documents' windows are joined to those of the evaluation items, so a
+passage is found whatever its numbers, units or names are. Matched windows on
+one diagonal are then checked on the words themselves: a run of `span` equal
+words is a verbatim leak; a run whose slots differ but map one-to-one is a
+re-parameterised one.
 
 Names are told by a capital inside a sentence, which a verbatim copy may lack;
-windows are therefore also hashed with names left as they are, and no verbatim
-passage depends on the guess.
+windows are therefore also hashed with names left as they are, and the first
+word of a window is never a unit, so no verbatim passage depends on a guess.
+
+The items are the build side: they are cut into blocks of a bounded number of
+windows, each block is broadcast, and every document is read, tokenised and
+judged in one pass per block. Documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,168 +29,261 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-WORD = re.compile(r"[^\W_]+")
+#: A word, and what follows it.
+WORD = re.compile(r"([^\W_]+)([\W_]*)")
 
 #: Unit words.
 UNITS = frozenset("mm cm dm m km µm um nm in ft yd mi mg g kg t lb oz ms s sec min h hr d °c c f k hz khz mhz ghz v mv kv a ma w kw mw n kn pa kpa mpa bar db px dpi l ml kb mb gb tb".split())
-NUMBER, UNIT, NAME = "\x00number", "\x00unit", "\x00name"
+_WORD, _NUMBER, _UNIT, _NAME = 0, 1, 2, 3
+_DIGIT = re.compile(r"\d")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_CODES = np.array([xxhash.xxh64_intdigest(f"\x00{k}") for k in ("word", "number", "unit", "name")], np.uint64)
+#: Gaps after which a capital still lies inside the sentence.
+_INSIDE = frozenset((" ", "  ", "\t", ", ", ",", ",  "))
 
 
-def words_of(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
-
-
-def slot(word: str) -> str:
-    """The template of a lower-case word, names aside."""
-    if any(c.isdigit() for c in word):
-        return NUMBER
-    return UNIT if word in UNITS else word
-
-
-def named(text: str) -> list[bool]:
-    """Whether each word is capitalised and follows a word of the same sentence."""
-    out, last = [], 0
-    for m in WORD.finditer(text):
-        gap = text[last : m.start()]
-        first = m.group()[0]
-        out.append(first.isupper() and bool(out) and gap.strip(" \t") in ("", ",") and len(m.group()) > 1)
-        last = m.end()
-    return out
-
-
-class _Codes:
-    """64-bit codes of words and of their templates, remembered for up to a million forms."""
+class Coder:
+    """Texts as arrays: the 64-bit code of each word, its kind, and whether it may be a unit; a million forms are remembered."""
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, int]] = {}
 
-    def of(self, words: list[str]) -> list[tuple[int, int]]:
-        known, out = self.known, []
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                low = w.lower()
-                t = slot(low)
-                x = (xxhash.xxh64_intdigest(low), xxhash.xxh64_intdigest(t))
-                if len(known) > 1_000_000:
-                    known.clear()
-                known[w] = x
-            out.append(x)
-        return out
-
-
-_NAME_CODE = xxhash.xxh64_intdigest(NAME)
+    def _form(self, word: str) -> tuple[int, int]:
+        """(code, marks): 1 has a digit, 2 a unit word, 4 capitalised and longer than one letter, 8 all capitals."""
+        low = word.lower()
+        marks = 1 if _DIGIT.search(word) else 2 if low in UNITS else 0
+        marks |= 4 if len(word) > 1 and word[0].isupper() else 0
+        marks |= 8 if word.isupper() else 0
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        form = self.known[word] = (xxhash.xxh64_intdigest(low), marks)
+        return form
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, kinds) of the words of a text.
+
+        A capital tells a name only in a text that also has small letters;
+        a text of capitals has no names, and its numbers and units alone are slots.
+        """
+        found = WORD.findall(text)
+        get, form = self.known.get, self._form
+        forms = [get(w) or form(w) for w, _ in found]
+        n = len(forms)
+        codes = np.fromiter((f[0] for f in forms), np.uint64, n)
+        marks = np.fromiter((f[1] for f in forms), np.int8, n)
+        kinds = (marks & 1).astype(np.int8)
+        after = np.zeros(n, bool)
+        after[1:] = kinds[:-1] == _NUMBER
+        kinds[(marks & 2 > 0) & after] = _UNIT
+        capital = np.flatnonzero((marks & 4 > 0) & (kinds == _WORD))
+        if len(capital) and not (marks & 8 > 0).sum() > 0.5 * (marks & 1 == 0).sum():
+            inside = [i for i in capital.tolist() if i and _joined(found[i - 1][1])]
+            kinds[inside] = _NAME
+        return codes, kinds
+
+
+def _joined(gap: str) -> bool:
+    return gap in _INSIDE or gap.strip(" \t") in ("", ",")
+
+
+def _scrambled(codes: np.ndarray) -> np.ndarray:
+    return (codes ^ (codes >> np.uint64(29))) * _MIX
+
+
+def window_hashes(codes: np.ndarray, kinds: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash with names as they are, hash with names as placeholders, whether the window has a name) of every window of the words."""
+    n = len(codes) - span + 1
+    plain = _scrambled(np.where((kinds == _NUMBER) | (kinds == _UNIT), _CODES[kinds], codes))
+    masked = _scrambled(np.where(kinds > _WORD, _CODES[kinds], codes))
+    unit = kinds == _UNIT  # no unit at the start of a window, as its number lies outside
+    own = _scrambled(codes)
+    out = []
+    for series in (plain, masked):
+        first = np.where(unit, own, series)
+        h = first[:n].copy()
+        for i in range(1, span):
+            h = h * _M + series[i : i + n]
+        out.append(h ^ (h >> np.uint64(32)))
+    named = np.append(0, np.cumsum(kinds == _NAME))
+    return out[0], out[1] ^ np.uint64(1), named[span:] > named[:n]
+
+
+def judge(a: np.ndarray, ak: np.ndarray, b: np.ndarray, bk: np.ndarray, shift: int, span: int) -> tuple[int, int, int]:
+    """(verbatim, template, slots) on one diagonal of document a and item b (place in a is place in b plus shift).
+
+    verbatim: the longest run of equal words; template: the longest run of
+    consistent slots, one with replaced slots before one without; slots: how many differ there.
+    """
+    lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+    if hi <= lo:
+        return 0, 0, 0
+    x, y = b[lo:hi], a[lo + shift : hi + shift]
+    kx, ky = bk[lo:hi], ak[lo + shift : hi + shift]
+    equal = x == y
+    verbatim = max((e - s for s, e in _runs(equal)), default=0)
+    slots = (kx == ky) & (kx > _WORD)
+    template = differ = 0
+    for s, e in _runs(equal | slots):
+        if e - s < min(span, template + 1) and differ:
+            continue
+        got = _consistent(x, y, kx, slots, equal, s, e)
+        if (got[1] > 0, got[0]) > (differ > 0, template):
+            template, differ = got
+    return verbatim, template, differ
+
+
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def _consistent(x, y, kinds, slots, equal, s: int, e: int) -> tuple[int, int]:
+    """(length, differing slots) of the best one-to-one run within [s, e); a conflict moves the start to just after the binding it conflicts with."""
+    places = (np.flatnonzero(slots[s:e]) + s).tolist()
+    replaced = np.append(0, np.cumsum(~equal[s:e]))
+    start, best, forth, back = s, (0, 0), {}, {}
+
+    def take(end: int) -> None:
+        nonlocal best
+        got = (end - start, int(replaced[end - s] - replaced[start - s]))
+        if (got[1] > 0, got[0]) > (best[1] > 0, best[0]):
+            best = got
+
+    for j in places:
+        k, p, q = int(kinds[j]), int(x[j]), int(y[j])
+        moved = start
+        for known, word, other in ((forth, p, q), (back, q, p)):
+            value, place = known.get((k, word), (other, -1))
+            if value != other:
+                moved = max(moved, place + 1)
+        if moved > start:
+            take(j)
+            start = moved
+        forth[k, p], back[k, q] = (q, j), (p, j)
+    take(e)
+    return best
+
+
+def _texts(items: DataFrame) -> DataFrame:
+    """(item_id, text): one row for each item and text."""
+    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
+
+
+def _sized(span: int):
+    """mapInPandas: adds the number of windows of each text, short texts left out."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = [len(WORD.findall(t)) - span + 1 for t in pdf["text"]]
+            yield pdf.assign(windows=np.asarray(n, np.int64))[np.asarray(n) > 0]
 
-def _rolled(codes: np.ndarray, span: int) -> np.ndarray:
-    out = np.zeros(len(codes) - span + 1, np.uint64)
-    for i in range(span):
-        out = out * _M + (codes[i : i + len(out)] ^ (codes[i : i + len(out)] >> np.uint64(29))) * _MIX
-    return out ^ (out >> np.uint64(32))
+    return run
 
 
-def _windows(span: int, key: str):
-    """mapInPandas: (id, text) to (id, place, window, family); family 0 has names as they are, 1 as placeholders."""
+class _Probes:
+    """One block of items: sorted window hashes with their item and place, and the items' words."""
+
+    def __init__(self, ids: list[int], texts: list[str], span: int) -> None:
+        coder, hashes, owners, places, self.words, self.ids = Coder(), [], [], [], [], ids
+        for i, text in enumerate(texts):
+            codes, kinds = coder.of(text)
+            self.words.append((codes, kinds))
+            plain, masked, named = window_hashes(codes, kinds, span)
+            at = np.arange(len(plain), dtype=np.int32)
+            for h, p in ((plain, at), (masked[named], at[named])):
+                hashes.append(h)
+                places.append(p)
+                owners.append(np.full(len(h), i, np.int32))
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.owners, self.places = h[order], np.concatenate(owners)[order], np.concatenate(places)[order]
+        # A quarter of a million bits that tell most misses at once.
+        self.sieve = np.zeros(1 << 18, bool)
+        self.sieve[(self.hashes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+
+    def met(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, probe) of equal hashes."""
+        maybe = np.flatnonzero(self.sieve[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
+        low, high = np.searchsorted(self.hashes, h[maybe], "left"), np.searchsorted(self.hashes, h[maybe], "right")
+        n = high - low
+        return np.repeat(maybe, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def _scan(shared, span: int):
+    """mapInPandas over documents: (doc_id, item, verbatim_words, template_words, differing_slots)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _Codes()
+        probes, coder = shared.value, Coder()
         for pdf in batches:
-            ids, sizes, codes, marks = [], [], [], []
-            for i, text in zip(pdf[key], pdf["text"]):
-                if text is None:
+            out = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                if len(text) < 2 * span - 1:
                     continue
-                words = WORD.findall(text)
-                if len(words) < span:
+                codes, kinds = coder.of(text)
+                if len(codes) < span:
                     continue
-                ids.append(i)
-                sizes.append(len(words))
-                codes.extend(coder.of(words))
-                marks.extend(named(text))
-            if not ids:
-                continue
-            template = np.array([c[1] for c in codes], np.uint64)
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            last = len(template) - span + 1
-            inside = owner[:last] == owner[span - 1 :]
-            masked = np.where(marks, np.uint64(_NAME_CODE), template)
-            has_name = np.convolve(marks, np.ones(span, int), "valid") > 0
-            for family, series, keep in ((0, template, inside), (1, masked, inside & has_name)):
-                at = np.flatnonzero(keep)
-                if len(at):
-                    hashes = _rolled(series, span)[at]
-                    yield pd.DataFrame({"id": np.asarray(ids, np.int64)[owner[at]], "place": place[at].astype(np.int32), "window": (hashes ^ np.uint64(family)).view(np.int64)})
+                plain, masked, named = window_hashes(codes, kinds, span)
+                w, p = probes.met(plain)
+                some = np.flatnonzero(named)
+                w2, p2 = probes.met(masked[some])
+                w, p = np.append(w, some[w2]), np.append(p, p2)
+                if not len(w):
+                    continue
+                diagonals = np.unique(np.stack([probes.owners[p].astype(np.int64), w - probes.places[p]]), axis=1)
+                best: dict[int, tuple[int, int, int]] = {}
+                for item, shift in diagonals.T.tolist():
+                    v, t, d = judge(codes, kinds, *probes.words[item], shift, span)
+                    V, T, D = best.get(item, (0, 0, 0))
+                    if (d > 0, t) <= (D > 0, T):
+                        t, d = T, D
+                    best[item] = (max(v, V), t, d)
+                out += [(doc, probes.ids[item], *b) for item, b in best.items() if b[0] >= span or (b[1] >= span and b[2] > 0)]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item", "verbatim_words", "template_words", "differing_slots"])
 
     return run
 
 
-def _windows_of(df: DataFrame, key: str, span: int) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias(key), F.col("text")).where("text is not null").mapInPandas(_windows(span, key), "id long, place int, window long")
-
-
-def _judge(doc: str, item: str, shifts: list[int], span: int) -> tuple[int, int, int]:
-    """(verbatim, template, slots): the longest run of equal words, of consistent slots (one with replaced slots before one without), and how many slots differ there."""
-    a, b = words_of(doc), words_of(item)
-    an, bn = named(doc), named(item)
-    verbatim = template = slots = 0
-    for shift in shifts:
-        run = 0
-        first = max(0, -shift)
-        start, forth, back, differ = first, {}, {}, [0]  # bindings with their last place; differing words so far
-        for j in range(first, min(len(b), len(a) - shift)):
-            x, y = b[j], a[j + shift]
-            run = run + 1 if x == y else 0
-            verbatim = max(verbatim, run)
-            kx, ky = (NAME if n else slot(w) for w, n in ((x, bn[j]), (y, an[j + shift])))
-            fits = x == y or (kx == ky and kx in (NUMBER, UNIT, NAME))
-            differ.append(differ[-1] + (x != y))
-            if not fits:
-                start = j + 1
-                continue
-            # A conflict moves the start to just after the binding it conflicts with; places before the start don't count.
-            for known, word, other in ((forth, x, y), (back, y, x)):
-                value, place = known.get((kx, word), (other, -1))
-                if value != other:
-                    start = max(start, place + 1)
-            if kx in (NUMBER, UNIT, NAME):
-                forth[kx, x], back[kx, y] = (y, j), (x, j)
-            length, replaced = j - start + 1, differ[-1] - differ[start - first]
-            if (replaced > 0, length) > (slots > 0, template):
-                template, slots = length, replaced
-    return verbatim, template, slots
-
-
-def eval_leaks(documents: DataFrame, items: DataFrame, span: int = 13, broadcast_windows: int = 500_000) -> DataFrame:
+def eval_leaks(documents: DataFrame, items: DataFrame, span: int = 13, block_windows: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, kind, verbatim_words, template_words, differing_slots) of documents with passages of items.
 
     kind is 'verbatim' where at least `span` consecutive words are equal, else
     'reparameterised' where as many agree but for consistently replaced
     numbers, units and names. template_words is the longest such run with a
     replaced slot, or without one where there is none. Null, empty and shorter texts give no row; a
-    repeated id counts as one document. The evaluation windows are broadcast
-    only if counted to be at most `broadcast_windows`; else the join shuffles.
+    repeated id counts as one document; items of one text are found once and told each.
+    Blocks hold about `block_windows` windows (32 bytes each), a single item
+    at least; the documents are read once for each block. Names are told by capitals: texts
+    written wholly in capitals or small letters match re-parameterised names only where these are left as they are.
     """
-    probes = _windows_of(items, "item_id", span).distinct()
-    probes = probes.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "window")
-    bounded = probes.count() <= broadcast_windows
-    windows = _windows_of(documents, "doc_id", span)
-    met = windows.join(F.broadcast(probes) if bounded else probes, "window")
-    pairs = met.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
-
-    @F.pandas_udf("struct<verbatim_words:int,template_words:int,differing_slots:int>")
-    def judge(doc: pd.Series, item: pd.Series, shifts: pd.Series) -> pd.DataFrame:
-        got = [_judge(d, i, list(s), span) for d, i, s in zip(doc, item, shifts)]
-        return pd.DataFrame(got, columns=["verbatim_words", "template_words", "differing_slots"], dtype="int32")
-
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("doc_text"))
-    given = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text"))
-    judged = pairs.join(texts, "doc_id").join(given, "item_id").select("doc_id", "item_id", judge("doc_text", "item_text", "shifts").alias("j"))
-    out = judged.select("doc_id", "item_id", "j.*")
-    out = out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("verbatim_words", "template_words", "differing_slots")))
-    kind = F.when(F.col("verbatim_words") >= span, "verbatim").when((F.col("template_words") >= span) & (F.col("differing_slots") > 0), "reparameterised")
-    return out.withColumn("kind", kind).where("kind is not null").select("doc_id", "item_id", "kind", "verbatim_words", "template_words", "differing_slots")
+    spark = documents.sparkSession
+    given = _texts(items).mapInPandas(_sized(span), "item_id long, text string, windows long")
+    classes = given.groupBy("text").agg(F.min("item_id").alias("item"), F.first("windows").alias("windows"))
+    total, longest = classes.agg(F.sum("windows"), F.max("windows")).first()
+    schema = "doc_id long, item long, verbatim_words int, template_words int, differing_slots int"
+    if not total:
+        out = spark.createDataFrame([], schema)
+    else:
+        # An item's text is read whole; hashed blocks hold the bound on average, one of several spreads little.
+        blocks = max(1, math.ceil(total / block_windows))
+        docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
+        out = spark.createDataFrame([], schema)
+        for block in range(blocks):
+            own = classes.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else classes
+            rows = own.select("item", "text").collect()
+            if not rows:
+                continue
+            shared = spark.sparkContext.broadcast(_Probes([r.item for r in rows], [r.text for r in rows], span))
+            found = docs.mapInPandas(_scan(shared, span), schema)
+            out = found if blocks == 1 else out.unionByName(found)
+    members = given.join(classes.select("text", "item"), "text").select("item", "item_id")
+    out = out.join(members, "item").groupBy("doc_id", "item_id").agg(
+        F.max("verbatim_words").alias("verbatim_words"),
+        F.max(F.struct(F.col("differing_slots") > 0, "template_words", "differing_slots")).alias("t"),
+    )
+    kind = F.when(F.col("verbatim_words") >= span, "verbatim").otherwise("reparameterised")
+    return out.select("doc_id", "item_id", kind.alias("kind"), "verbatim_words", F.col("t.template_words").alias("template_words"), F.col("t.differing_slots").alias("differing_slots"))
 
 
 def leak_report(documents: DataFrame, items: DataFrame, span: int = 13) -> DataFrame:

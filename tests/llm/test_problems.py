@@ -154,31 +154,50 @@ def test_eval_leaks(spark):
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(5)).withColumn("window", F.lit(1))
     items = spark.createDataFrame([(9, ITEM), (10, "short"), (11, None)], "item_id long, text string")
-    for bound in (500_000, 0):
-        got = {(r.doc_id, r.item_id): r.kind for r in eval_leaks.eval_leaks(df, items, broadcast_windows=bound).collect()}
+    for bound in (500_000, 3):  # one block and several
+        got = {(r.doc_id, r.item_id): r.kind for r in eval_leaks.eval_leaks(df, items, block_windows=bound).collect()}
         assert got == {(1, 9): "verbatim", (6, 9): "verbatim", (2, 9): "reparameterised", (8, 9): "reparameterised"}
     assert eval_leaks.eval_leaks(df.limit(0), items).count() == 0
 
 
+def judged(doc, item):
+    coder = eval_leaks.Coder()
+    return eval_leaks.judge(*coder.of(doc), *coder.of(item), 0, 13)
+
+
 def test_slots_must_be_consistent():
     item = "move 5 from a to b then 5 from c to d and stop here now please"
     good = item.replace("5", "8")
     bad = item.replace("5", "8", 1)
-    assert eval_leaks._judge(good, item, [0], 13)[1] >= 13
-    assert eval_leaks._judge(bad, item, [0], 13)[1] < 13
+    assert judged(good, item)[1] >= 13
+    assert judged(bad, item)[1] < 13
+
+
+def test_units_follow_numbers():
+    item = "the crew put a new pipe in the old wall for the boats to pass"
+    assert judged(item.replace(" in ", " a "), item)[2] == 0
+    item = "the crew put a new pipe of 40 mm in the old wall for the boats"
+    assert judged(item.replace("40 mm", "70 cm"), item)[1:] == (16, 2)
+
+
+def test_copies_of_items_and_texts_of_capitals(spark):
+    docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM.upper().replace("12", "31"))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, ITEM), (6, ITEM), (7, ITEM.lower())], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in eval_leaks.eval_leaks(docs, items).collect()}
+    assert got == {(1, i): "verbatim" for i in (5, 6, 7)} | {(2, i): "verbatim" for i in (5, 6, 7)}
 
 
 def longest_consistent(doc, item):
     """Brute force on one diagonal: the words of the longest run with replaced slots that map one-to-one."""
-    a, b, best = eval_leaks.words_of(doc), eval_leaks.words_of(item), 0
-    kinds = (eval_leaks.NUMBER, eval_leaks.UNIT)
+    coder = eval_leaks.Coder()
+    (a, ka), (b, kb), best = coder.of(doc), coder.of(item), 0
     for s in range(len(b)):
         for e in range(s + 1, min(len(a), len(b)) + 1):
-            pairs = list(zip(b[s:e], a[s:e]))
-            slots = {(eval_leaks.slot(x), x, y) for x, y in pairs if eval_leaks.slot(x) in kinds}
-            fits = all(x == y or eval_leaks.slot(x) == eval_leaks.slot(y) in kinds for x, y in pairs)
+            pairs = list(zip(b[s:e].tolist(), a[s:e].tolist(), kb[s:e].tolist(), ka[s:e].tolist()))
+            slots = {(k, x, y) for x, y, k, o in pairs if k and k == o}
+            fits = all(x == y or k == o and k for x, y, k, o in pairs)
             one = len(slots) == len({(k, x) for k, x, _ in slots}) == len({(k, y) for k, _, y in slots})
-            if fits and one and any(x != y for x, y in pairs):
+            if fits and one and any(x != y for x, y, _, _ in pairs):
                 best = max(best, e - s)
     return best
 
@@ -186,14 +205,14 @@ def longest_consistent(doc, item):
 def test_a_conflict_drops_only_what_is_before_it(spark):
     words = "5 crew men lift long beams over old piers and wait until 5 more boats come back here with sand for all the walls".split()
     other = ["8", *words[1:12], "9", *words[13:]]
-    assert eval_leaks._judge(" ".join(other), " ".join(words), [0], 13)[1:] == (len(words) - 1, 1)
+    assert judged(" ".join(other), " ".join(words))[1:] == (len(words) - 1, 1)
     rng = np.random.default_rng(6)
     for _ in range(300):
         item = [str(rng.choice(["1", "2", "3", "mm", "cm", "the", "pier"])) for _ in range(24)]
         doc = [str(rng.choice(["1", "2", "mm", "km"])) if rng.random() < 0.4 else w for w in item]
-        got = eval_leaks._judge(" ".join(doc), " ".join(item), [0], 13)
+        got = judged(" ".join(doc), " ".join(item))
         want = longest_consistent(" ".join(doc), " ".join(item))
-        assert (got[1], got[2] > 0) == (want, True) if want else got[2] == 0
+        assert (got[1], got[2] > 0) == (want, True) if want >= 13 else got[1] < 13 or got[2] == 0
     item = "5 crew men lift long beams over old piers and wait until 5 more boats come back here with sand for all the walls"
     docs = spark.createDataFrame([(1, item.replace("5", "8", 1).replace("5", "9", 1))], "doc_id long, text string")
     items = spark.createDataFrame([(2, item)], "item_id long, text string")
