@@ -76,3 +76,16 @@ def test_tree_join_is_complete():
     hits = {(a, b) for q, o in P.tree_join(p, p, 0.2, P.euclidean, leaf=8) for a, b in zip(q.tolist(), o.tolist())}
     want = {(i, j) for i in range(500) for j in np.flatnonzero(P.euclidean(p, p[i]) <= 0.2).tolist()}
     assert hits == want
+
+
+def test_lookup_spreads_hot_keys(spark):
+    from spanwise.operators import skew
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(900, None), (901, "gone")], "id long, k string")
+    right = spark.createDataFrame([("hot", 1, None), ("k3", None, "x")] + [(f"k{i}", i, "y") for i in range(6, 300, 3)], "k string, v int, w string")
+    hot = skew.hot_keys(left.groupBy("k").count(), ["k"], "count", 302, least=50)
+    assert [r.k for r in hot.collect()] == ["hot"]
+    got = {r.id: (r.v, r.w) for r in skew.lookup(left, right, ["k"], hot, F.col("id")).collect()}
+    assert len(got) == 302 and got[1] == (1, None) and got[3] == (None, "x") and got[9] == (9, "y") and got[900] == got[901] == (None, None)
+    empty = skew.hot_keys(left.groupBy("k").count(), ["k"], "count", 302)
+    assert {r.id: (r.v, r.w) for r in skew.lookup(left, right, ["k"], empty, F.col("id")).collect()} == got
