@@ -273,3 +273,41 @@ def test_length_limits(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = {(r.source, r.unit, r.limit) for r in truncation.length_limits(df).collect()}
     assert ("lim_ited", "chars", 100) in got and ("bytes", "bytes", 100) in got and not any(s == "free" for s, _, _ in got)
+
+
+def test_limits_hold_below_a_few_longer_texts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "s", "x" * int(rng.integers(20, 99))) for i in range(400)] + [(500 + i, "s", "y" * 100) for i in range(40)] + [(900, "s", "z" * 140), (901, "s", "z" * 103)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {(r.unit, r.limit) for r in truncation.length_limits(df).collect()} == {("chars", 100), ("bytes", 100)}
+
+
+def test_limit_rows_need_no_ending_model(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    whole = [" ".join(word(5) for _ in range(int(rng.integers(3, 14)))) + "." for _ in range(300)]
+    cut = [(" ".join(word(5) for _ in range(20)))[:90] for _ in range(30)]
+    kept = [(" ".join(word(5) for _ in range(20)))[:89] + "." for _ in range(5)]
+    rows = [(i, "s", t) for i, t in enumerate(whole)] + [(1000 + i, "s", t) for i, t in enumerate(cut)] + [(2000 + i, "s", t) for i, t in enumerate(kept)]
+    got = truncation.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("by_limit").collect()
+    assert {r.doc_id for r in got} == {1000 + i for i in range(30)}
+
+
+@pytest.mark.parametrize("hot, bits", [(100_000, 24), (2, 8)])
+def test_hot_endings_and_a_full_sieve_change_nothing(spark, hot, bits):
+    rows = [(i, "s", f"The deck {i % 7} is dry.\nwill do") for i in range(60)] + [(100 + i, "s", f"The deck {i} is") for i in range(40)] + [(200, "s", "The deck is d"), (201, "s", "x" * 50), (202, "s", "A " + "x" * 60 + ".")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in truncation.truncated(df, hot_rows=hot, sieve_bits=bits).collect()} == {100 + i for i in range(40)} | {200, 201}
+
+
+def test_last_unit_is_the_last_of_all():
+    for text in ("One. Two 3.5 m wide", "a\n\nb c\n", "v1.2.3", "no end", "x. 4.5", "end.5", "...", "", "a.1 b.2"):
+        units, now = [], []
+        for t in truncation._TOKEN.findall(text):
+            if t[0] in truncation.ENDS:
+                units.append(now)
+                now = []
+            else:
+                now.append("9" if t[0].isdigit() else t.lower())
+        want = next((u for u in reversed([*units, now]) if u), [])
+        assert truncation.last_unit(text) == want, text
