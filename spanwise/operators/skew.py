@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 MOST_HOT = 1_000
 
 
-def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int, least: int = 100_000) -> DataFrame:
-    """The keys of (keys, count) with more than a thousandth of `total` rows, and more than `least`; so at most MOST_HOT, a bound for the broadcast."""
+def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int, least: int = 100_000) -> DataFrame | None:
+    """The keys of (keys, count) with more than a thousandth of `total` rows, and more than `least`, or None; so at most MOST_HOT, a bound for the broadcast."""
     limit = max(total / MOST_HOT, least)
     schema = counts.select(*keys).schema
     rows = counts.where(F.col(count) > limit).select(*keys).collect() if total > least else []
-    return counts.sparkSession.createDataFrame(rows, schema)
+    return counts.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, spread: Column) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, spread: Column) -> DataFrame:
     """Left join to `right`, which is unique by `on`.
 
     The rows of `right` for hot keys are broadcast; the others meet by a
     shuffle, in which left rows with hot keys are spread by `spread` instead of
     meeting in one task. Null keys find nothing.
     """
+    if hot is None:
+        return left.join(right, on, "left")
     values = [c for c in right.columns if c not in on]
     hot = F.broadcast(hot.select(*on))
     few = right.join(hot, on, "left_semi").select(*on, F.struct(F.lit(1).alias("__hit"), *values).alias("__few"))

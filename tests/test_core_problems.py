@@ -87,5 +87,5 @@ def test_lookup_spreads_hot_keys(spark):
     assert [r.k for r in hot.collect()] == ["hot"]
     got = {r.id: (r.v, r.w) for r in skew.lookup(left, right, ["k"], hot, F.col("id")).collect()}
     assert len(got) == 302 and got[1] == (1, None) and got[3] == (None, "x") and got[9] == (9, "y") and got[900] == got[901] == (None, None)
-    empty = skew.hot_keys(left.groupBy("k").count(), ["k"], "count", 302)
-    assert {r.id: (r.v, r.w) for r in skew.lookup(left, right, ["k"], empty, F.col("id")).collect()} == got
+    assert skew.hot_keys(left.groupBy("k").count(), ["k"], "count", 302) is None
+    assert {r.id: (r.v, r.w) for r in skew.lookup(left, right, ["k"], None, F.col("id")).collect()} == got
