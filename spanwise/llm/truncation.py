@@ -39,9 +39,8 @@ APPENDED = (
     r"\s", "…", r"\.{3,}", "�", r"\x00", "&hellip;",
     r"[\[(<{]\s*(?:\.{3}|…|cut|cut off|truncated|more|continued|cont\.?|snip)\s*[\])>}]", r"(?:read|show|see) more",
 )
-_CLOSED = re.compile(r"[.!?][\"'”’»)\]]*$")
-_OPEN = re.compile(r"[,;:(\[{</\\&+=–—-]$")
-_NUMBERED = re.compile(r"\d\.$")
+#: Marks that close a text, may follow those, and can't end one.
+_STOPS, _CLOSERS, _OPENERS = frozenset(".!?"), "\"'”’»)]", frozenset(",;:([{</\\&+=–—-")
 _BULLETS = ("-", "*", "•", "–", "·")
 ENDS = ("\n", ".", "!", "?")
 UNITS = ("chars", "bytes", "body_chars", "body_bytes")
@@ -54,20 +53,38 @@ _KINDS = np.array([xxhash.xxh64_intdigest("\x00prose"), xxhash.xxh64_intdigest("
 _PREFIX = 40
 
 
+#: The longest single mark, in characters; any number of them may follow each other.
+_MARK = 64
+
+
 def stripped(marks: tuple[str, ...]) -> re.Pattern:
     return re.compile("(?:" + "|".join(marks) + ")+$", re.I)
 
 
 def ending(text: str, marks: re.Pattern) -> tuple[str, bool, bool]:
     """(text without appended marks, whether it is closed by punctuation, whether it stops at a mark that can't end a text)."""
-    tail = text[-400:]  # only what follows the last whole mark matters; a longer run of marks is searched as a whole
-    found = marks.search(tail)
-    if found and found.start() < 60 and len(text) > 400:  # it may begin before
-        found, tail = marks.search(text), text
-    body = text[: len(text) - len(tail) + found.start()] if found else text
-    last = body[-400:]
-    closed = bool(_CLOSED.search(last)) and not _NUMBERED.search(last)
-    return body, closed, bool(_OPEN.search(last))
+    size, body = _MARK, text
+    while found := marks.search(text[-size:]):
+        body = text[: max(len(text) - size, 0) + found.start()]
+        if found.start() >= _MARK or size >= len(text):
+            break
+        size *= 4  # marks may go on before what was searched
+    inner = body.rstrip(_CLOSERS)
+    closed = inner[-1:] in _STOPS and not (body[-1:] == "." and body[-2:-1].isdecimal())
+    return body, closed, body[-1:] in _OPENERS
+
+
+def pieces(texts: list[str], limit: int = 8_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about `limit` characters, one text at least."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def last_unit(body: str) -> list[str]:
@@ -158,7 +175,7 @@ def _grams(marks: tuple[str, ...], sieve, bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pattern, words = stripped(marks), sieve.value
-        known: dict[str, tuple[int, int]] = {}  # form: number of the lower-case token
+        known: dict[str, int] = {}  # form: number of the lower-case token
         names: list[str] = []
         codes: list[int] = []
         letters: list[int] = []
@@ -175,30 +192,22 @@ def _grams(marks: tuple[str, ...], sieve, bits: int):
             known[t] = k
             return k
 
-        for pdf in batches:
+        for texts in (t for pdf in batches for t in pieces([x for x in pdf["text"] if x])):
             if len(known) > 1_000_000:
                 for x in (known, names, codes, letters, numbers):
                     x.clear()
             stop = form("\n")
-            flat: list[int] = []
-            dropped: list[int] = []
-            for text in pdf["text"]:
-                if not text:
-                    continue
+            flat: list[str] = []
+            stops, open_ended = [], []
+            for text in texts:
                 body, closed, _ = ending(text, pattern)
-                get = known.get
-                own = [x if (x := get(t)) is not None else form(t) for t in _TOKEN.findall(body)]
-                if not closed:  # whether the last token ends anything is what is asked
-                    k = len(own) - 1
-                    while k >= 0 and own[k] == stop:
-                        k -= 1
-                    if k >= 0:
-                        dropped.append(len(flat) + k)
-                flat += own
-                flat.append(stop)
-            if not flat:
-                continue
-            ids = np.array(flat, np.int64)
+                flat += _TOKEN.findall(body)
+                flat.append("\n")
+                stops.append(len(flat) - 1)
+                open_ended.append(not closed)
+            for t in set(flat) - known.keys():
+                form(t)
+            ids = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
             end = ids == stop
             place = np.arange(len(ids))
             begun = np.maximum.accumulate(np.where(end, place + 1, 0))
@@ -208,8 +217,10 @@ def _grams(marks: tuple[str, ...], sieve, bits: int):
             bullets = np.array([numbers[b] for b in _BULLETS if b in numbers], np.int64)
             kind = _KINDS[np.isin(ids[np.minimum(begun, len(ids) - 1)], bullets).astype(int)]
             back = [np.where(place - begun >= d, own[np.maximum(place - d, 0)], _START) for d in (3, 2, 1)]
+            # Whether the last token of an open ending ends anything is what is asked.
+            latest = np.maximum.accumulate(np.where(end, -1, place))[np.array(stops)[np.array(open_ended)]]
             keep = ~end
-            keep[dropped] = False
+            keep[latest[latest >= 0]] = False
             last = np.append(end[1:], True)
             parts = []
             for context in contexts(kind, *back):
@@ -319,14 +330,14 @@ def _judged(documents: DataFrame, whole_share: float, proven_share: float, slack
     asked = kinds.select(F.explode(F.array("context3", "context2", "context1")).alias("context"), "token").groupBy("context", "token").agg(F.count("*").alias("asks"))
     shared = spark.sparkContext.broadcast(_bitmap(asked, sieve_bits))
     grams = docs.select("text").mapInPandas(_grams(marks, shared, sieve_bits), "context long, token string, ends long, goes long")
-    grams = grams.groupBy("context", "token").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    grams = cut(grams.groupBy("context", "token").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")))
     evidence = cut(_evidence(asked, grams))
     total = kinds.agg(F.count("*"), F.sum("rows")).first()
     hot = hot_keys(evidence, ["context", "token"], "asks", total[0], hot_rows)
     judged = kinds
     for n in (3, 2, 1):
         own = evidence.select(F.col("context").alias(f"context{n}"), "token", F.col("ends").alias(f"ends{n}"), F.col("goes").alias(f"goes{n}"))
-        judged = lookup(judged, own, [f"context{n}", "token"], hot.withColumnRenamed("context", f"context{n}"), F.col("tail"))
+        judged = lookup(judged, own, [f"context{n}", "token"], hot and hot.withColumnRenamed("context", f"context{n}"), F.col("tail"))
     judged = judged.fillna(0, [f"{x}{n}" for n in (3, 2, 1) for x in ("ends", "goes")])
     # The longest context that occurs elsewhere decides; a whole ending that closes several texts is longer than any.
     known = lambda n: F.col(f"ends{n}") + F.col(f"goes{n}") > 0
