@@ -29,8 +29,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-#: A word, and what follows it.
-WORD = re.compile(r"([^\W_]+)([\W_]*)")
+from spanwise.llm.truncation import pieces
+
+#: A word, or a mark that parts it from the word before it; blanks and commas don't.
+TOKEN = re.compile(r"[^\W_]+|[^\w \t,]|_")
 
 #: Unit words.
 UNITS = frozenset("mm cm dm m km µm um nm in ft yd mi mg g kg t lb oz ms s sec min h hr d °c c f k hz khz mhz ghz v mv kv a ma w kw mw n kn pa kpa mpa bar db px dpi l ml kb mb gb tb".split())
@@ -39,52 +41,56 @@ _DIGIT = re.compile(r"\d")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CODES = np.array([xxhash.xxh64_intdigest(f"\x00{k}") for k in ("word", "number", "unit", "name")], np.uint64)
-#: Gaps after which a capital still lies inside the sentence.
-_INSIDE = frozenset((" ", "  ", "\t", ", ", ",", ",  "))
 
 
 class Coder:
-    """Texts as arrays: the 64-bit code of each word, its kind, and whether it may be a unit; a million forms are remembered."""
+    """Texts as arrays of words: the 64-bit code of each word, its kind, and the place of its text; a million forms are remembered."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def _form(self, word: str) -> tuple[int, int]:
-        """(code, marks): 1 has a digit, 2 a unit word, 4 capitalised and longer than one letter, 8 all capitals."""
-        low = word.lower()
-        marks = 1 if _DIGIT.search(word) else 2 if low in UNITS else 0
-        marks |= 4 if len(word) > 1 and word[0].isupper() else 0
-        marks |= 8 if word.isupper() else 0
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        form = self.known[word] = (xxhash.xxh64_intdigest(low), marks)
-        return form
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, kinds) of the words of a text.
-
-        A capital tells a name only in a text that also has small letters;
-        a text of capitals has no names, and its numbers and units alone are slots.
+        self.known: dict[str, int] = {}
+        self.codes: list[int] = []
+        self.marks: list[int] = []
+
+    def _learn(self, token: str) -> None:
+        """marks: 1 has a digit, 2 a unit word, 4 capitalised and longer than one letter, 8 all capitals, 16 no word."""
+        low = token.lower()
+        marks = 1 if _DIGIT.search(token) else 2 if low in UNITS else 0
+        marks |= 4 if len(token) > 1 and token[0].isupper() else 0
+        marks |= 8 if token.isupper() else 0
+        self.known[token] = len(self.codes)
+        self.codes.append(xxhash.xxh64_intdigest(low))
+        self.marks.append(marks if token[0].isalnum() else 16)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, kinds, text) of the words of all texts.
+
+        A unit follows a number. A name has a capital and follows a word of its
+        sentence, in a text that also has small letters: a text of capitals has
+        no names, and its numbers and units alone are slots.
         """
-        found = WORD.findall(text)
-        get, form = self.known.get, self._form
-        forms = [get(w) or form(w) for w, _ in found]
-        n = len(forms)
-        codes = np.fromiter((f[0] for f in forms), np.uint64, n)
-        marks = np.fromiter((f[1] for f in forms), np.int8, n)
+        if len(self.known) > 1_000_000:
+            self.__init__()
+        tokens: list[str] = []
+        sizes = []
+        for t in texts:
+            found = TOKEN.findall(t)
+            tokens += found
+            sizes.append(len(found))
+        for t in set(tokens) - self.known.keys():
+            self._learn(t)
+        ids = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        marks = np.array(self.marks, np.int8)[ids]
+        word = marks < 16
+        joined = np.append(False, word[:-1] & (text[1:] == text[:-1]))[: len(ids)]
+        at = np.flatnonzero(word)
+        codes, marks, text, joined = np.array(self.codes, np.uint64)[ids[at]], marks[at], text[at], joined[at]
         kinds = (marks & 1).astype(np.int8)
-        after = np.zeros(n, bool)
-        after[1:] = kinds[:-1] == _NUMBER
+        after = np.append(False, (kinds[:-1] == _NUMBER) & (text[1:] == text[:-1]))[: len(at)]
         kinds[(marks & 2 > 0) & after] = _UNIT
-        capital = np.flatnonzero((marks & 4 > 0) & (kinds == _WORD))
-        if len(capital) and not (marks & 8 > 0).sum() > 0.5 * (marks & 1 == 0).sum():
-            inside = [i for i in capital.tolist() if i and _joined(found[i - 1][1])]
-            kinds[inside] = _NAME
-        return codes, kinds
-
-
-def _joined(gap: str) -> bool:
-    return gap in _INSIDE or gap.strip(" \t") in ("", ",")
+        loud = np.bincount(text, marks & 8 > 0, len(texts)) > 0.5 * np.bincount(text, marks & 1 == 0, len(texts))
+        kinds[(marks & 4 > 0) & (kinds == _WORD) & joined & ~loud[text]] = _NAME
+        return codes, kinds, text
 
 
 def _scrambled(codes: np.ndarray) -> np.ndarray:
@@ -175,7 +181,7 @@ def _sized(span: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n = [len(WORD.findall(t)) - span + 1 for t in pdf["text"]]
+            n = [sum(t[0].isalnum() for t in TOKEN.findall(text)) - span + 1 for text in pdf["text"]]
             yield pdf.assign(windows=np.asarray(n, np.int64))[np.asarray(n) > 0]
 
     return run
@@ -187,7 +193,7 @@ class _Probes:
     def __init__(self, ids: list[int], texts: list[str], span: int) -> None:
         coder, hashes, owners, places, self.words, self.ids = Coder(), [], [], [], [], ids
         for i, text in enumerate(texts):
-            codes, kinds = coder.of(text)
+            codes, kinds, _ = coder.of([text])
             self.words.append((codes, kinds))
             plain, masked, named = window_hashes(codes, kinds, span)
             at = np.arange(len(plain), dtype=np.int32)
@@ -202,12 +208,13 @@ class _Probes:
         self.sieve = np.zeros(1 << 18, bool)
         self.sieve[(self.hashes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
-    def met(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, probe) of equal hashes."""
-        maybe = np.flatnonzero(self.sieve[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(self.hashes, h[maybe], "left"), np.searchsorted(self.hashes, h[maybe], "right")
+    def met(self, hashes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, probe) of equal hashes, of the given windows."""
+        windows = windows[self.sieve[(hashes[windows] & np.uint64((1 << 18) - 1)).astype(np.int64)]]
+        h = hashes[windows]
+        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         n = high - low
-        return np.repeat(maybe, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return np.repeat(windows, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
 def _scan(shared, span: int):
@@ -216,35 +223,43 @@ def _scan(shared, span: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         probes, coder = shared.value, Coder()
         for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                if len(text) < 2 * span - 1:
-                    continue
-                codes, kinds = coder.of(text)
-                if len(codes) < span:
-                    continue
-                plain, masked, named = window_hashes(codes, kinds, span)
-                w, p = probes.met(plain)
-                some = np.flatnonzero(named)
-                w2, p2 = probes.met(masked[some])
-                w, p = np.append(w, some[w2]), np.append(p, p2)
-                if not len(w):
-                    continue
-                diagonals = np.unique(np.stack([probes.owners[p].astype(np.int64), w - probes.places[p]]), axis=1)
-                best: dict[int, tuple[int, int, int]] = {}
-                for item, shift in diagonals.T.tolist():
-                    v, t, d = judge(codes, kinds, *probes.words[item], shift, span)
-                    V, T, D = best.get(item, (0, 0, 0))
-                    if (d > 0, t) <= (D > 0, T):
-                        t, d = T, D
-                    best[item] = (max(v, V), t, d)
-                out += [(doc, probes.ids[item], *b) for item, b in best.items() if b[0] >= span or (b[1] >= span and b[2] > 0)]
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item", "verbatim_words", "template_words", "differing_slots"])
+            ids, at = pdf["doc_id"].to_numpy(), 0
+            for texts in pieces(pdf["text"].tolist()):
+                out = _met(probes, coder, texts, span)
+                if out:
+                    found = np.array(out, np.int64)
+                    yield pd.DataFrame({"doc_id": ids[at + found[:, 0]], "item": found[:, 1], **{c: found[:, 2 + i].astype(np.int32) for i, c in enumerate(("verbatim_words", "template_words", "differing_slots"))}})
+                at += len(texts)
 
     return run
 
 
+def _met(probes: _Probes, coder: Coder, texts: list[str], span: int) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, verbatim, template, slots) of the texts with windows of the block."""
+    codes, kinds, text = coder.of(texts)
+    if len(codes) < span:
+        return []
+    plain, masked, named = window_hashes(codes, kinds, span)
+    inside = text[: len(plain)] == text[span - 1 :]
+    w, p = probes.met(plain, np.flatnonzero(inside))
+    w2, p2 = probes.met(masked, np.flatnonzero(inside & named))
+    w, p = np.append(w, w2), np.append(p, p2)
+    if not len(w):
+        return []
+    begin = np.searchsorted(text, np.arange(len(texts) + 1))
+    owner = text[w]
+    diagonals = np.unique(np.stack([owner, probes.owners[p], w - begin[owner] - probes.places[p]]), axis=1)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for doc, item, shift in diagonals.T.tolist():
+        own = slice(begin[doc], begin[doc + 1])
+        v, t, d = judge(codes[own], kinds[own], *probes.words[item], shift, span)
+        V, T, D = best.get((doc, item), (0, 0, 0))
+        if (d > 0, t) <= (D > 0, T):
+            t, d = T, D
+        best[doc, item] = (max(v, V), t, d)
+    return [(doc, probes.ids[item], *b) for (doc, item), b in best.items() if b[0] >= span or (b[1] >= span and b[2] > 0)]
+
+
 def eval_leaks(documents: DataFrame, items: DataFrame, span: int = 13, block_windows: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, kind, verbatim_words, template_words, differing_slots) of documents with passages of items.
 
