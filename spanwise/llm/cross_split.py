@@ -7,11 +7,18 @@ most one flipped bit, so bands of 14 to 20 bits suffice without losing a pair.
 Passages are sharded by (band, leading bits); each shard's passages become one
 Aho-Corasick automaton, which scans the training texts (the bands of each
 training hash, each with its one-bit variants). Matched bands of a pair are
-merged into covered bits, and the pair is checked exactly.
+merged into covered bits, and the pair is checked exactly; over all training
+texts they are merged into the coverage of each evaluation record. A content
+digest is a passage of its own, found whole or not at all.
 
 Training hashes travel only to the shards that can match them, hot shards are
-split into chunks by a hash of the training side, and everything before the
-final pairs works on distinct hashes, so copies are never multiplied.
+split into chunks on both sides, and everything before the final pairs works on
+distinct hashes, so copies are never multiplied: pairs of hashes and the
+numbers of their copies are all that the report needs.
+
+A pair of unrelated hashes meets in a band by chance with 4.7 / 16,384 at a
+radius of 12; so candidates grow with the product of both sides' distinct
+hashes, at some 50 million checked per second and core.
 """
 
 from __future__ import annotations
@@ -91,7 +98,7 @@ def _scanner(bands: list[Band], lead: int, radius: int, block_pairs: int = 2_000
     def scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        columns = ["t_hi", "t_lo", "e_hi", "e_lo", "distance", "covered_bits"]
+        columns = ["t_hi", "t_lo", "e_hi", "e_lo", "distance", "bands"]
         if left.empty or right.empty:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
         number, prefix = divmod(int(key[0]), 1 << lead)
@@ -123,7 +130,7 @@ def _scanner(bands: list[Band], lead: int, radius: int, block_pairs: int = 2_000
             covered, first = np.zeros(len(t), np.int64), np.full(len(t), -1)
             for i in reversed(range(len(bands))):
                 hit = np.bitwise_count(_band_values(bands[i], gap_hi, gap_lo)) <= bands[i].slack
-                covered += hit * bands[i].width
+                covered |= hit.astype(np.int64) << i
                 first[hit] = i
             mine = first == number  # a pair found by several bands is told once, by the first
             if mine.any():
@@ -169,18 +176,21 @@ def _scanner(bands: list[Band], lead: int, radius: int, block_pairs: int = 2_000
     return scan
 
 
+def covered_bits(bands: Column, radius: int) -> Column:
+    """The bits of the bands in a set of bands (bit i for band i)."""
+    return sum((F.when(bands.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, b.width).otherwise(0) for i, b in enumerate(plan_bands(radius))), F.lit(0))
+
+
 def hash_overlaps(hashes: DataFrame, radius: int = 12, passages_per_shard: int = 131_072, texts_per_chunk: int = 400_000) -> DataFrame:
     """Pairs of different or equal hashes, one of the training side and one of the evaluation side, within `radius` bits.
 
-    `hashes`: distinct (hi, lo, in_train, in_eval). Returns (t_hi, t_lo, e_hi, e_lo, distance, covered_bits).
+    `hashes`: distinct (hi, lo, in_train, in_eval). Returns (t_hi, t_lo, e_hi, e_lo, distance, bands), bands being the set of bands that match.
     """
     bands = plan_bands(radius)
     hashes = cut(hashes)
     evals = hashes.where("in_eval").select("hi", "lo")
     trains = hashes.where("in_train").select("hi", "lo")
-    n_eval = evals.count()
-    lead = min(max(1, math.ceil(math.log2(max(1, n_eval) / passages_per_shard))), min(b.width for b in bands) - 4)
-    shards = len(bands) << lead
+    lead = min(max(1, math.ceil(math.log2(max(1, evals.count()) / passages_per_shard))), min(b.width for b in bands) - 4)
 
     def routed(df: DataFrame, bent: bool) -> DataFrame:
         keys = []
@@ -192,18 +202,23 @@ def hash_overlaps(hashes: DataFrame, radius: int = 12, passages_per_shard: int =
                 keys += [prefix.bitwiseXOR(F.lit(1 << j).cast("bigint")).bitwiseOR(base) for j in range(lead)]
         return df.select("hi", "lo", F.explode(F.array(*(k.cast("int") for k in keys))).alias("shard"))
 
-    # One row for each shard: a few hundred at most. Hot shards are scanned in several chunks.
-    sizes = {r.shard: r["count"] for r in routed(trains, True).groupBy("shard").count().collect()}
-    chunks = [max(1, math.ceil(sizes.get(s, 0) / texts_per_chunk)) for s in range(shards)]
-    count = F.element_at(F.array(*map(F.lit, chunks)), F.col("shard") + 1)
-    texts = routed(trains, True).withColumn("chunk", F.pmod(F.xxhash64("hi", "lo"), count).cast("int"))
-    passages = routed(evals, False).withColumn("chunk", F.explode(F.sequence(F.lit(0), count - 1)))
-    n = 2 * sum(chunks)
-    texts = texts.repartition(n, "shard", "chunk")
+    # One row for each shard: with at most ten leading bits, some thousands.
+    count = lambda df, name: df.groupBy("shard").agg(F.count("*").alias(name))
+    sizes = count(routed(trains, True), "t").join(count(routed(evals, False), "e"), "shard").collect()
+    parts = [(r.shard, math.ceil(r.t / texts_per_chunk), math.ceil(r.e / texts_per_chunk)) for r in sizes]
+    plan = F.broadcast(hashes.sparkSession.createDataFrame(parts, "shard int, t_chunks int, e_chunks int"))
+    n = max(1, 2 * sum(t * e for _, t, e in parts))
+    # Each chunk of a shard's texts meets each chunk of its passages; shards with one side only meet nothing.
+    drawn = lambda chunks: F.pmod(F.xxhash64("hi", "lo"), chunks).cast("int")
+    each = lambda chunks: F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))
+    texts = routed(trains, True).join(plan, "shard").withColumn("t_chunk", drawn(F.col("t_chunks"))).withColumn("e_chunk", each("e_chunks"))
+    passages = routed(evals, False).join(plan, "shard").withColumn("e_chunk", drawn(F.col("e_chunks"))).withColumn("t_chunk", each("t_chunks"))
+    texts = texts.select("hi", "lo", "shard", "t_chunk", "e_chunk").repartition(n, "shard", "t_chunk", "e_chunk")
     # Both sides come from one table: fresh names keep a cogroup from mixing their columns.
-    passages = passages.select(F.col("hi").alias("e_hi"), F.col("lo").alias("e_lo"), F.col("shard").alias("e_shard"), F.col("chunk").alias("e_chunk")).repartition(n, "e_shard", "e_chunk")
-    schema = "t_hi long, t_lo long, e_hi long, e_lo long, distance long, covered_bits long"
-    return texts.groupBy("shard", "chunk").cogroup(passages.groupBy("e_shard", "e_chunk")).applyInPandas(_scanner(bands, lead, radius), schema)
+    own = ("shard", "t_chunk", "e_chunk")
+    passages = passages.select(F.col("hi").alias("e_hi"), F.col("lo").alias("e_lo"), *(F.col(c).alias(f"own_{c}") for c in own)).repartition(n, *(f"own_{c}" for c in own))
+    schema = "t_hi long, t_lo long, e_hi long, e_lo long, distance long, bands long"
+    return texts.groupBy(*own).cogroup(passages.groupBy(*(f"own_{c}" for c in own))).applyInPandas(_scanner(bands, lead, radius), schema)
 
 
 def prepared(manifest: DataFrame) -> DataFrame:
@@ -223,6 +238,34 @@ def prepared(manifest: DataFrame) -> DataFrame:
     )
 
 
+def _train() -> Column:
+    return F.col("split") == "train"
+
+
+def _near(images: DataFrame, radius: int) -> DataFrame:
+    """Pairs of distinct telling hashes across the sides; see hash_overlaps."""
+    return hash_overlaps(images.where("telling").groupBy("hi", "lo").agg(F.max(_train()).alias("in_train"), F.max(~_train()).alias("in_eval")), radius)
+
+
+def _equal(images: DataFrame) -> DataFrame:
+    """(sha): digests found on both sides: their first 128 bits by the automaton, the rest by equality."""
+    digests = images.where("sha is not null").groupBy("sha").agg(F.max(_train()).alias("in_train"), F.max(~_train()).alias("in_eval"))
+    digests = digests.select("sha", hex_long(F.col("sha"), 1).alias("hi"), hex_long(F.col("sha"), 17).alias("lo"), "in_train", "in_eval")
+    heads = digests.groupBy("hi", "lo").agg(F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
+    met = hash_overlaps(heads, 0).select(F.col("t_hi").alias("hi"), F.col("t_lo").alias("lo"))
+    return digests.where("in_train and in_eval").join(met, ["hi", "lo"], "left_semi").select("sha")
+
+
+def _side(images: DataFrame, train: bool) -> DataFrame:
+    """One side's columns, prefixed t_ or e_."""
+    p = "t" if train else "e"
+    return images.where(_train() if train else ~_train()).select(*(F.col(c).alias(f"{p}_{c}") for c in images.columns))
+
+
+def _gap() -> Column:
+    return F.bit_count(F.col("t_hi").bitwiseXOR(F.col("e_hi"))) + F.bit_count(F.col("t_lo").bitwiseXOR(F.col("e_lo")))
+
+
 def cross_split_pairs(manifest: DataFrame, radius: int = 12) -> DataFrame:
     """All pairs of a training image and a valid or test image with equal SHA-256 or near perceptual hashes.
 
@@ -232,29 +275,20 @@ def cross_split_pairs(manifest: DataFrame, radius: int = 12) -> DataFrame:
     Null, malformed and one-colour hashes never match; empty files are left
     out; an empty manifest gives no row; repeated image ids count once for a pair.
     """
-    images = prepared(manifest)
-    side = F.col("split") == "train"
-    distinct = images.where("telling").groupBy("hi", "lo").agg(F.max(side).alias("in_train"), F.max(~side).alias("in_eval"))
-    near = hash_overlaps(distinct, radius)
-
-    def of(train: bool, *keys: str) -> DataFrame:
-        p = "t" if train else "e"
-        own = images.where(side if train else ~side)
-        return own.select(F.col("image_id").alias(f"{p}_id"), F.col("split").alias(f"{p}_split"), F.col("source").alias(f"{p}_source"), *(F.col(k).alias(f"{p}_{k}") for k in keys), F.col("telling").alias(f"{p}_telling"))
-
+    images = cut(prepared(manifest))
     keep = ("t_id", "t_source", "e_id", "e_split", "e_source")
+    named = images.withColumnRenamed("image_id", "id")
+    t, e = _side(named, True), _side(named, False)
     by_hash = (
-        near.join(of(True, "hi", "lo").where("t_telling").drop("t_telling"), ["t_hi", "t_lo"])
-        .join(of(False, "hi", "lo").where("e_telling").drop("e_telling"), ["e_hi", "e_lo"])
-        .select(*keep, F.col("distance"), F.col("covered_bits"), F.lit(False).alias("same"))
-    )
-    t, e = of(True, "sha", "hi", "lo"), of(False, "sha", "hi", "lo")
-    gap = F.bit_count(F.col("t_hi").bitwiseXOR(F.col("e_hi"))) + F.bit_count(F.col("t_lo").bitwiseXOR(F.col("e_lo")))
+        _near(images, radius).join(t.where("t_telling"), ["t_hi", "t_lo"]).join(e.where("e_telling"), ["e_hi", "e_lo"])
+        .select(*keep, "distance", "bands", F.coalesce(F.col("t_sha") == F.col("e_sha"), F.lit(False)).alias("same"))
+    )
+    equal = _equal(images)
     by_sha = (
-        t.join(e, t.t_sha == e.e_sha)
-        .select(*keep, gap.cast("bigint").alias("distance"), F.lit(None).cast("bigint").alias("covered_bits"), F.lit(True).alias("same"))
-    )
-    merged = by_hash.unionByName(by_sha).groupBy(*keep).agg(F.min("distance").alias("distance"), F.max("covered_bits").alias("covered_bits"), F.max("same").alias("same"))
+        t.join(equal.withColumnRenamed("sha", "t_sha"), "t_sha", "left_semi").join(e, t.t_sha == e.e_sha)
+        .select(*keep, _gap().cast("bigint").alias("distance"), F.lit(None).cast("bigint").alias("bands"), F.lit(True).alias("same"))
+    )
+    merged = by_hash.unionByName(by_sha).groupBy(*keep).agg(F.min("distance").alias("distance"), F.max("bands").alias("bands"), F.max("same").alias("same"))
     return merged.select(
         F.least("t_id", "e_id").alias("image_id_a"),
         F.greatest("t_id", "e_id").alias("image_id_b"),
@@ -264,19 +298,55 @@ def cross_split_pairs(manifest: DataFrame, radius: int = 12) -> DataFrame:
         F.col("t_source").alias("train_source"),
         F.col("same").alias("sha256_equal"),
         F.col("distance").cast("int").alias("hamming_distance"),
-        F.col("covered_bits").cast("int").alias("covered_bits"),
+        F.when(F.col("bands").isNotNull(), covered_bits(F.col("bands"), radius)).cast("int").alias("covered_bits"),
     )
 
 
-def overlap_report(manifest: DataFrame, radius: int = 12) -> DataFrame:
-    """Per split pair and source of the evaluation image: pairs, equal and near, and evaluation images touched."""
-    return (
-        cross_split_pairs(manifest, radius)
-        .groupBy("split_pair", "eval_source")
-        .agg(
-            F.count("*").alias("pairs"),
-            F.count_if("sha256_equal").alias("equal_pairs"),
-            F.count_if(~F.col("sha256_equal")).alias("near_pairs"),
-            F.count_distinct("eval_image_id").alias("eval_images"),
-        )
+def coverage(manifest: DataFrame, radius: int = 12) -> DataFrame:
+    """(image_id, split, training_hashes, nearest, covered_bits) of each evaluation image near some training image.
+
+    training_hashes: distinct training hashes within the radius; nearest: the
+    smallest distance; covered_bits: the bits of its hash that lie in matched
+    bands, merged over all of them.
+    """
+    images = cut(prepared(manifest))
+    merged = _near(images, radius).groupBy(F.col("e_hi").alias("hi"), F.col("e_lo").alias("lo")).agg(
+        F.count("*").alias("training_hashes"), F.min("distance").cast("int").alias("nearest"), F.bit_or("bands").alias("bands")
     )
+    evals = images.where(~_train() & F.col("telling")).select("image_id", "split", "hi", "lo").distinct()
+    return evals.join(merged, ["hi", "lo"]).select("image_id", "split", "training_hashes", "nearest", covered_bits(F.col("bands"), radius).cast("int").alias("covered_bits"))
+
+
+def overlap_report(manifest: DataFrame, radius: int = 12) -> DataFrame:
+    """Per split pair and source of the evaluation image: pairs, equal and near, and evaluation images touched.
+
+    Counted from pairs of hashes and the numbers of their copies; no pair of copies is ever made.
+    """
+    images = cut(prepared(manifest).groupBy("image_id", "split", "source", "sha", "hi", "lo", "telling").agg(F.lit(1).alias("one")))
+    kinds = cut(images.groupBy("split", "source", "sha", "hi", "lo", "telling").agg(F.count("*").alias("n")))
+    t, e = _side(kinds, True), _side(kinds, False)
+    copies = t.where("t_telling").groupBy("t_hi", "t_lo").agg(F.sum("t_n").alias("t_n"))
+    near = cut(_near(kinds, radius))
+    met = near.join(copies, ["t_hi", "t_lo"]).groupBy("e_hi", "e_lo").agg(F.sum("t_n").alias("t_n"))
+    by_hash = e.where("e_telling").join(met, ["e_hi", "e_lo"])
+    hashes = by_hash.groupBy("e_split", "e_source").agg(F.sum(F.col("t_n") * F.col("e_n")).alias("near"))
+    equal = cut(_equal(kinds))
+    both = t.join(equal.withColumnRenamed("sha", "t_sha"), "t_sha", "left_semi").join(e, t.t_sha == e.e_sha)
+    also = F.coalesce(F.col("t_telling") & F.col("e_telling") & (_gap() <= radius), F.lit(False))
+    n = F.col("t_n") * F.col("e_n")
+    digests = both.groupBy("e_split", "e_source").agg(F.sum(n).alias("equal"), F.sum(F.when(also, n).otherwise(0)).alias("also"))
+    # An evaluation class counts once, however it was touched.
+    touched = e.join(near.select("e_hi", "e_lo", F.lit(True).alias("e_telling")).distinct(), ["e_hi", "e_lo", "e_telling"], "left_semi").select(*e.columns)
+    touched = touched.unionByName(e.join(equal.withColumnRenamed("sha", "e_sha"), "e_sha", "left_semi").select(*e.columns)).distinct()
+    seen = touched.groupBy("e_split", "e_source").agg(F.sum("e_n").alias("eval_images"))
+    keys = [F.col("e_split"), F.coalesce("e_source", F.lit("\x00")).alias("e_source")]
+    out = None
+    for part in (hashes, digests, seen):
+        part = part.select(*keys, *part.columns[2:])
+        out = part if out is None else out.join(part, ["e_split", "e_source"], "full_outer")
+    out = out.fillna(0, ["near", "equal", "also", "eval_images"])
+    pairs = F.col("near") + F.col("equal") - F.col("also")
+    return out.select(
+        F.concat(F.lit("train/"), "e_split").alias("split_pair"), F.nullif("e_source", F.lit("\x00")).alias("eval_source"), pairs.alias("pairs"),
+        F.col("equal").alias("equal_pairs"), (pairs - F.col("equal")).alias("near_pairs"), "eval_images",
+    )
