@@ -3,10 +3,14 @@
 Whole components (all records of one group) are assigned to splits with given
 shares. Starting from a hashed assignment, annealing moves or exchanges whole
 components to reduce the deviation of sizes and of label counts from the
-shares. It runs in parallel: components are hashed into blocks of bounded
-size, each block is annealed from several seeds and keeps its best. Giant
-components, each over a thousandth of all records and therefore bounded in
-number, are placed first; the blocks then aim at what the giants leave over.
+shares, from several starts, and keeps the best.
+
+It runs in parallel: components are put into tiers by size, each tier spanning a
+factor of a thousand, and hashed within their tier into blocks of bounded
+number. A full block's largest component then is at most a twentieth of it, so
+blocks can be balanced on their own. Tiers are taken from the largest
+components down, and each aims at what those before it left over. Every
+component, however large, goes through the search.
 """
 
 from __future__ import annotations
@@ -22,56 +26,89 @@ from spanwise.session import cut
 
 SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
 
-#: How often at least each component of a block is tried in a seed.
-TRIES = 3
+#: How often at least each component of a block is tried from one start.
+TRIES = 8
+#: Components of one tier differ in size by less than this factor.
+TIER = 1_000
 
 
-def anneal(sizes: np.ndarray, labels: np.ndarray, aim: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
-    """(energy, split of each component). `aim`: wanted (splits, 1 + labels) totals, size first."""
+def anneal(sizes: np.ndarray, labels: np.ndarray, aim: np.ndarray, start: np.ndarray, seed: int, steps: int, batch: int = 128) -> tuple[float, np.ndarray]:
+    """(energy, split of each component). `aim`: wanted (splits, 1 + labels) totals, size first.
+
+    Proposals are judged in batches of different components: those that pass on
+    their own are applied together up to the number that serves best.
+    """
     rng = np.random.default_rng(seed)
     n, k = len(sizes), len(aim)
     load = np.concatenate([sizes[:, None], labels], axis=1).astype(float)
     scale = np.maximum(load.sum(0), 1.0)
     weight = np.append(1.0, np.full(labels.shape[1], 0.25 / max(1, labels.shape[1])))
     at = start.copy()
-    have = np.zeros_like(aim, dtype=float)
-    np.add.at(have, at, load)
-    cost = lambda gap: float((weight * np.abs(gap) / scale).sum())
-    energy = cost(have - aim)
+    gap = -aim.astype(float)
+    np.add.at(gap, at, load)
+    cost = lambda g: (weight * np.abs(g) / scale).sum((-2, -1))
+    energy = float(cost(gap))
     best, best_at = energy, at.copy()
     if n == 0 or k < 2:
         return best, best_at
-    # The first of two comes from whole permutations, so that each component is tried.
-    first = rng.permuted(np.tile(np.arange(n), (math.ceil(steps / n), 1)), axis=1).ravel()[:steps]
-    picks, others = np.stack([first, rng.integers(n, size=steps)], axis=1), rng.integers(1, k, size=steps)
-    swaps, luck = rng.random(steps) < 0.5, rng.random(steps)
-    heat = max(energy, 1e-6) / 4
-    for s in range(steps):
-        i, j = picks[s]
-        if swaps[s] and at[i] != at[j]:
-            a, b, change = at[i], at[j], load[i] - load[j]
-        else:
-            a, b, change, j = at[i], (at[i] + others[s]) % k, load[i], -1
-        have[a] -= change
-        have[b] += change
-        new = cost(have - aim)
-        if new <= energy or luck[s] < math.exp((energy - new) / (heat * (1 - s / steps) + 1e-12)):
-            if j >= 0:
-                at[j] = a
-            at[i] = b
-            energy = new
-            if energy < best:
-                best, best_at = energy, at.copy()
+    batch = max(1, min(batch, n // 4))
+    rounds = math.ceil(max(steps, n) / batch)
+    heat, order = max(energy, 1e-6) / 4, np.empty(0, np.int64)
+    for r in range(rounds):
+        if len(order) < 2 * batch:  # whole permutations, so that each component is tried
+            order = np.append(order, rng.permutation(n))
+        i, order = order[:batch], order[batch:]
+        j = None
+        if rng.random() < 0.5 and n > 1:
+            j = rng.permutation(n)[: len(i)] if n < 2 * batch + 2 else order[:batch]
+            apart = (at[i] != at[j]) & (i != j)
+            i, j = i[apart], j[apart]
+            _, one = np.unique(np.sort(np.stack([i, j]), axis=0)[0], return_index=True)
+            used, keep = set(), []
+            for x in one.tolist():  # no component twice in a batch
+                if i[x] not in used and j[x] not in used:
+                    used.update((int(i[x]), int(j[x])))
+                    keep.append(x)
+            i, j = i[keep], j[keep]
+            a, b, moved = at[i], at[j], load[i] - load[j]
         else:
-            have[a] += change
-            have[b] -= change
+            i = np.unique(i)
+            a, moved = at[i], load[i]
+            b = (a + rng.integers(1, k, size=len(i))) % k
+        if not len(i):
+            continue
+        change = np.zeros((len(i), *gap.shape))
+        rows = np.arange(len(i))
+        change[rows, a] -= moved
+        change[rows, b] += moved
+        own = cost(gap + change) - energy
+        warm = heat * (1 - r / rounds) / len(i) + 1e-12
+        picked = np.flatnonzero((own <= 0) | (rng.random(len(i)) < np.exp(-np.maximum(own, 0) / warm)))
+        if not len(picked):
+            continue
+        picked = picked[np.argsort(own[picked], kind="stable")]
+        after = np.cumsum(change[picked], axis=0)
+        energies = cost(gap + after)
+        m = int(np.argmin(energies))
+        if energies[m] > energy and rng.random() >= math.exp(-(energies[m] - energy) / warm):
+            continue
+        taken = picked[: m + 1]
+        at[i[taken]] = b[taken]
+        if j is not None:
+            at[j[taken]] = a[taken]
+        gap += after[m]
+        energy = float(energies[m])
+        if energy < best - 1e-15:
+            best, best_at = energy, at.copy()
     return best, best_at
 
 
 def _search(sizes, labels, aim, hashed, seeds: int, steps: int) -> np.ndarray:
-    """The best of several seeds, with `steps` or more, growing with the components; the first starts from the hash, the others from a rotation of it."""
-    steps = max(steps, TRIES * len(sizes))
-    runs = [anneal(sizes, labels, aim, (hashed + (seed > 0) * seed) % len(aim) if seed % 2 else hashed, seed, steps) for seed in range(seeds)]
+    """The best of several seeds, with `steps` or more, growing with the components; the first starts from the hash, each other from a draw of its own."""
+    n, steps = len(sizes), max(steps, TRIES * len(sizes))
+    edges = np.cumsum(aim[:, 0]) / max(aim[:, 0].sum(), 1e-9)
+    draw = lambda seed: np.minimum(np.searchsorted(edges, np.random.default_rng(1_000 + seed).random(n), "right"), len(aim) - 1)
+    runs = [anneal(sizes, labels, aim, draw(seed) if seed else hashed, seed, steps) for seed in range(seeds)]
     return min(runs, key=lambda r: r[0])[1]
 
 
@@ -92,49 +129,38 @@ def component_table(records: DataFrame, group: Column, record: Column, labels: l
     )
 
 
-def assign_components(parts: DataFrame, shares: dict[str, float] | None = None, block: int = 20_000, seeds: int = 4, steps: int = 6_000) -> DataFrame:
+def assign_components(parts: DataFrame, shares: dict[str, float] | None = None, block: int = 20_000, seeds: int = 4, steps: int = 2_000) -> DataFrame:
     """Adds `split` to a component table. Every component gets exactly one split; an empty table stays empty."""
     shares = shares or SHARES
     names = list(shares)
     part = np.array([shares[n] for n in names]) / sum(shares.values())
     parts = cut(parts)
     width = parts.select(F.max(F.size("labels"))).first()[0] or 0
-    sums = parts.agg(F.sum("size"), F.count("*"), *(F.sum(F.col("labels")[i]) for i in range(width))).first()
-    total, n = sums[0] or 0, sums[1]
-    all_labels = np.array([x or 0 for x in sums[2:]], dtype=float)
-    giant = max(1, total // 1000)  # fewer than 1000 components are larger
-    big = parts.where(F.col("size") > giant).select("component", "size", "labels").orderBy("component").collect()
-    whole = np.append(float(total), all_labels)
-    aim = part[:, None] * whole[None, :]
-    placed: dict[str, str] = {}
-    if big:
-        sizes, labels = np.array([r["size"] for r in big]), np.array([r["labels"] for r in big], dtype=float).reshape(len(big), width)
-        order = np.argsort(-sizes, kind="stable")
-        at, room = np.zeros(len(big), int), aim[:, 0].copy()
-        for i in order:  # first into the split with most room, then annealed on sizes and labels
-            at[i] = int(np.argmax(room))
-            room[at[i]] -= sizes[i]
-        loose = whole - np.append(sizes.sum(), labels.sum(0))
-
-        def left(at: np.ndarray) -> np.ndarray:
-            have = np.zeros_like(aim)
-            np.add.at(have, at, np.concatenate([sizes[:, None], labels], axis=1))
-            return aim - have
-
-        rest = left(at)
-        tried = anneal(sizes, labels, aim if loose[0] == 0 else np.maximum(aim * (1 - loose / np.maximum(whole, 1)), 0), at, 0, steps)[1]
-        # Where the giants fitted, none of the splits may be overfull for the labels' sake.
-        if (rest[:, 0] < 0).any() or loose[0] < 0.05 * total or (left(tried)[:, 0] >= 0).all():
-            at, rest = tried, left(tried)
-        placed = {r["component"]: names[a] for r, a in zip(big, at)}
-        aim = np.maximum(rest, 0)
-        aim = aim * (loose / np.maximum(aim.sum(0), 1e-9))[None, :]
-    goal = aim / np.maximum(aim.sum(0), 1e-9)[None, :]  # shares of the rest by split, for size and each label
-
-    blocks = max(1, math.ceil((n - len(big)) / block))
-    small = parts.where(F.col("size") <= giant)
+    totals = [F.sum("size").alias("size"), F.count("*").alias("n"), *(F.sum(F.col("labels")[i]).alias(f"l{i}") for i in range(width))]
+    vector = lambda r: np.array([float(r["size"]), *(float(r[f"l{i}"] or 0) for i in range(width))])
+    total = parts.agg(F.sum("size")).first()[0] or 1
+    tier = F.floor(F.log(F.lit(float(total)) / F.greatest("size", F.lit(1))) / math.log(TIER)).cast("int")
     h = F.xxhash64("component")
-    small = small.select("component", "size", "labels", F.pmod(h, F.lit(blocks)).alias("block"), F.pmod(F.shiftright(h, 20), F.lit(1_000_000)).alias("lot"))
+    drawn = parts.select("component", "size", "labels", tier.alias("tier"), h.alias("h"))
+    # One row for each tier: as many as the total has groups of three digits.
+    tiers = sorted(drawn.groupBy("tier").agg(*totals).collect(), key=lambda r: r.tier)
+    aim = part[:, None] * sum((vector(r) for r in tiers), np.zeros(1 + width))[None, :]
+    have = np.zeros_like(aim)
+    kind = "component string, size long, labels array<long>, split string"
+    placed = parts.sparkSession.createDataFrame([], kind)
+    for r in tiers:
+        need = np.maximum(aim - have, 0)
+        goal = need / np.maximum(need.sum(0), 1e-9)[None, :]
+        blocks = max(1, math.ceil(r.n / block))
+        own = drawn.where(F.col("tier") == r.tier).select("component", "size", "labels", F.pmod("h", F.lit(blocks)).alias("block"), F.pmod(F.shiftright("h", 20), F.lit(1_000_000)).alias("lot"))
+        moved = cut(own.repartition(blocks, "block").groupBy("block").applyInPandas(_solver(goal, names, width, seeds, steps), kind))
+        for x in moved.groupBy("split").agg(*totals).collect():
+            have[names.index(x.split)] += vector(x)
+        placed = placed.unionByName(moved)
+    return parts.join(placed.select("component", "split"), "component")
+
+
+def _solver(goal: np.ndarray, names: list[str], width: int, seeds: int, steps: int):
     edges = np.cumsum(goal[:, 0])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,14 +168,20 @@ def assign_components(parts: DataFrame, shares: dict[str, float] | None = None,
         sizes = pdf["size"].to_numpy(np.int64)
         labels = np.array(pdf["labels"].tolist(), dtype=float).reshape(len(pdf), width)
         hashed = np.minimum(np.searchsorted(edges, pdf["lot"].to_numpy() / 1e6, "right"), len(names) - 1)
-        own = goal * np.append(sizes.sum(), labels.sum(0))[None, :]
-        at = _search(sizes, labels, own, hashed, seeds, steps)
-        return pd.DataFrame({"component": pdf["component"], "split": [names[a] for a in at]})
-
-    moved = small.repartition(max(blocks, 1), "block").groupBy("block").applyInPandas(solve, "component string, split string")
-    if placed:
-        moved = moved.unionByName(parts.sparkSession.createDataFrame(list(placed.items()), "component string, split string"))
-    return parts.join(moved, "component")
+        aim = goal * np.append(sizes.sum(), labels.sum(0))[None, :]
+        at = _search(sizes, labels, aim, hashed, seeds, steps)
+        return pdf[["component", "size", "labels"]].assign(split=[names[a] for a in at])
+
+    return solve
+
+
+def split_balance(assigned: DataFrame) -> DataFrame:
+    """(split, label, records, share): the share that each split has of all records ('size') and of each label's records."""
+    long = assigned.select("split", F.posexplode(F.concat(F.array("size"), "labels")).alias("i", "n"))
+    label = F.when(F.col("i") == 0, "size").otherwise(F.concat(F.lit("label_"), (F.col("i") - 1).cast("string")))
+    sums = long.groupBy("split", label.alias("label")).agg(F.sum("n").alias("records"))
+    whole = sums.groupBy("label").agg(F.sum("records").alias("all"))  # one row for each label
+    return sums.join(F.broadcast(whole), "label").select("split", "label", "records", F.try_divide("records", "all").alias("share"))
 
 
 def image_labels(width: int = 6) -> list[Column]:
