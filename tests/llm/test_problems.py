@@ -86,6 +86,12 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hot_labels_and_hubs(spark):
+    edges = [(1, k) for k in range(2, 400)] + [(k, k + 1) for k in range(400, 460)] + [(399, 400), (1000, 1001)]
+    got = dict(components.components(spark.createDataFrame(edges, "a long, b long"), hot_rows=20).collect())
+    assert got == {k: 1 for k in range(1, 461)} | {1000: 1000, 1001: 1000}
+
+
 def test_consensus_votes_and_priority():
     assert survivors.consensus(["a/b.txt", "a/c.txt", "a/c.txt"], [1.0, 1.0, 1.0]) == ["a", "/", "c", ".", "txt"]
     assert survivors.closest(["a/b.txt", "a/c.txt", "x"], [0.5, 0.25, 0.125]) == 0
@@ -162,7 +168,7 @@ def test_eval_leaks(spark):
 
 def judged(doc, item):
     coder = eval_leaks.Coder()
-    return eval_leaks.judge(*coder.of(doc), *coder.of(item), 0, 13)
+    return eval_leaks.judge(*coder.of([doc])[:2], *coder.of([item])[:2], 0, 13)
 
 
 def test_slots_must_be_consistent():
@@ -190,7 +196,7 @@ def test_copies_of_items_and_texts_of_capitals(spark):
 def longest_consistent(doc, item):
     """Brute force on one diagonal: the words of the longest run with replaced slots that map one-to-one."""
     coder = eval_leaks.Coder()
-    (a, ka), (b, kb), best = coder.of(doc), coder.of(item), 0
+    (a, ka, _), (b, kb, _), best = coder.of([doc]), coder.of([item]), 0
     for s in range(len(b)):
         for e in range(s + 1, min(len(a), len(b)) + 1):
             pairs = list(zip(b[s:e].tolist(), a[s:e].tolist(), kb[s:e].tolist(), ka[s:e].tolist()))
