@@ -224,7 +224,7 @@ def hash_overlaps(hashes: DataFrame, radius: int = 12, passages_per_shard: int =
 def prepared(manifest: DataFrame) -> DataFrame:
     """(image_id, split, source, sha, hi, lo, telling) of images with content and a known split.
 
-    sha and hi/lo are null where the hash is missing or malformed; `telling`
+    sha (32 bytes) and hi/lo are null where the hash is missing or malformed; `telling`
     is false for hashes of (nearly) one colour, which match nothing.
     """
     ones = F.bit_count("hi") + F.bit_count("lo")
@@ -233,7 +233,7 @@ def prepared(manifest: DataFrame) -> DataFrame:
         manifest.where("file_size_bytes > 0")
         .select("image_id", unify_split(F.col("split")).alias("split"), plain(F.col("source")).alias("source"), hex_text(F.col("image_sha256"), 64).alias("sha"), hex_text(F.col("perceptual_hash"), 32).alias("perceptual"))
         .where("split is not null")
-        .select("image_id", "split", "source", "sha", hex_long(F.col("perceptual"), 1).alias("hi"), hex_long(F.col("perceptual"), 17).alias("lo"))
+        .select("image_id", "split", "source", F.unhex("sha").alias("sha"), hex_long(F.col("perceptual"), 1).alias("hi"), hex_long(F.col("perceptual"), 17).alias("lo"))
         .withColumn("telling", F.coalesce((ones > 8) & (ones < 120), F.lit(False)))
     )
 
@@ -247,13 +247,24 @@ def _near(images: DataFrame, radius: int) -> DataFrame:
     return hash_overlaps(images.where("telling").groupBy("hi", "lo").agg(F.max(_train()).alias("in_train"), F.max(~_train()).alias("in_eval")), radius)
 
 
+def _head(c: Column) -> list[Column]:
+    """The first 128 bits of a digest as two numbers."""
+    return [hex_long(F.hex(F.substring(c, 1, 16)), 1).alias("hi"), hex_long(F.hex(F.substring(c, 1, 16)), 17).alias("lo")]
+
+
 def _equal(images: DataFrame) -> DataFrame:
-    """(sha): digests found on both sides: their first 128 bits by the automaton, the rest by equality."""
-    digests = images.where("sha is not null").groupBy("sha").agg(F.max(_train()).alias("in_train"), F.max(~_train()).alias("in_eval"))
-    digests = digests.select("sha", hex_long(F.col("sha"), 1).alias("hi"), hex_long(F.col("sha"), 17).alias("lo"), "in_train", "in_eval")
-    heads = digests.groupBy("hi", "lo").agg(F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
-    met = hash_overlaps(heads, 0).select(F.col("t_hi").alias("hi"), F.col("t_lo").alias("lo"))
-    return digests.where("in_train and in_eval").join(met, ["hi", "lo"], "left_semi").select("sha")
+    """(hi, lo): heads of digests found on both sides by the automaton; the rest of the digest is compared where they meet."""
+    heads = images.where("sha is not null").select(*_head(F.col("sha")), _train().alias("train"))
+    heads = heads.groupBy("hi", "lo").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
+    return hash_overlaps(heads, 0).select(F.col("t_hi").alias("hi"), F.col("t_lo").alias("lo"))
+
+
+def _by_digest(images: DataFrame, *columns: str) -> DataFrame:
+    """Pairs of equal digests across the sides, columns prefixed t_ and e_; the heads that the automaton found come first."""
+    rows = images.where("sha is not null").select(*images.columns, *(c.alias(f"head_{n}") for n, c in zip(("hi", "lo"), _head(F.col("sha")))))
+    met = rows.join(_equal(images).select(F.col("hi").alias("head_hi"), F.col("lo").alias("head_lo")), ["head_hi", "head_lo"], "left_semi").select("split", "sha", *columns)
+    t, e = _side(met, True), _side(met, False)
+    return t.join(e, t.t_sha == e.e_sha)
 
 
 def _side(images: DataFrame, train: bool) -> DataFrame:
@@ -269,33 +280,24 @@ def _gap() -> Column:
 def cross_split_pairs(manifest: DataFrame, radius: int = 12) -> DataFrame:
     """All pairs of a training image and a valid or test image with equal SHA-256 or near perceptual hashes.
 
-    Columns: image_id_a < image_id_b, eval_image_id, split_pair (train first), eval_source,
-    train_source, sha256_equal, hamming_distance (null without two hashes),
+    Columns: image_id_a < image_id_b, eval_image_id, split_pair (train first),
+    sha256_equal, hamming_distance (null without two hashes),
     covered_bits (null where only the SHA-256 matched).
     Null, malformed and one-colour hashes never match; empty files are left
     out; an empty manifest gives no row; repeated image ids count once for a pair.
     """
-    images = cut(prepared(manifest))
-    keep = ("t_id", "t_source", "e_id", "e_split", "e_source")
-    named = images.withColumnRenamed("image_id", "id")
-    t, e = _side(named, True), _side(named, False)
-    by_hash = (
-        _near(images, radius).join(t.where("t_telling"), ["t_hi", "t_lo"]).join(e.where("e_telling"), ["e_hi", "e_lo"])
-        .select(*keep, "distance", "bands", F.coalesce(F.col("t_sha") == F.col("e_sha"), F.lit(False)).alias("same"))
-    )
-    equal = _equal(images)
-    by_sha = (
-        t.join(equal.withColumnRenamed("sha", "t_sha"), "t_sha", "left_semi").join(e, t.t_sha == e.e_sha)
-        .select(*keep, _gap().cast("bigint").alias("distance"), F.lit(None).cast("bigint").alias("bands"), F.lit(True).alias("same"))
-    )
+    images = cut(prepared(manifest).select(F.col("image_id").alias("id"), "split", "sha", "hi", "lo", "telling"))
+    keep = ("t_id", "e_id", "e_split")
+    hashed = images.where("telling").select("id", "split", "hi", "lo")
+    by_hash = _near(images, radius).join(_side(hashed, True), ["t_hi", "t_lo"]).join(_side(hashed, False), ["e_hi", "e_lo"])
+    by_hash = by_hash.select(*keep, "distance", "bands", F.lit(False).alias("same"))
+    by_sha = _by_digest(images, "id", "hi", "lo").select(*keep, _gap().cast("bigint").alias("distance"), F.lit(None).cast("bigint").alias("bands"), F.lit(True).alias("same"))
     merged = by_hash.unionByName(by_sha).groupBy(*keep).agg(F.min("distance").alias("distance"), F.max("bands").alias("bands"), F.max("same").alias("same"))
     return merged.select(
         F.least("t_id", "e_id").alias("image_id_a"),
         F.greatest("t_id", "e_id").alias("image_id_b"),
         F.col("e_id").alias("eval_image_id"),
         F.concat(F.lit("train/"), "e_split").alias("split_pair"),
-        F.col("e_source").alias("eval_source"),
-        F.col("t_source").alias("train_source"),
         F.col("same").alias("sha256_equal"),
         F.col("distance").cast("int").alias("hamming_distance"),
         F.when(F.col("bands").isNotNull(), covered_bits(F.col("bands"), radius)).cast("int").alias("covered_bits"),
@@ -309,7 +311,7 @@ def coverage(manifest: DataFrame, radius: int = 12) -> DataFrame:
     smallest distance; covered_bits: the bits of its hash that lie in matched
     bands, merged over all of them.
     """
-    images = cut(prepared(manifest))
+    images = cut(prepared(manifest).select("image_id", "split", "hi", "lo", "telling"))
     merged = _near(images, radius).groupBy(F.col("e_hi").alias("hi"), F.col("e_lo").alias("lo")).agg(
         F.count("*").alias("training_hashes"), F.min("distance").cast("int").alias("nearest"), F.bit_or("bands").alias("bands")
     )
@@ -330,14 +332,13 @@ def overlap_report(manifest: DataFrame, radius: int = 12) -> DataFrame:
     met = near.join(copies, ["t_hi", "t_lo"]).groupBy("e_hi", "e_lo").agg(F.sum("t_n").alias("t_n"))
     by_hash = e.where("e_telling").join(met, ["e_hi", "e_lo"])
     hashes = by_hash.groupBy("e_split", "e_source").agg(F.sum(F.col("t_n") * F.col("e_n")).alias("near"))
-    equal = cut(_equal(kinds))
-    both = t.join(equal.withColumnRenamed("sha", "t_sha"), "t_sha", "left_semi").join(e, t.t_sha == e.e_sha)
+    both = cut(_by_digest(kinds, "source", "hi", "lo", "telling", "n"))
     also = F.coalesce(F.col("t_telling") & F.col("e_telling") & (_gap() <= radius), F.lit(False))
     n = F.col("t_n") * F.col("e_n")
     digests = both.groupBy("e_split", "e_source").agg(F.sum(n).alias("equal"), F.sum(F.when(also, n).otherwise(0)).alias("also"))
     # An evaluation class counts once, however it was touched.
     touched = e.join(near.select("e_hi", "e_lo", F.lit(True).alias("e_telling")).distinct(), ["e_hi", "e_lo", "e_telling"], "left_semi").select(*e.columns)
-    touched = touched.unionByName(e.join(equal.withColumnRenamed("sha", "e_sha"), "e_sha", "left_semi").select(*e.columns)).distinct()
+    touched = touched.unionByName(e.join(both.select("e_sha").distinct(), "e_sha", "left_semi").select(*e.columns)).distinct()
     seen = touched.groupBy("e_split", "e_source").agg(F.sum("e_n").alias("eval_images"))
     keys = [F.col("e_split"), F.coalesce("e_source", F.lit("\x00")).alias("e_source")]
     out = None
