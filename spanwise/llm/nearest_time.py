@@ -22,20 +22,24 @@ from spanwise.session import cut
 _CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
-#: Times nearer than this to the ends of a 64-bit number pair with nothing.
-_LIMIT = 9_200_000_000_000_000_000
+_ENDS = {True: "9223372036854775807L", False: "(-9223372036854775807L - 1L)"}
 
 
 def _floor(t: str, width: int) -> Column:
-    """Bucket of a whole-number time, exact and rounded down."""
-    return F.expr(f"({t} - pmod({t}, {width}L)) div {width}L")
+    """Bucket of a whole-number time, exact, rounded down and safe at both ends of 64 bits."""
+    return F.expr(f"({t} div {width}L) - if({t} % {width}L < 0, 1L, 0L)")
+
+
+def _shifted(t: str, by: int) -> str:
+    """t + by, held at the ends of 64 bits."""
+    return f"coalesce(try_add({t}, {by}L), {_ENDS[by > 0]})"
 
 
 def _times(df: DataFrame, entity: str, time: str, key: str) -> DataFrame:
     t = F.col(time).cast("bigint")
     return (
         df.select(plain(F.col(entity)).alias("entity"), t.alias("t"), F.col(key).cast("bigint").alias("id"))
-        .where(f"entity is not null and t is not null and t <> 0 and t between -{_LIMIT}L and {_LIMIT}L and id is not null")
+        .where("entity is not null and t is not null and t <> 0 and id is not null")
     )
 
 
@@ -53,7 +57,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, time: str, k
     spark = left.sparkSession
     rows = _times(left, entity, time, key)
     slot = slot_widths * tolerance
-    near = F.array_distinct(F.array(*(_floor(f"(t + {d}L)", slot) for d in (-tolerance, 0, tolerance))))
+    near = F.array_distinct(F.array(*(_floor(_shifted("t", d) if d else "t", slot) for d in (-tolerance, 0, tolerance))))
     # Copies shrink to one row for each time before anything is paired.
     rights = _times(right, entity, time, key).groupBy("entity", "t").agg(F.min("id").alias("r_id"))
     rights = rights.select("entity", F.explode(near).alias("slot"), F.col("t").alias("r_t"), "r_id")
@@ -68,7 +72,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, time: str, k
     while not last:
         last, ring = width >= tolerance, ring + 1
         here = _floor("t", width)
-        asked = state.select("*", F.explode_outer(F.when(~F.col("done"), F.array(here - 1, here, here + 1))).alias("bucket"))
+        asked = state.select("*", F.explode_outer(F.when(~F.col("done"), F.array(F.try_subtract(here, F.lit(1)), here, F.try_add(here, F.lit(1))))).alias("bucket"))
         gap = F.abs(F.col("r_t") - F.col("t"))
         match = F.when(gap <= tolerance, F.struct(gap.alias("distance"), F.col("r_t"), F.col("r_id")))
         state = (
@@ -76,7 +80,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, time: str, k
             .groupBy("l.entity", "l.slot", "t")
             .agg(F.first("best").alias("held"), F.min(match).alias("seen"), F.first("done").alias("done"), F.first("rings").alias("rings"))
         )
-        edge = F.least(F.col("t") - (here - 1) * width, (here + 2) * width - F.col("t"))
+        into = F.expr(f"pmod(t, {width}L)")
+        edge = F.least(into + width, 2 * width - into)
         proven = F.coalesce(F.col("seen.distance") <= edge, F.lit(False)) | F.lit(last)
         state = state.select(
             "entity", "slot", "t",
