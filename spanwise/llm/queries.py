@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanwise.llm import components, cross_split, eval_leaks, grouped_splits, mixture, nearest_time, survivors, truncation
+from spanwise.functions.text import unify_source
 from spanwise.session import table
 
 
@@ -79,6 +80,35 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)
 """
 
 
+P1_REPORT_SQL = P1_SQL.split("SELECT least")[0] + f"""
+SELECT 'train/' || e.s AS split_pair, lower(trim(f.source)) AS eval_source, count(*) AS pairs, count(*) FILTER (coalesce(t.sha = e.sha, false)) AS equal_pairs,
+  count(*) FILTER (NOT coalesce(t.sha = e.sha, false)) AS near_pairs, count(DISTINCT e.image_id)::BIGINT AS eval_images
+FROM p JOIN c t ON t.image_id = p.t JOIN c e ON e.image_id = p.e JOIN manifest f ON f.image_id = e.image_id GROUP BY ALL"""
+
+
+def _coverage_sql(radius: int) -> str:
+    """Coverage by brute force; the bands are those of the plan."""
+    xor = {0: "xor(t.hi, e.hi)", 1: "xor(t.lo, e.lo)"}
+    bands = cross_split.plan_bands(radius)
+    hit = [" + ".join(f"bit_count((({xor[h]} >> {s}) & {(1 << w) - 1})::BIT)" for h, s, w in b.pieces) + f" <= {b.slack}" for b in bands]
+    bits = " + ".join(f"CASE WHEN ({h}) THEN {1 << i} ELSE 0 END" for i, h in enumerate(hit))
+    width = " + ".join(f"CASE WHEN bands & {1 << i} > 0 THEN {b.width} ELSE 0 END" for i, b in enumerate(bands))
+    return P1_SQL.split("p AS (")[0].rstrip().rstrip(",") + f""",
+h AS (SELECT DISTINCT s = 'train' AS train, hi, lo FROM c WHERE s IS NOT NULL AND n BETWEEN 9 AND 119),
+o AS (SELECT e.hi, e.lo, bit_count(xor(t.hi, e.hi)::BIT) + bit_count(xor(t.lo, e.lo)::BIT) AS d, {bits} AS b FROM h t JOIN h e ON t.train AND NOT e.train
+  WHERE bit_count(xor(t.hi, e.hi)::BIT) + bit_count(xor(t.lo, e.lo)::BIT) <= {radius}),
+g AS (SELECT hi, lo, count(*) AS n, min(d) AS d, bit_or(b) AS bands FROM o GROUP BY hi, lo)
+SELECT DISTINCT image_id, s AS split, g.n AS training_hashes, d::INT AS nearest, ({width})::INT AS covered_bits FROM c JOIN g USING (hi, lo) WHERE s IN ('valid', 'test')"""
+
+
+P4_RECORDS_SQL = f"""WITH f AS ({P4_SQL}), r AS (SELECT * FROM f WHERE field_name = 'record'), b AS (SELECT * FROM gyu_det_v3_baseline_v1)
+SELECT r.duplicate_group_id, r.record_id, l.label_relative_path, a.annotation_count::VARCHAR AS annotation_count, c.class_ids, w.width::VARCHAR AS width, h.height::VARCHAR AS height FROM r
+""" + "\n".join(
+    f"LEFT JOIN (SELECT f.duplicate_group_id, b.{c} FROM f JOIN b USING (record_id) WHERE field_name = '{c}') {n} ON {n}.duplicate_group_id = r.duplicate_group_id"
+    for n, c in (("l", "label_relative_path"), ("a", "annotation_count"), ("c", "class_ids"), ("w", "width"), ("h", "height"))
+)
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = cross_split.cross_split_pairs(table(spark, sf, "manifest"))
     return pairs.select("image_id_a", "image_id_b")
@@ -88,6 +118,10 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split.overlap_report(table(spark, sf, "manifest"))
 
 
+def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return cross_split.coverage(table(spark, sf, "manifest"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = nearest_time.nearest_in_time(table(spark, sf, "trajectory_est"), table(spark, sf, "trajectory_gt"), "run_id", "timestamp_ns", "sample_id", 50_000_000)
     return pairs.select(F.col("left_id").alias("est_sample_id"), F.col("right_id").alias("gt_sample_id"))
@@ -99,7 +133,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_records(spark: SparkSession, sf: str) -> DataFrame:
-    return survivors.surviving_records(table(spark, sf, "gyu_det_v3_baseline_v1"))
+    """One built record a group, by the stated order; numbers as text, as some are missing."""
+    d = survivors.surviving_records(table(spark, sf, "gyu_det_v3_baseline_v1"))
+    return d.select(*(F.col(c).cast("string").alias(c) if c in ("annotation_count", "width", "height") else F.col(c) for c in d.columns))
+
+
+def p4_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """Values by weighted consensus of all records of a group, not by the stated order."""
+    chosen = survivors.image_consensus(table(spark, sf, "gyu_det_v3_baseline_v1"))
+    return chosen.select(F.col("group_id").alias("duplicate_group_id"), "field_name", "value", "record_id", "voters")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,21 +159,43 @@ def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
     return grouped_splits.record_splits(table(spark, sf, "gyu_det_v3_baseline_v1"))
 
 
+def p6_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of records and of each label that the splits came to."""
+    return grouped_splits.split_balance(grouped_splits.image_splits(table(spark, sf, "gyu_det_v3_baseline_v1")))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     leaks = eval_leaks.eval_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
     return leaks.where("kind = 'verbatim'").select("doc_id", "item_id")
 
 
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Per item: documents that hold a passage of it word for word."""
+    return p8_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return eval_leaks.leak_report(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def curriculum(targets: DataFrame) -> dict[str, mixture.Schedule]:
+    """The schedules of p9: small sources (under the median share) gain weight towards the end, fourfold, large ones lose as much; a settings table of few rows."""
+    rows = targets.select(unify_source(F.col("source")).alias("source"), "target_share").where("source is not null and target_share > 0").orderBy("target_share", "source").collect()
+    late, early = [(0.0, 0.5), (0.5, 1.0), (1.0, 2.0)], [(0.0, 2.0), (0.5, 1.0), (1.0, 0.5)]
+    return {r.source: late if 2 * i < len(rows) - 1 else early for i, r in enumerate(rows)}
+
+
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf, "mix_targets")
+    return mixture.mixture(table(spark, sf, "documents"), targets, schedules=curriculum(targets))
+
+
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+    return _mixture(spark, sf)[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+    return _mixture(spark, sf)[1]
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,8 +207,15 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p4_found, p4_records, p5_found, p6_found, p6_splits, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_rates)}
+    own = (
+        p1_found, p1_report, p1_coverage, p3_found, p4_found, p4_records, p4_consensus, p5_found, p6_found, p6_splits, p6_balance,
+        p8_found, p8_items, p8_report, p9_mixture, p9_shares, p10_found, p10_rates,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
+    return {
+        "p1_found": P1_SQL, "p1_report": P1_REPORT_SQL, "p1_coverage": _coverage_sql(12), "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_records": P4_RECORDS_SQL,
+        "p5_found": P5_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL, "p8_items": f"SELECT item_id, count(*) AS documents FROM ({P8_SQL}) GROUP BY item_id",
+    }

@@ -73,9 +73,10 @@ def test_nearest_time_brute_force(spark):
 
 
 def test_nearest_time_edges(spark):
-    left = [(1, "a", 100), (2, "a", 100), (3, None, 100), (4, "a", None), (5, "a", 0), (6, "b", 100), (7, "a", 2**63 - 1), (8, "a", 111)]
-    right = [(1, "A", 95), (2, "a", 105), (3, "a ", 95), (4, "a", None), (5, "c", 100)]
-    assert nearest(spark, left, right) == {1: 1, 2: 1, 8: 2}
+    left = [(1, "a", 100), (2, "a", 100), (3, None, 100), (4, "a", None), (5, "a", 0), (6, "b", 100), (7, "a", 2**63 - 1), (8, "a", 111), (9, "z", 2**63 - 1), (10, "z", -(2**63)), (11, "z", 2**63 - 30)]
+    right = [(1, "A", 95), (2, "a", 105), (3, "a ", 95), (4, "a", None), (5, "c", 100), (6, "z", 2**63 - 5), (7, "z", -(2**63) + 9)]
+    assert nearest(spark, left, right) == {1: 1, 2: 1, 8: 2, 9: 6, 10: 7}
+    assert nearest(spark, left, right, tolerance=3) == {}
     assert nearest(spark, [], right) == {} and nearest(spark, left, []) == {}
 
 
@@ -117,8 +118,32 @@ def test_weighted_vote_of_all_values(spark):
     rows = [("g", "f", "x/a.txt", i, 1.0) for i in range(3)] + [("g", "f", f"y/b{i}.txt", 10 + i, 0.1) for i in range(8)] + [("g", "f", "x/c.txt", 30 + i, 1.0) for i in range(5)]
     long = spark.createDataFrame(rows, "group_id string, field_name string, value string, record_id long, w double")
     order = [F.col("record_id").asc()]
-    assert [tuple(r) for r in survivors.survivors(long, order, weight=F.col("w")).collect()] == [("g", "f", "x/c.txt", 30, 10)]
-    assert [tuple(r)[2:4] for r in survivors.survivors(long, order).collect()] == [("x/a.txt", 0)]
+    for chunk, hot in ((200, 100_000), (3, 2)):
+        assert [tuple(r) for r in survivors.consensus_survivors(long, order, F.col("w"), chunk, hot).collect()] == [("g", "f", "x/c.txt", 30, 10)]
+    assert [tuple(r)[2:4] for r in survivors.ranked_survivors(long, order).collect()] == [("x/a.txt", 0)]
+    assert survivors.consensus_survivors(long.limit(0), order, F.col("w")).count() == 0
+
+
+def test_consensus_of_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(700):  # no value has all the winning tokens but one
+        parts = [p if rng.random() < 0.7 else f"q{rng.integers(50)}" for p in ("data", "north", "bridge", "pier")]
+        rows.append(("g", "f", "/".join([*parts, f"{i}"]), i, 1.0))
+    rows.append(("g", "f", "data/north/bridge/pier", 900, 0.01))
+    long = spark.createDataFrame(rows, "group_id string, field_name string, value string, record_id long, w double")
+    got = survivors.consensus_survivors(long, [F.col("record_id").asc()], F.col("w"), 50, 10).first()
+    assert got.value.startswith("data/north/bridge/pier") and got.voters == 701
+
+
+def test_image_consensus_outvotes_the_best_record(spark):
+    t = "2026-01-01 00:00:00"
+    rows = [(1, "G", "IN", None, t, "a/x.txt", 9, "[1]", 5, 5)] + [(i, "g", "IN", None, t, "a/y.txt", 3, "[2]", 5, None) for i in (2, 3, 4)]
+    df = spark.createDataFrame(rows, RECORDS.replace("recorded_at timestamp", "recorded_at string")).withColumn("recorded_at", F.to_timestamp("recorded_at"))
+    got = {r.field_name: r.value for r in survivors.image_consensus(df).collect()}
+    assert got == {"label_relative_path": "a/y.txt", "annotation_count": "3", "class_ids": "[2]", "width": "5", "height": "5"}
+    first = {r.field_name: r.record_id for r in survivors.image_survivors(df).collect()}
+    assert set(first.values()) == {1}
 
 
 def test_grouped_splits(spark):
@@ -133,6 +158,24 @@ def test_grouped_splits(spark):
     assert divided.count() == 98
 
 
+def test_labels_are_balanced_in_small_tables(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"g{i // int(rng.integers(2, 9))}", "train", f"[{int(rng.integers(0, 6))}]") for i in range(1200)]
+    df = spark.createDataFrame(rows, "record_id long, leakage_group_id string, processed_split string, class_ids string")
+    balance = grouped_splits.split_balance(grouped_splits.image_splits(df)).collect()
+    off = {(r.split, r.label): abs(r.share - grouped_splits.SHARES[r.split]) for r in balance}
+    assert len(off) == 21 and max(v for (_, label), v in off.items() if label == "size") < 0.005 and max(off.values()) < 0.03, off
+
+
+def test_one_huge_component_and_many_of_middle_size(spark):
+    parts = [("g:0", 40_000, [0])] + [(f"g:{i}", 300, [300 if i % 3 else 0]) for i in range(1, 201)] + [(f"r:{i}", 1, [i % 2]) for i in range(2_000)]
+    df = spark.createDataFrame(parts, "component string, size long, labels array<long>")
+    got = grouped_splits.assign_components(df, block=60).collect()
+    size = {s: sum(r["size"] for r in got if r.split == s) / 102_000 for s in grouped_splits.SHARES}
+    label = {s: sum(r["labels"][0] for r in got if r.split == s) / sum(x[2][0] for x in parts) for s in grouped_splits.SHARES}
+    assert len(got) == 2_201 and all(abs(size[s] - v) < 0.01 and abs(label[s] - v) < 0.05 for s, v in grouped_splits.SHARES.items()), (size, label)
+
+
 def test_search_grows_with_the_components():
     n = 20_000
     start = np.zeros(n, int)
@@ -243,6 +286,33 @@ def test_mixture(spark):
     assert mixture.mixture(df.limit(0), targets)[0].count() == 0
 
 
+def test_schedules_balance():
+    targets = np.array([0.5, 0.3, 0.2])
+    times, weights = mixture.schedule_weights(targets, [[], [(0, 1), (0.5, 4), (1, 1)], [(0, 3), (1, 0.2)]])
+    assert np.allclose(weights.sum(0), 1) and np.allclose(((weights[:, 1:] + weights[:, :-1]) / 2 * np.diff(times)).sum(1), targets, atol=1e-9)
+    assert weights[1, 1] > 1.5 * weights[1, 0] and weights[2, 0] > weights[2, -1]
+
+
+def test_curriculum_follows_its_schedules(spark):
+    docs = [(i, "abc"[i % 3], "word " * 4) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    schedules = {"b": [(0.0, 1.0), (0.5, 4.0), (1.0, 1.0)], "c": [(0.0, 3.0), (1.0, 0.2)]}
+    rows = mixture.mixture(df, targets, schedules=schedules, bucket_rows=100)[0].collect()
+    tokens, whole = 0, sum(r.tokens for r in rows)
+    for r in rows:  # the position is the part of the training that lies before it
+        assert abs(r.position - tokens / whole) < 0.01
+        tokens += r.tokens
+    for lo, hi in ((0.0, 0.25), (0.375, 0.625), (0.75, 1.0)):
+        part = [r.source for r in rows if lo <= r.position < hi]
+        times, weights = mixture.schedule_weights(np.array([0.5, 0.3, 0.2]), [[], schedules["b"], schedules["c"]])
+        x = np.linspace(lo, hi, 101)
+        for i, s in enumerate("abc"):
+            assert abs(part.count(s) / len(part) - np.interp(x, times, weights[i]).mean()) < 0.02
+    passes = {p: [r.doc_id for r in rows if r.source == "a" and r["pass"] == p] for p in (0, 1)}
+    assert passes[1] and passes[0][: len(passes[1])] != passes[1]
+
+
 def test_mixture_without_tokens_of_a_source(spark):
     docs = [(i, "a" if i < 40 else "b", "word " * 5) for i in range(100)] + [(200, "blank", ""), (201, "unused", "word " * 5)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
