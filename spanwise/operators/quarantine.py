@@ -124,12 +124,16 @@ def load_boxes(lines: DataFrame) -> DataFrame:
 def rejected(lines: DataFrame) -> DataFrame:
     """(line_id, feed, file_name, line_no, line, reason) of records that don't conform.
 
-    Null, blank and header lines and those of other feeds are no records; a
-    repeated line_id with one conforming line counts as loaded.
+    Null, blank and header lines and those of other feeds are no records. A
+    line's offset is its feed, file, number and id; of lines that share all of
+    them, one that conforms stands for all. A null part of an offset equals null.
     """
     raw = records(lines)
-    loaded = load_results(lines).select("line_id").unionByName(load_boxes(lines).select("line_id"))
-    rest = raw.join(loaded, "line_id", "left_anti")
+    offset = ("line_id", "file_name", "line_no")
+    loaded = load_results(lines).select(F.lit("results").alias("feed"), *offset).unionByName(load_boxes(lines).select(F.lit("boxes").alias("feed"), *offset))
+    l = loaded.select(F.col("line_id").alias("id"), F.col("feed").alias("fe"), F.col("file_name").alias("fi"), F.col("line_no").alias("no"))
+    same = (F.col("line_id") == F.col("id")) & (F.col("feed") == F.col("fe")) & F.col("file_name").eqNullSafe(F.col("fi")) & F.col("line_no").eqNullSafe(F.col("no"))
+    rest = raw.join(l, same, "left_anti")
     reason = F.when(~F.col("ok_quotes"), "broken_quoting").when(~F.col("ok_count"), "column_count").otherwise("invalid_value")
     keep = ("line_id", "feed", "file_name", "line_no", "line")
     return _parsed(rest, "results").select(*keep, reason.alias("reason")).unionByName(_parsed(rest, "boxes").select(*keep, reason.alias("reason")))
