@@ -55,13 +55,24 @@ def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
 
 def distance_severity(distance: Column) -> Column:
     """Severity of a Hamming distance."""
-    return F.when(distance == 0, "exact_or_identical_hash").when(distance <= 4, "very_strong_near_duplicate").when(distance <= 8, "probable_near_duplicate").otherwise("weaker_candidate")
+    return F.when(distance == 0, "identical_perceptual_hash").when(distance <= 4, "very_strong_near_duplicate").when(distance <= 8, "probable_near_duplicate").otherwise("weaker_candidate")
 
 
-def difference_bits(grid: Column, width: int, height: int) -> Column:
-    """Bits of a row-major grid, 1 where a value exceeds its left neighbour."""
-    bits = [(F.get(grid, F.lit(y * width + x + 1)) > F.get(grid, F.lit(y * width + x))).cast("int") for y in range(height) for x in range(width - 1)]
-    return F.concat(*(b.cast("string") for b in bits))
+def _bits(grid: Column, pairs: list[tuple[int, int]]) -> Column:
+    return F.concat(*((F.get(grid, F.lit(b)) > F.get(grid, F.lit(a))).cast("int").cast("string") for a, b in pairs))
+
+
+def difference_bits(grid: Column, width: int, height: int, down: bool = False) -> Column:
+    """Bits of a row-major grid, 1 where a value exceeds its left neighbour (or, with `down`, the one above)."""
+    if down:
+        return _bits(grid, [(y * width + x, (y + 1) * width + x) for y in range(height - 1) for x in range(width)])
+    return _bits(grid, [(y * width + x, y * width + x + 1) for y in range(height) for x in range(width - 1)])
+
+
+def difference_hash(wide: Column, tall: Column) -> Column:
+    """128 bits as hex: a 9 x 8 grid compared to the right, then an 8 x 9 grid compared downwards."""
+    both = F.concat(difference_bits(wide, 9, 8), difference_bits(tall, 8, 9, True))
+    return F.lower(F.concat(*(F.lpad(F.conv(F.substring(both, i * 32 + 1, 32), 2, 16), 8, "0") for i in range(4))))
 
 
 def low_information(ones: Column, deviation: Column | None = None) -> Column:
@@ -160,3 +171,53 @@ def exif_size(width: Column, height: Column, orientation_tag: Column) -> list[Co
     """Width and height as shown: tags 6 and 8 swap them."""
     turned = F.coalesce(orientation_tag.isin(6, 8), F.lit(False))
     return [F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)]
+
+
+def annotation_rows(text: Column) -> Column:
+    """The rows of a label text as exact decimal tokens without trailing zeros; null for null text, blank lines left out."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    return F.transform(lines, lambda x: F.transform(F.split(F.trim(x), r"\s+"), canonical_decimal))
+
+
+def integral_text(number: Column) -> Column:
+    """Text of a number, whole ones without a fraction (2.0 as 2); null unless finite."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(finite(number), F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string")))
+
+
+def stamps_in(text: Column) -> Column:
+    """Nanoseconds of each 'sec: S nanosec: N' of a message text; a missing nanosec counts 0."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<![a-z])sec:\s*(\d+)(?:\s+nanosec:\s*(\d+))?"), F.lit(0))
+    number = lambda x, p: F.coalesce(F.regexp_extract(x, p, 1).try_cast("bigint"), F.lit(0))
+    return F.transform(found, lambda x: number(x, r"(?<![a-z])sec:\s*(\d+)") * 1_000_000_000 + number(x, r"nanosec:\s*(\d+)"))
+
+
+def batch_ranges(total: Column, size: int) -> Column:
+    """[start, stop) of the batches of `total` rows; empty for none."""
+    starts = F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), total.cast("bigint") - 1, F.lit(size).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, total.cast("bigint")).alias("stop")))
+
+
+def shown_if(status: Column, value: Column, accepted: str = "ACCEPTED") -> Column:
+    """The value where its status is accepted, else null."""
+    return F.when(status == accepted, value)
+
+
+def or_nan(status: Column, value: Column) -> Column:
+    """The value of a success (status 0), NaN of anything else."""
+    return F.when(status == 0, value.cast("double")).otherwise(F.lit(float("nan")))
+
+
+def minimum_jerk(part: Column) -> Column:
+    """Smooth progress from 0 to 1 with still ends: 10 t^3 - 15 t^4 + 6 t^5, clamped."""
+    t = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
+    return t * t * t * (10 + t * (6 * t - 15))
+
+
+def magnitude_bucket(value: Column, per_factor: int = 4_096) -> Column:
+    """A whole number that never falls as the value grows, about `per_factor` for each factor e of size, so values near 0 get buckets of their own; NaN last."""
+    top = 800 * per_factor
+    size = lambda x: F.floor(F.ln(x) * per_factor).cast("bigint") + top
+    big = F.lit(2 * top).cast("bigint")
+    out = F.when(F.isnan(value), big + 1).when(value == float("inf"), big).when(value == float("-inf"), -big)
+    return out.when(value > 0, size(value)).when(value < 0, -size(-value)).when(value == 0, F.lit(0).cast("bigint"))

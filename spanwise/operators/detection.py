@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanwise.functions.scalars import iou
+from spanwise.functions.scalars import iou, magnitude_bucket
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -70,10 +70,9 @@ def average_precision(rows: DataFrame, truths: DataFrame, keys: list[str]) -> Da
     `truths`. Predictions rank by confidence, image, id; precision at a recall is
     the best at that recall or beyond. No truths gives null, no predictions 0.
     A class is ranked within buckets of confidence with carried sums, so that no
-    class is sorted in one task.
+    class is sorted in one task; buckets are fine near 0, where most detections lie.
     """
-    bucket = F.floor(F.coalesce("confidence", F.lit(0.0)) * 256)
-    b = rows.withColumn("bucket", bucket)
+    b = rows.withColumn("bucket", magnitude_bucket(F.coalesce("confidence", F.lit(0.0)), 256))
     sums = b.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.count_if("correct").alias("hits"))
     above = Window.partitionBy(*keys).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, "bucket", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("h0"))
@@ -90,21 +89,33 @@ def average_precision(rows: DataFrame, truths: DataFrame, keys: list[str]) -> Da
     return truths.join(scored, keys, "left").select(*keys, "truths", F.when(F.col("truths") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
-def class_scores(rows: DataFrame, truths: DataFrame, images: int, keys: list[str]) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1, false positives an image; a rate without a base is 0."""
+def class_scores(rows: DataFrame, truths: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1, false positives an image; a rate without a base is 0.
+
+    `images`: (image_id) of all images, those without predictions or regions included; repeated ids count once.
+    """
     got = rows.groupBy(*keys).agg(F.count_if("correct").alias("tp"), F.count_if(~F.col("correct")).alias("fp"))
-    out = truths.join(got, keys, "left").fillna(0, ["tp", "fp"]).withColumn("fn", F.col("truths") - F.col("tp"))
+    count = images.agg(F.count_distinct("image_id").alias("images"))  # one row
+    out = truths.join(got, keys, "left").fillna(0, ["tp", "fp"]).withColumn("fn", F.col("truths") - F.col("tp")).crossJoin(F.broadcast(count))
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return out.select(*keys, "tp", "fp", "fn", safe(tp, tp + fp).alias("precision"), safe(tp, tp + fn).alias("recall"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"), safe(fp, F.lit(images)).alias("fp_per_image"))
+    return out.select(*keys, "tp", "fp", "fn", safe(tp, tp + fp).alias("precision"), safe(tp, tp + fn).alias("recall"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"), safe(fp, F.col("images")).alias("fp_per_image"))
 
 
 def reliability(rows: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    """Per key and confidence bin: predictions, mean confidence, accuracy and the bin's part of the expected calibration error."""
-    bin_ = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int")
-    out = rows.where("confidence between 0 and 1").groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
+    """Per key and confidence bin, empty bins included: predictions, mean confidence, accuracy (null if empty) and the bin's part of the expected calibration error.
+
+    A confidence outside 0 to 1, NaN or null, or an unknown `correct`, is an error.
+    """
+    sound = F.coalesce((F.col("confidence") >= 0) & (F.col("confidence") <= 1) & F.col("correct").isNotNull(), F.lit(False))
+    confidence = F.when(sound, F.col("confidence")).otherwise(F.raise_error(F.lit("a calibration row without a confidence from 0 to 1 or a known outcome")))
+    bin_ = F.least(F.floor(confidence * bins), F.lit(bins - 1)).cast("int")
+    full = rows.groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
+    grid = full.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = grid.join(full, [*keys, "bin"], "left").fillna(0, ["n"])
     total = F.sum("n").over(Window.partitionBy(*keys))
-    return out.withColumn("ece_part", F.col("n") / total * F.abs(F.col("mean_confidence") - F.col("accuracy")))
+    part = F.coalesce(F.col("n") / total * F.abs(F.col("mean_confidence") - F.col("accuracy")), F.lit(0.0))
+    return out.withColumn("ece_part", part)
 
 
 def best_overlaps(predictions: DataFrame, regions: DataFrame, floor: float = 0.0) -> DataFrame:
@@ -149,3 +160,71 @@ def evaluate(predictions: DataFrame, regions: DataFrame, thresholds: list[float]
     rows = ranked(predictions, greedy_match(predictions, regions, thresholds), thresholds)
     truths = regions.groupBy("class_id").agg(F.count("*").alias("truths")).select("class_id", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), "truths")
     return average_precision(rows, truths, ["class_id", "threshold"])
+
+
+def interpolated_curves(rows: DataFrame, truths: DataFrame, keys: list[str], grid: int = 1000) -> DataFrame:
+    """(keys, point, confidence, precision, recall) at `grid` even confidences from 0 to 1, linear between the neighbouring predictions.
+
+    Predictions rank by falling confidence, image, id. Above the highest one precision is 1
+    and recall 0, below the lowest they keep its values; classes without predictions or truths have 0 throughout.
+    Predictions are summed by the grid interval that they lie in, so no class is sorted in one task.
+    """
+    last = grid - 1
+    near = F.floor(F.col("confidence") * last).cast("int")
+    at = F.when(near / last > F.col("confidence"), near - 1).when((near + 1) / last <= F.col("confidence"), near + 1).otherwise(near)
+    first = F.struct(-F.col("confidence"), F.col("image_id"), F.col("prediction_id"))
+    sums = rows.groupBy(*keys, at.alias("point")).agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("hits"), F.min("confidence").alias("low"),
+        F.min_by(F.struct("confidence", F.col("correct").cast("int").alias("hit")), first).alias("top"),
+    )
+    full = truths.select(*keys, "truths", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("point")).join(sums, [*keys, "point"], "left").fillna(0, ["n", "hits"])
+    down = Window.partitionBy(*keys).orderBy(F.col("point").desc())  # a grid's points for each key
+    here = down.rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(*keys).orderBy(F.col("point")).rowsBetween(Window.unboundedPreceding, -1)
+    full = full.select(
+        *keys, "truths", "point", (F.col("point") / last).alias("confidence"), F.sum("n").over(here).alias("n"), F.sum("hits").over(here).alias("tp"),
+        F.last("low", ignorenulls=True).over(here).alias("upper"), F.last("top", ignorenulls=True).over(below).alias("next"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"),
+    )
+    part = F.try_divide(F.col("upper") - F.col("confidence"), F.col("upper") - F.col("next.confidence"))
+
+    def read(value, beyond: float) -> Column:
+        now, then = value(F.col("tp"), F.col("n")), value(F.col("tp") + F.col("next.hit"), F.col("n") + 1)
+        inside = F.when(F.col("n") == 0, F.lit(beyond)).when(F.col("next").isNull(), now).otherwise(now + (then - now) * part)
+        return F.when((F.col("all") == 0) | (F.col("truths") == 0), F.lit(0.0)).otherwise(inside)
+
+    return full.select(
+        *keys, "point", "confidence", read(lambda tp, n: F.try_divide(tp, n), 1.0).alias("precision"), read(lambda tp, n: F.try_divide(tp, F.col("truths")), 0.0).alias("recall")
+    )
+
+
+def nearest_points(curves: DataFrame, keys: list[str], wanted: list[float]) -> DataFrame:
+    """The curve's rows nearest to each wanted confidence (ties to the lower), with column `wanted`."""
+    asked = curves.withColumn("wanted", F.explode(F.array(*map(F.lit, wanted))))
+    cells = [c for c in curves.columns if c not in keys]
+    best = asked.groupBy(*keys, "wanted").agg(F.min_by(F.struct(*cells), F.struct(F.abs(F.col("confidence") - F.col("wanted")), F.col("point"))).alias("x"))
+    return best.select(*keys, "wanted", "x.*")
+
+
+def confusion_summary(matrix: DataFrame) -> DataFrame:
+    """(class_name, truths, correct, missed, confused, false_alarms, missed_share) of a long (truth, predicted, n) matrix with 'background'."""
+    named = matrix.select(F.explode(F.array(F.struct(F.col("truth").alias("c"), F.lit(True).alias("row")), F.struct(F.col("predicted").alias("c"), F.lit(False).alias("row")))).alias("x"), "*").select("x.*", "truth", "predicted", "n").where("c <> 'background'")
+    own = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
+    row, t, p = F.col("row"), F.col("truth"), F.col("predicted")
+    out = named.groupBy(F.col("c").alias("class_name")).agg(
+        own(row).alias("truths"), own(row & (t == p)).alias("correct"), own(row & (p == "background")).alias("missed"),
+        own(row & (t != p) & (p != "background")).alias("confused"), own(~row & (t == "background")).alias("false_alarms"),
+    )
+    return out.withColumn("missed_share", F.try_divide("missed", "truths"))
+
+
+def top_confusions(matrix: DataFrame, top: int = 10) -> DataFrame:
+    """The most frequent pairs of different classes, background aside, with their share of the truths; ties by names."""
+    truths = matrix.where("truth <> 'background'").groupBy("truth").agg(F.sum("n").alias("truths"))
+    off = matrix.where("truth <> predicted and truth <> 'background' and predicted <> 'background'")
+    return off.join(F.broadcast(truths), "truth").orderBy(F.col("n").desc(), "truth", "predicted").limit(top).select("truth", "predicted", "n", F.try_divide("n", "truths").alias("share"))
+
+
+def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, before, after, delta) of two (metric, value) tables; a metric of one side only has nulls."""
+    both = before.select("metric", F.col("value").alias("before")).join(after.select("metric", F.col("value").alias("after")), "metric", "full_outer")
+    return both.withColumn("delta", F.col("after") - F.col("before"))

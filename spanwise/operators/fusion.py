@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RESULT = "seq long, observation_id string, decision string, defect_id string"
+from spanwise.session import cut
+
 COLUMNS = ("seq", "inspection_id", "observation_id", "class_id", "track_id", "confidence", "x_m", "y_m", "z_m", "ts")
 
 
@@ -24,8 +25,15 @@ def fingerprint() -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def defect_name(inspection_id: int, observation_id: str) -> str:
-    return "P15D-" + str(uuid.uuid5(uuid.NAMESPACE_URL, f"urn:spanwise:defect:v1:{inspection_id}:{observation_id}"))
+@dataclass(frozen=True)
+class Naming:
+    """How defects are named: prefix and version-5 UUID of urn:inspection:observation."""
+
+    prefix: str = "D-"
+    urn: str = "urn:spanwise:defect:v1"
+
+    def of(self, inspection_id: int, observation_id: str) -> str:
+        return self.prefix + str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.urn}:{inspection_id}:{observation_id}"))
 
 
 @dataclass
@@ -80,16 +88,32 @@ class State:
 
     defects: dict[str, Defect] = field(default_factory=dict)
     seen: dict[str, tuple[str, str]] = field(default_factory=dict)  # observation: fingerprint, defect
+    naming: Naming = field(default_factory=Naming)
+    cells: dict[tuple[int, ...], set[str]] | None = None  # defects by cell of a grid as wide as the radius
+
+    def _cell(self, at: tuple[float, ...], radius: float) -> tuple[int, ...]:
+        width = max(radius, 1e-9) * (1 + 1e-9)
+        return tuple(math.floor(x / width) for x in at)
+
+    def _near(self, at: tuple[float, ...], radius: float) -> list[Defect]:
+        """Defects in the cells around a place; none within the radius lies elsewhere."""
+        if self.cells is None:
+            self.cells = {}
+            for d in self.defects.values():
+                self.cells.setdefault(self._cell(d.centre, radius), set()).add(d.defect_id)
+        x, y, z = self._cell(at, radius)
+        around = ((x + i, y + j, z + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))
+        return [self.defects[k] for c in around for k in self.cells.get(c, ())]
 
     def ingest(self, o: dict, radius: float) -> tuple[str, str]:
-        """(decision, defect_id): REPLAY of a known observation, ASSOCIATED with a defect within radius, or CREATED."""
+        """(decision, defect_id): REPLAY of a known observation, ASSOCIATED with a defect within radius, or CREATED. One state has one radius."""
         known = self.seen.get(o["observation_id"])
         if known:
             if known[0] != o["fingerprint"]:
                 raise ReplayConflict(o["observation_id"])
             return "REPLAY", known[1]
         best, at = None, (o["x_m"], o["y_m"], o["z_m"])
-        for d in self.defects.values():
+        for d in self._near(at, radius):
             gap = math.dist(d.centre, at)
             if gap <= radius:
                 rank = (not (o["track_id"] is not None and o["track_id"] in d.tracks), gap, d.defect_id)
@@ -97,9 +121,12 @@ class State:
         if best:
             decision, defect = "ASSOCIATED", best[1]
         else:
-            decision, defect = "CREATED", Defect(defect_name(o["inspection_id"], o["observation_id"]))
+            decision, defect = "CREATED", Defect(self.naming.of(o["inspection_id"], o["observation_id"]))
             self.defects[defect.defect_id] = defect
+        if defect.centre is not None:
+            self.cells[self._cell(defect.centre, radius)].discard(defect.defect_id)
         defect.add(o)
+        self.cells.setdefault(self._cell(defect.centre, radius), set()).add(defect.defect_id)
         self.seen[o["observation_id"]] = (o["fingerprint"], defect.defect_id)
         return decision, defect.defect_id
 
@@ -138,7 +165,7 @@ def conflicts(observations: DataFrame) -> DataFrame:
     return f.groupBy("inspection_id", "observation_id").agg(F.count_distinct("fingerprint").alias("forms")).where("forms > 1")
 
 
-def fuse(observations: DataFrame, radius: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def fuse(observations: DataFrame, radius: float = 0.25, naming: Naming = Naming()) -> tuple[DataFrame, DataFrame]:
     """(decisions, defects) of observations taken in order of `seq`.
 
     Replays are found by a shuffle first and don't enter the fold; a replay with
@@ -154,13 +181,13 @@ def fuse(observations: DataFrame, radius: float = 0.25) -> tuple[DataFrame, Data
     first = marked.where("nth = 1").drop("nth", "same")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = State(), []
+        state, out = State(naming=naming), []
         for o in rows_of(pdf):
             decision, defect = state.ingest(o, radius)
             out.append((o["seq"], o["inspection_id"], o["class_id"], o["observation_id"], decision, defect))
         return pd.DataFrame(out, columns=["seq", "inspection_id", "class_id", "observation_id", "decision", "defect_id"])
 
-    decided = first.groupBy("inspection_id", "class_id").applyInPandas(fold, "seq long, inspection_id long, class_id int, observation_id string, decision string, defect_id string")
+    decided = cut(first.groupBy("inspection_id", "class_id").applyInPandas(fold, "seq long, inspection_id long, class_id int, observation_id string, decision string, defect_id string"))
     replays = marked.where("nth > 1").select("seq", "inspection_id", "observation_id")
     again = replays.join(decided.select("inspection_id", "observation_id", "class_id", "defect_id"), ["inspection_id", "observation_id"]).withColumn("decision", F.lit("REPLAY"))
     decisions = decided.unionByName(again.select(*decided.columns))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from spanwise.functions.scalars import content_group_id
 from spanwise.session import cut
 
 
@@ -33,14 +34,22 @@ def linked_groups(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> Da
 
 
 def annotation_consistency(members: DataFrame, group: str, label: Column) -> DataFrame:
-    """(group, members, verdict): NO_LABELS, ONLY_ONE, IDENTICAL, REORDERED or CONFLICTING annotations of a group's files.
+    """(group, members, verdict) of the annotations of a group's copies.
 
-    `label`: an array of rows, null for a file without labels. Arrays are
-    compared by hash, so a group is never gathered.
+    `label`: an array of rows, null for a copy without labels. NO_LABELS without any,
+    ONLY_ONE_LABELED_COPY if one of several has labels, else the labels there
+    are: IDENTICAL_ANNOTATIONS, REORDERED_EQUIVALENT_ANNOTATIONS (equal but for
+    their order) or CONFLICTING_ANNOTATIONS. Compared by hash, so a group is never gathered.
     """
-    as_is, sorted_ = F.sha2(F.to_json(label), 256), F.sha2(F.to_json(F.array_sort(label)), 256)
-    out = members.groupBy(group).agg(F.count("*").alias("members"), F.count(label).alias("labelled"), F.count_distinct(as_is).alias("forms"), F.count_distinct(sorted_).alias("sets"))
-    verdict = F.when(F.col("labelled") == 0, "NO_LABELS").when(F.col("labelled") < F.col("members"), "ONLY_ONE").when(F.col("forms") == 1, "IDENTICAL").when(F.col("sets") == 1, "REORDERED").otherwise("CONFLICTING")
+    form = lambda x: F.when(label.isNotNull(), F.sha2(F.to_json(x), 256))
+    # Four aggregates that need no distinct values: labels are all equal if their least and greatest forms are.
+    rows = members.select(group, form(label).alias("form"), form(F.array_sort(label)).alias("set"))
+    out = rows.groupBy(group).agg(F.count("*").alias("members"), F.count("form").alias("labelled"), *(f(c).alias(f"{n}_{c}") for c in ("form", "set") for n, f in (("low", F.min), ("high", F.max))))
+    verdict = (
+        F.when(F.col("labelled") == 0, "NO_LABELS").when((F.col("labelled") == 1) & (F.col("members") > 1), "ONLY_ONE_LABELED_COPY")
+        .when(F.col("low_form") == F.col("high_form"), "IDENTICAL_ANNOTATIONS").when(F.col("low_set") == F.col("high_set"), "REORDERED_EQUIVALENT_ANNOTATIONS")
+        .otherwise("CONFLICTING_ANNOTATIONS")
+    )
     return out.select(group, "members", verdict.alias("verdict"))
 
 
@@ -49,16 +58,43 @@ def divided_groups(rows: DataFrame, group: str, split: str) -> DataFrame:
     return rows.where(F.col(group).isNotNull() & F.col(split).isNotNull()).groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
 
 
-def propose_split(rows: DataFrame, duplicate: str, leakage: str, split: Column, path: str) -> DataFrame:
-    """Adds proposed_split and reason: one representative of each duplicate group (test before valid before train,
-    then the path without case, then as it is), and each leakage group wholly in its most protected split.
+def propose_split(rows: DataFrame, links: DataFrame, label: Column) -> DataFrame:
+    """(record, component, included, proposed_split, reason): one split for all linked records, copies once.
+
+    rows: (record, split, path, eligible, duplicate); links: (a, b) between
+    records. Copies (equal `duplicate`) whose annotations conflict are held back;
+    of other copies the eligible one that comes first stays: test before valid
+    before train, then the path without case, then as it is. Records linked directly
+    or through others, ineligible ones included, form a component; its included
+    members stay in the split of the first of them, others are left out. An
+    ineligible record has neither split nor reason.
+    """
+    protect = F.when(F.col("split") == "test", 0).when(F.col("split") == "valid", 1).when(F.col("split") == "train", 2)
+    base = cut(rows.select("record", "split", F.coalesce(F.col("eligible") & protect.isNotNull(), F.lit(False)).alias("eligible"), "duplicate", protect.alias("protect"), F.struct(protect, F.lower("path"), F.col("path"), F.col("record")).alias("place"), label.alias("label")))
+    copies = base.where("duplicate is not null")
+    verdicts = annotation_consistency(copies, "duplicate", F.col("label"))
+    heads = copies.groupBy("duplicate").agg(F.min("record").alias("head"), F.min(F.when(F.col("eligible"), F.col("place"))).alias("first")).join(verdicts, "duplicate")
+    heads = heads.select("duplicate", "head", "first", (F.col("verdict") == "CONFLICTING_ANNOTATIONS").alias("conflict"))
+    joined = base.join(heads, "duplicate", "left")
+    held = F.coalesce("conflict", F.lit(False))
+    surplus = F.coalesce(F.col("place") != F.col("first"), F.lit(False))
+    reason = F.when(~F.col("eligible"), None).when(held, "ANNOTATION_CONFLICT_HUMAN_REVIEW_REQUIRED").when(surplus, "EQUIVALENT_EXACT_DUPLICATE_REDUNDANT")
+    joined = cut(joined.select("record", "split", "eligible", "protect", "place", "head", reason.alias("reason")))
+    own = joined.where("head is not null and head <> record").select(F.col("head").alias("a"), F.col("record").alias("b"))
+    groups = linked_groups(links.select("a", "b").unionByName(own), "a", "b").select(F.col("id").alias("record"), F.col("group_id").alias("component"))
+    named = joined.join(groups, "record", "left")
+    kept = F.col("eligible") & F.col("reason").isNull()
+    target = named.where(kept & F.col("component").isNotNull()).groupBy("component").agg(F.min("protect").alias("target"))
+    out = named.join(target, "component", "left")
+    moved = kept & F.coalesce(F.col("target") != F.col("protect"), F.lit(False))
+    reason = F.when(moved, "APPROVED_LEAKAGE_GROUP_OTHER_SPLIT_RETAINED").otherwise(F.col("reason"))
+    included = kept & ~moved
+    return out.select("record", "component", included.alias("included"), F.when(included, F.col("split")).alias("proposed_split"), reason.alias("reason"))
+
+
+def component_names(members: DataFrame) -> DataFrame:
+    """(component, name): LG_ and the hash of a component's sorted members, one to a line; members: (component, member).
+
+    A name depends on every member's text, so each component's texts meet in one row; they are paths, not records.
     """
-    protect = F.when(split == "test", 0).when(split == "valid", 1).when(split == "train", 2)
-    w = Window.partitionBy(duplicate).orderBy(F.col("protect").asc_nulls_last(), F.lower(path), path)
-    ranked = rows.withColumn("protect", protect).withColumn("place", F.when(F.col(duplicate).isNull(), 1).otherwise(F.row_number().over(w)))
-    best = rows.select(F.col(leakage).alias("lg"), protect.alias("p")).where("lg is not null").groupBy("lg").agg(F.min("p").alias("group_protect"))
-    out = ranked.join(best, ranked[leakage] == best["lg"], "left").drop("lg")
-    moved = F.col("group_protect").isNotNull() & (F.col("group_protect") != F.col("protect"))
-    reason = F.when(F.col("protect").isNull(), "UNKNOWN_SPLIT").when(F.col("place") > 1, "DUPLICATE_REDUNDANT").when(moved, "LEAKAGE_GROUP_OTHER_SPLIT")
-    kept = F.when(reason.isNull(), F.element_at(F.array(F.lit("test"), F.lit("valid"), F.lit("train")), F.col("protect") + 1)).otherwise("excluded")
-    return out.withColumn("proposed_split", kept).withColumn("reason", reason).drop("protect", "place", "group_protect")
+    return members.groupBy("component").agg(content_group_id(F.collect_list("member")).alias("name"))

@@ -14,41 +14,190 @@ from spanwise.session import cut
 
 
 def pair_unique(images: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer pairing by keys that are unique on both sides.
+    """(keys, image, label, status): every image and label, paired by keys that are unique on both sides.
 
-    Adds `status`: exact_pair, image_without_label, label_without_image or
-    ambiguous (the key repeats on either side; such rows are never paired).
+    exact_pair: the key occurs once on each side; image_without_label and
+    label_without_image: the other side lacks the key, however often it repeats here;
+    ambiguous: both sides have it and one repeats it; such files are told one by one, never paired.
     Needs columns image and label; rows with a null key pair with nothing.
     """
-    count = lambda df, name: df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
-    i, l = count(images, "n_image"), count(labels, "n_label")
     shape = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
-    sizes = shape(images, "n_image").join(shape(labels, "n_label"), keys, "full_outer").fillna(0, ["n_image", "n_label"])
-    murky = (F.col("n_image") > 1) | (F.col("n_label") > 1)
-    single = lambda df, n: df.where(F.col(n) == 1).drop(n)
-    paired = single(i, "n_image").join(single(l, "n_label"), keys, "full_outer").join(sizes.where(murky).select(*keys), keys, "left_anti")
-    status = F.when(F.col("image").isNotNull() & F.col("label").isNotNull(), "exact_pair").when(F.col("image").isNotNull(), "image_without_label").otherwise("label_without_image")
-    clear = paired.select(*keys, "image", "label", status.alias("status"))
-    unclear = sizes.where(murky).select(*keys, F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("label"), F.lit("ambiguous").alias("status"))
-    return clear.unionByName(unclear)
-
-
-def fuzzy_candidates(left: DataFrame, right: DataFrame, block: list[Column], top: int = 10) -> DataFrame:
-    """Per left name the `top` most similar right names that share a block with it.
-
-    left: (left_id, name), right: (right_id, name); `block`: columns over `name`
-    that two names are compared within, one of them at least being equal. Order:
-    edit distance, difference of numeric stems (null last), right_id. Without a
-    common block a name has no candidates; pass F.lit(0) to compare all with all.
+    known = None
+    for k in keys:
+        known = F.col(k).isNotNull() if known is None else known & F.col(k).isNotNull()
+    ni, nl = shape(images.where(known), "n_image"), shape(labels.where(known), "n_label")
+    sizes = ni.join(nl, keys, "full_outer").fillna(0, ["n_image", "n_label"])
+    i = images.join(sizes, keys, "left").withColumn("single", F.coalesce((F.col("n_image") == 1) & (F.col("n_label") == 1), F.lit(False)))
+    l = labels.join(sizes, keys, "left").withColumn("single", F.coalesce((F.col("n_image") == 1) & (F.col("n_label") == 1), F.lit(False)))
+    none = F.lit(None).cast("string")
+    pairs = i.where("single").select(*keys, "image").join(l.where("single").select(*keys, "label"), keys).select(*keys, "image", "label", F.lit("exact_pair").alias("status"))
+    rest = lambda n, alone: F.when(F.coalesce(F.col(n), F.lit(0)) == 0, alone).otherwise("ambiguous").alias("status")
+    left = i.where("not single").select(*keys, "image", none.alias("label"), rest("n_label", "image_without_label"))
+    right = l.where("not single").select(*keys, none.alias("image"), "label", rest("n_image", "label_without_image"))
+    return pairs.unionByName(left).unionByName(right)
+
+
+def duplicate_names(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries whose key occurs more than once, with the number of times."""
+    many = entries.groupBy(*keys).agg(F.count("*").alias("duplicate_count")).where("duplicate_count > 1")
+    return entries.join(many, keys)
+
+
+def found_elsewhere(unmatched: DataFrame, opposite: DataFrame) -> DataFrame:
+    """Adds `elsewhere`: the names with the same key in other splits of the opposite side, as sorted 'split/name' joined by commas; empty for none.
+
+    Both: (split, key, name). The names of one key meet as one text.
     """
-    keys = F.array_distinct(F.array_compact(F.array(*(F.concat(F.lit(f"{i}:"), b.cast("string")) for i, b in enumerate(block)))))
-    a = left.select("left_id", F.col("name").alias("left_name"), F.explode(keys).alias("block"))
-    b = right.select("right_id", F.col("name").alias("right_name"), F.explode(keys).alias("block"))
-    met = a.join(b, "block").select("left_id", "left_name", "right_id", "right_name").distinct()
+    met = unmatched.select("split", "key").distinct().join(opposite.select(F.col("split").alias("s"), "key", F.col("name").alias("n")), "key").where("s <> split")
+    names = met.groupBy("split", "key").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "s", "n"))), ",").alias("elsewhere"))
+    return unmatched.join(names, ["split", "key"], "left").fillna("", ["elsewhere"])
+
+
+def classify_unmatched(unmatched: DataFrame, expected: DataFrame) -> DataFrame:
+    """Adds `classification`: expected_negative_external_evidence for (split, key) in `expected`, else unexplained_missing_label."""
+    known = expected.select("split", "key", F.lit(True).alias("hit")).distinct()
+    cell = F.when(F.col("hit"), "expected_negative_external_evidence").otherwise("unexplained_missing_label")
+    return unmatched.join(known, ["split", "key"], "left").withColumn("classification", cell).drop("hit")
+
+
+def pairing_summary(pairs: DataFrame, split: str = "split") -> DataFrame:
+    """Per split: files of each status, from pair_unique."""
+    n = lambda status, side: F.count_if((F.col("status") == status) & F.col(side).isNotNull())
+    return pairs.groupBy(split).agg(
+        F.count("image").alias("images"), F.count("label").alias("labels"), n("exact_pair", "image").alias("exact_pairs"), n("image_without_label", "image").alias("images_without_labels"),
+        n("label_without_image", "label").alias("labels_without_images"), n("ambiguous", "image").alias("ambiguous_images"), n("ambiguous", "label").alias("ambiguous_labels"),
+    )
+
+
+def _scored(met: DataFrame) -> DataFrame:
     gap = F.abs(X.numeric_stem(F.col("left_name")) - X.numeric_stem(F.col("right_name"))).cast("bigint")
-    scored = met.withColumn("distance", F.levenshtein("left_name", "right_name")).withColumn("similarity", X.similarity(F.col("left_name"), F.col("right_name"))).withColumn("numeric_gap", gap)
-    order = Window.partitionBy("left_id").orderBy("distance", F.col("numeric_gap").asc_nulls_last(), "right_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return met.withColumn("distance", F.levenshtein("left_name", "right_name")).withColumn("similarity", X.similarity(F.col("left_name"), F.col("right_name"))).withColumn("numeric_gap", gap)
+
+
+def _closeness() -> list[Column]:
+    """Edit distance, then similarity, then the difference of numbers (null last), then the right side's split and name."""
+    return [F.col("distance"), F.col("similarity").desc(), F.col("numeric_gap").asc_nulls_last(), X.split_rank(F.col("right_split")), F.lower("right_name"), F.col("right_name"), F.col("right_id")]
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, top: int = 10, block: int = 1_000) -> DataFrame:
+    """Per left name the `top` closest right names, in two scopes: same_split and all_splits.
+
+    left: (left_id, left_split, left_name), a stated query set (the names that
+    found no partner); right: (right_id, right_split, right_name), all rows. Columns: left_id, scope,
+    right_id, right_split, distance, similarity, numeric_gap, rank; see _closeness for the order. The query set goes
+    through the right side in blocks of `block` names, held in the plan; the best
+    of each task are kept before anything is shuffled. Null names have and are no candidates.
+    """
+    asked = left.where("left_name is not null").select("left_id", "left_split", "left_name").distinct().orderBy("left_id").collect()  # the query set
+    out = None
+    kinds = dict(left.dtypes)
+    for k in range(0, max(len(asked), 1), block):
+        own = [F.struct(F.lit(r.left_id).cast(kinds["left_id"]).alias("left_id"), F.lit(r.left_split).cast("string").alias("left_split"), F.lit(r.left_name).alias("left_name")) for r in asked[k : k + block]]
+        if not own:
+            own_rows = right.sparkSession.createDataFrame([], f"left_id {kinds['left_id']}, left_split string, left_name string")
+            met = right.where("false").select("right_id", "right_split", "right_name").join(own_rows, F.lit(False), "inner")
+        else:
+            met = right.where("right_name is not null").select("right_id", "right_split", "right_name", F.explode(F.array(*own)).alias("x")).select("x.*", "right_id", "right_split", "right_name")
+        scored = _scored(met)
+        for scope, rows in (("all_splits", scored), ("same_split", scored.where("left_split = right_split"))):
+            rank = F.row_number().over(Window.partitionBy("left_id").orderBy(*_closeness()))
+            best = rows.withColumn("rank", rank).where(F.col("rank") <= top).select("left_id", F.lit(scope).alias("scope"), "right_id", "right_split", "distance", "similarity", "numeric_gap", "rank")
+            out = best if out is None else out.unionByName(best)
+    return out
+
+
+def rerank_unmatched(left: DataFrame, unmatched: DataFrame, matched: DataFrame, cached: DataFrame, top: int = 5, near: int = 2, block: int = 1_000) -> DataFrame:
+    """Per left name the unmatched right names of its split: the `top` closest and those whose number is at most `near` off.
+
+    left and unmatched as for fuzzy_candidates; names whose (split, key) is
+    in `matched` are occupied and left out; equal names of one split count once. Distances in `cached` (left_id, right_split,
+    right_name, distance) are taken from there, others worked out. Adds rank and reason (top or numeric_neighbour).
+    """
+    free = unmatched.withColumn("key", X.pairing_key(F.col("right_name"))).join(matched.select(F.col("split").alias("right_split"), "key").distinct(), ["right_split", "key"], "left_anti")
+    free = free.groupBy("right_split", "right_name").agg(F.min("right_id").alias("right_id"))
+    asked = left.where("left_name is not null").select("left_id", "left_split", "left_name").distinct()
+    met = asked.join(free, F.col("left_split") == F.col("right_split"))  # unmatched names of one split, a query set against a query set
+    known = cached.groupBy("left_id", "right_split", "right_name").agg(F.min("distance").alias("known"))
+    scored = _scored(met.join(known, ["left_id", "right_split", "right_name"], "left")).withColumn("distance", F.coalesce("known", "distance"))
+    longest = F.greatest(F.length("left_name"), F.length("right_name"), F.lit(1))
+    scored = scored.withColumn("similarity", 1 - F.col("distance") / longest)
+    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(*_closeness()))
+    reason = F.when(F.col("rank") <= top, "top").when(F.col("numeric_gap") <= near, "numeric_neighbour")
+    return scored.withColumn("rank", rank).withColumn("reason", reason).where("reason is not null").select("left_id", "right_id", "distance", "similarity", "numeric_gap", "rank", "reason")
+
+
+def pair_features(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b, distance) with what their images have in common.
+
+    images: (id, split, filename, sha, width, height, make, model, taken, digitised, telling). Adds split_pair,
+    sha256_equal, dimensions_match, severity (exact_content_cross_split without a distance), numeric_gap,
+    same_camera, same_capture_time (the original time, else the other), low_information. Blanks count as missing.
+    """
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    taken = F.coalesce(text("taken"), text("digitised"))
+    one = images.select("id", "split", "sha", "width", "height", X.numeric_stem(F.col("filename")).alias("number"), text("make").alias("make"), text("model").alias("model"), taken.alias("time"), "telling")
+    side = lambda s: one.select(*(F.col(c).alias(f"{c}_{s}") for c in one.columns))
+    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
+    same = lambda c: F.coalesce(a(c) == b(c), F.lit(False))
+    camera = (a("make").isNotNull() | a("model").isNotNull()) & a("make").eqNullSafe(b("make")) & a("model").eqNullSafe(b("model"))
+    return both.select(
+        "id_a", "id_b", "distance", X.split_pair(a("split"), b("split")).alias("split_pair"), same("sha").alias("sha256_equal"), (same("width") & same("height")).alias("dimensions_match"),
+        F.when(F.col("distance").isNull(), "exact_content_cross_split").otherwise(X.distance_severity(F.col("distance"))).alias("severity"),
+        F.abs(a("number") - b("number")).cast("bigint").alias("numeric_gap"), camera.alias("same_camera"), same("time").alias("same_capture_time"), (~a("telling") | ~b("telling")).alias("low_information"),
+    )
+
+
+def join_once(left: DataFrame, right: DataFrame, keys: list[str], equal: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, issues) of a one-to-one join: rows of keys that occur once on both sides with equal `equal` columns (null equals null).
+
+    issues: (keys, code), code being left_missing, right_missing, left_repeats, right_repeats or differs:column.
+    Columns of the right side other than keys and `equal` are added to the left's.
+    """
+    more = [c for c in right.columns if c not in left.columns]
+    l = left.groupBy(*keys).agg(F.count("*").alias("nl"), F.first(F.struct(*[c for c in left.columns if c not in keys])).alias("l"))
+    r = right.groupBy(*keys).agg(F.count("*").alias("nr"), F.first(F.struct(*[c for c in right.columns if c not in keys])).alias("r"))
+    both = l.join(r, keys, "full_outer")
+    codes = {"left_missing": F.col("nl").isNull(), "right_missing": F.col("nr").isNull(), "left_repeats": F.col("nl") > 1, "right_repeats": F.col("nr") > 1}
+    codes |= {f"differs:{c}": F.col("nl").isNotNull() & F.col("nr").isNotNull() & ~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in equal}
+    coded = both.withColumn("codes", F.array_compact(F.array(*(F.when(c, n) for n, c in codes.items()))))
+    rows = coded.where(F.size("codes") == 0).select(*keys, *(F.col(f"l.{c}").alias(c) for c in left.columns if c not in keys), *(F.col(f"r.{c}").alias(c) for c in more))
+    return rows, coded.select(*keys, F.explode("codes").alias("code"))
+
+
+def listed_rows(listed: DataFrame, manifest: DataFrame, excluded: DataFrame, unique: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows in the list's order, issues) of a list (position, path) against a manifest.
+
+    issues: (position, path, code): unknown (no manifest row), several (more than one), excluded, listed_twice,
+    and repeats:column where two entries share a non-null value of a `unique` column.
+    """
+    found = listed.join(manifest.groupBy("path").agg(F.count("*").alias("hits")), "path", "left").join(excluded.select("path", F.lit(True).alias("out")).distinct(), "path", "left")
+    times = listed.groupBy("path").agg(F.count("*").alias("times"))
+    rows = listed.join(manifest, "path")
+    issues = found.join(times, "path").select("position", "path", F.explode(F.array_compact(F.array(
+        F.when(F.col("hits").isNull(), "unknown"), F.when(F.col("hits") > 1, "several"), F.when(F.col("out"), "excluded"), F.when(F.col("times") > 1, "listed_twice"),
+    ))).alias("code"))
+    for c in unique:
+        many = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct("path").alias("n")).where("n > 1")
+        issues = issues.unionByName(rows.join(many.select(c), c, "left_semi").select("position", "path", F.lit(f"repeats:{c}").alias("code")))
+    return rows.orderBy("position"), issues
+
+
+def partition_issues(whole: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
+    """(key, code): keys of the whole that no part has (missing) or several have (overlap), and keys of parts that the whole lacks (foreign)."""
+    all_ = None
+    for i, part in enumerate(parts):
+        one = part.select(key).distinct().withColumn("part", F.lit(i))
+        all_ = one if all_ is None else all_.unionByName(one)
+    n = all_.groupBy(key).agg(F.count("*").alias("n"))
+    both = whole.select(key).distinct().withColumn("own", F.lit(True)).join(n, key, "full_outer")
+    code = F.when(F.col("own").isNull(), "foreign").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "overlap")
+    return both.select(key, code.alias("code")).where("code is not null")
+
+
+def canonical_order(rows: DataFrame, split: str, name: str) -> DataFrame:
+    """Rows by split (train, valid, test), the name without case, then as it is."""
+    return rows.orderBy(X.split_rank(F.col(split)), F.lower(name), name)
 
 
 def duplicate_classes(df: DataFrame, content: Column, key: str, split: Column) -> DataFrame:
@@ -58,7 +207,7 @@ def duplicate_classes(df: DataFrame, content: Column, key: str, split: Column) -
     return out.where("members > 1").withColumn("cross_split", F.col("splits") > 1)
 
 
-def numeric_neighbours(names: DataFrame, reach: int = 2, blocks: int = 64) -> DataFrame:
+def numeric_neighbours(names: DataFrame, reach: int = 2) -> DataFrame:
     """Pairs (id_a, id_b, gap) of different splits whose numbers lie within `reach`; names: (id, split, number).
 
     Numbers fall into buckets of reach + 1, and a row meets its own and the next

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanwise.functions import scalars as X
+from spanwise.functions.scalars import magnitude_bucket
+from spanwise.session import cut
 
 SUMMARY = ("count", "mean", "min", "p01", "p05", "p25", "median", "p75", "p95", "p99", "max")
 
@@ -39,26 +41,83 @@ def class_distribution(boxes: DataFrame, split: str = "split", cls: str = "class
     )
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], per_factor: int = 4_096) -> DataFrame:
+    """keys and a column for each point: linear percentiles, exact, with no group sorted in one task.
+
+    Equal values are counted first; their buckets (see magnitude_bucket) are
+    counted and added up, which tells the bucket that holds each wanted rank; only those
+    buckets are looked into. Keys and values are not null; no rows give no row.
+    """
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")).withColumn("bucket", magnitude_bucket(F.col("v"), per_factor))
+    counts = cut(counts)
+    buckets = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("c"))
+    total = F.sum("c").over(Window.partitionBy(*keys))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(h).alias("high"), (F.ceil if h else F.floor)((F.col("n") - 1) * p).cast("bigint").alias("rank"), ((F.col("n") - 1) * p).alias("place")) for n, p in points.items() for h in (False, True)))
+    held = buckets.withColumn("n", total).withColumn("before", before).select(*keys, "bucket", "before", F.explode(F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c")))).alias("r")).select(*keys, "bucket", "before", "r.*")
+    own = counts.join(held.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
+    upto = F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = held.join(own.withColumn("upto", upto), [*keys, "bucket"]).where("before + upto > rank and before + upto - c <= rank")
+    ends = found.groupBy(*keys, "name").agg(F.max(F.when(~F.col("high"), F.col("v"))).alias("low"), F.max(F.when(F.col("high"), F.col("v"))).alias("top"), F.first("place").alias("place"))
+    ends = ends.withColumn("q", F.when(F.col("low") == F.col("top"), F.col("low")).otherwise(F.col("low") + (F.col("top") - F.col("low")) * (F.col("place") - F.floor("place"))))
+    return ends.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in points))
+
+
 def eleven_numbers(df: DataFrame, groupings: list[list[str]], metrics: list[str]) -> DataFrame:
     """Count, mean, extremes and linear percentiles of each metric at each grain, one row for each grain, group and metric.
 
     Columns: grain, the grouping columns as text (null where summed over),
     metric and SUMMARY. Null values are left out; a group without values has
-    count 0 and nulls.
+    count 0 and nulls. The table is read once for all grains.
     """
     names = sorted({c for g in groupings for c in g})
-    long = df.select(*names, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")).select(*names, "x.*")
-    out = None
-    points = F.percentile("value", F.array(*(F.lit(p) for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))))
-    for g in groupings:
-        part = long.groupBy(*g, "metric").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), points.alias("p"))
-        cells = [F.col(c).cast("string").alias(c) if c in g else F.lit(None).cast("string").alias(c) for c in names]
-        quant = [F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p05", "p25", "median", "p75", "p95", "p99"))]
-        part = part.select(F.lit("+".join(g) or "all").alias("grain"), *cells, "metric", "count", "mean", "min", "max", *quant)
-        out = part if out is None else out.unionByName(part)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    grains = F.array(*(F.struct(F.lit("+".join(g) or "all").alias("grain"), *((text(c) if c in g else F.lit("\x01")).alias(c) for c in names)) for g in groupings))
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
+    keys = ["grain", *names, "metric"]
+    long = df.select(F.explode(grains).alias("g"), cells.alias("m")).select("g.*", F.explode("m").alias("m")).select("grain", *names, "m.*")
+    base = long.groupBy(*keys).agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    points = exact_quantiles(long.where("value is not null"), keys, "value", {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
+    out = base.join(points, keys, "left")
+    shown = [F.when(~F.col(c).isin("\x00", "\x01"), F.col(c)).alias(c) for c in names]
+    return out.select("grain", *shown, "metric", "count", "mean", "min", "max", "p01", "p05", "p25", "median", "p75", "p95", "p99")
+
+
+def split_comparison(images: DataFrame, boxes: DataFrame, classes: list[int]) -> DataFrame:
+    """Per split: images, annotations, mean annotations an image, median box area, share of images with several classes, and each class's share of the annotations in percent.
+
+    images: (split, image); boxes: (split, image, class_id, area). Images without boxes count; shares without a base are 0.
+    """
+    own = boxes.groupBy("split", "image").agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("kinds"))
+    per = images.select("split", "image").distinct().join(own, ["split", "image"], "left").fillna(0, ["n", "kinds"])
+    base = per.groupBy("split").agg(F.count("*").alias("images"), F.sum("n").alias("annotations"), F.avg("n").alias("mean_annotations"), (100 * F.avg((F.col("kinds") > 1).cast("int"))).alias("multi_class_percent"))
+    shares = boxes.groupBy("split").agg(*((100.0 * F.count_if(F.col("class_id") == c) / F.count("*")).alias(f"class_{c}_percent") for c in classes))
+    area = exact_quantiles(boxes.where("split is not null and area is not null"), ["split"], "area", {"median_area": 0.5})
+    return base.join(shares, "split", "left").join(area, "split", "left").fillna(0.0, [f"class_{c}_percent" for c in classes])
+
+
+def category_counts(rows: DataFrame, tags: str, categories: list[str]) -> DataFrame:
+    """(category, n) for every category, zeros kept; `tags`: an array of any number of them, a tag that repeats in a row counts once."""
+    got = rows.select(F.explode(F.array_distinct(tags)).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    all_ = rows.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    return all_.join(got, "category", "left").fillna(0, ["n"])
+
+
+def extreme_examples(rows: DataFrame, value: str, key: str, top: int = 20, flags: dict[str, Column] | None = None) -> DataFrame:
+    """(example, key, value): the `top` smallest and largest rows, and up to `top` of each flag, as one bag with a tag; ties by key."""
+    out = rows.orderBy(F.col(value), key).limit(top).select(F.lit("smallest").alias("example"), key, value)
+    out = out.unionByName(rows.orderBy(F.col(value).desc(), key).limit(top).select(F.lit("largest").alias("example"), key, value))
+    for name, flag in (flags or {}).items():
+        out = out.unionByName(rows.where(flag).orderBy(key).limit(top).select(F.lit(name).alias("example"), key, value))
     return out
 
 
+def count_issues(counts: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(name, n, expected) of names whose number differs from what is expected, or that are missing or unknown; counts: (name, n)."""
+    want = counts.sparkSession.createDataFrame(list(expected.items()), "name string, expected long")
+    return counts.select("name", F.col("n").cast("bigint").alias("n")).join(want, "name", "full_outer").where(~F.col("n").eqNullSafe(F.col("expected")))
+
+
 def dense_histogram(df: DataFrame, by: list[str], value: Column, bins: list[str]) -> DataFrame:
     """Counts of every bin in every group, zeros kept, with the share of the group in percent (null for an empty group)."""
     counted = df.select(*by, value.alias("bin")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
@@ -105,12 +164,12 @@ def rollup_metrics(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, conditions)), F.array(*(F.col(f"`{n}`") for n in conditions)))).alias("metric", "value"))
 
 
-def stratified_recall(rows: DataFrame, keys: list[str], matched: str = "matched") -> DataFrame:
-    """Per stratum: instances, tp, fn, recall, miss rate and share of all misses."""
-    out = rows.groupBy(*keys).agg(F.count("*").alias("instances"), F.count_if(F.col(matched)).alias("tp")).withColumn("fn", F.col("instances") - F.col("tp"))
+def stratified_recall(rows: DataFrame, keys: list[str], matched: str = "matched", at_floor: str = "matched_at_floor") -> DataFrame:
+    """Per stratum: instances, tp, fn, recall, miss rate, tp at the confidence floor and share of all misses."""
+    out = rows.groupBy(*keys).agg(F.count("*").alias("instances"), F.count_if(F.col(matched)).alias("tp"), F.count_if(F.col(at_floor)).alias("tp_at_floor")).withColumn("fn", F.col("instances") - F.col("tp"))
     whole = out.agg(F.sum("fn").alias("all_fn"))
     out = out.crossJoin(F.broadcast(whole))  # one row
-    return out.select(*keys, "instances", "tp", "fn", F.try_divide("tp", "instances").alias("recall"), F.try_divide("fn", "instances").alias("fn_rate"), F.try_divide("fn", "all_fn").alias("share_of_all_fn"))
+    return out.select(*keys, "instances", "tp", "fn", F.try_divide("tp", "instances").alias("recall"), F.try_divide("fn", "instances").alias("fn_rate"), "tp_at_floor", F.try_divide("fn", "all_fn").alias("share_of_all_fn"))
 
 
 def hash_sample(df: DataFrame, key: Column, seed: int, size: int) -> DataFrame:

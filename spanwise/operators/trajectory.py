@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spanwise.functions import geometry as G
 from spanwise.functions.scalars import finite
 from spanwise.functions.text import plain
+from spanwise.operators.stats import exact_quantiles
+from spanwise.operators.validate import require_empty
+from spanwise.session import cut
 
 XYZ, QUAT = ("x_m", "y_m", "z_m"), ("qx", "qy", "qz", "qw")
 
@@ -103,9 +106,11 @@ def absolute_errors(aligned: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def error_summary(errors: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
-    """count, mean, median, rmse and linear 95th percentile; nulls for no errors."""
+    """count, mean, median, rmse and linear 95th percentile; nulls for no errors. Keys are not null."""
     e = F.col(error)
-    return errors.groupBy(*keys).agg(F.count(e).alias("count"), F.avg(e).alias("mean"), F.median(e).alias("median"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, F.lit(0.95)).alias("p95"))
+    base = errors.groupBy(*keys).agg(F.count(e).alias("count"), F.avg(e).alias("mean"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    points = exact_quantiles(errors.where(e.isNotNull()), keys, error, {"median": 0.5, "p95": 0.95})
+    return base.join(points, keys, "left").select(*keys, "count", "mean", "median", "rmse", "p95")
 
 
 def relative_errors(aligned: DataFrame, delta: int = 1_000_000_000, tolerance: int = 50_000_000) -> DataFrame:
@@ -115,13 +120,17 @@ def relative_errors(aligned: DataFrame, delta: int = 1_000_000_000, tolerance: i
     ties to the earlier. Candidates meet in buckets twice the tolerance wide.
     """
     width = 2 * tolerance
-    cols = [*XYZ, *QUAT, *(f"gt_{c}" for c in XYZ + QUAT)]
+    aligned = cut(aligned)
+    # Times alone find their partners; poses join afterwards.
     bucket = lambda e: F.expr(f"({e} - pmod({e}, {width}L)) div {width}L")
-    a = aligned.select("run", F.col("t"), F.struct(*cols).alias("a"), bucket(f"(t + {delta}L)").alias("b0")).withColumn("bucket", F.explode(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1)))
-    b = aligned.select("run", F.col("t").alias("end_t"), F.struct(*cols).alias("b"), bucket("t").alias("bucket"))
+    a = aligned.select("run", "t", bucket(f"(t + {delta}L)").alias("b0")).select("run", "t", F.explode(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1)).alias("bucket"))
+    b = aligned.select("run", F.col("t").alias("end_t"), bucket("t").alias("bucket"))
     gap = F.abs(F.col("end_t") - F.col("t") - delta)
     met = a.join(b, ["run", "bucket"]).where((gap <= tolerance) & (F.col("end_t") > F.col("t")))
-    best = met.groupBy("run", "t").agg(F.min_by(F.struct("a", "b", "end_t"), F.struct(gap, F.col("end_t"))).alias("m")).select("run", "t", "m.*")
+    pairs = met.groupBy("run", "t").agg(F.min(F.struct(gap.alias("gap"), "end_t")).alias("m")).select("run", "t", "m.end_t")
+    cols = [*XYZ, *QUAT, *(f"gt_{c}" for c in XYZ + QUAT)]
+    own = lambda t, s: aligned.select("run", F.col("t").alias(t), F.struct(*cols).alias(s))
+    best = pairs.join(own("t", "a"), ["run", "t"]).join(own("end_t", "b"), ["run", "end_t"])
     motion = {}
     for p in ("", "gt_"):
         q0, q1 = ([F.col(f"{s}.{p}{c}") for c in QUAT] for s in "ab")
@@ -133,19 +142,88 @@ def relative_errors(aligned: DataFrame, delta: int = 1_000_000_000, tolerance: i
     return best.select("run", "t", "end_t", off.alias("translation"), rot.alias("rotation"))
 
 
+def link_issues(estimates: DataFrame, truths: DataFrame, links: DataFrame) -> DataFrame:
+    """(estimated_id, truth_id, code) of links that break the rules: unknown_estimate, unknown_truth, class_differs, estimate_repeats, truth_repeats.
+
+    Every estimate and truth has at most one link, both ends exist, and their classes agree.
+    """
+    e = estimates.select("estimated_id", F.col("class_name").alias("ec")).dropDuplicates(["estimated_id"])
+    t = truths.select("truth_id", F.col("class_name").alias("tc")).dropDuplicates(["truth_id"])
+    many = lambda key: links.groupBy(key).agg(F.count("*").alias(f"n_{key}"))
+    rows = links.join(e, "estimated_id", "left").join(t, "truth_id", "left").join(many("estimated_id"), "estimated_id").join(many("truth_id"), "truth_id")
+    codes = {
+        "unknown_estimate": F.col("ec").isNull(), "unknown_truth": F.col("tc").isNull(), "class_differs": F.col("ec") != F.col("tc"),
+        "estimate_repeats": F.col("n_estimated_id") > 1, "truth_repeats": F.col("n_truth_id") > 1,
+    }
+    return rows.select("estimated_id", "truth_id", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in codes.items())))).alias("code"))
+
+
 def locate_errors(estimates: DataFrame, truths: DataFrame, links: DataFrame, rotation: list[list[float]], shift: list[float]) -> DataFrame:
     """(estimated_id, truth_id, dx, dy, dz, error): corresponding defects, truth carried into the map by R and t.
 
     estimates: (estimated_id, class_name, x, y, z); truths: (truth_id, ...);
-    links: (estimated_id, truth_id). Links to nothing and pairs of different classes are left out;
-    count them with `unlinked` and `class_conflicts`.
+    links: (estimated_id, truth_id). Links that `link_issues` names, and rotations that are none, are errors.
     """
-    e = estimates.select("estimated_id", F.col("class_name").alias("ec"), *(F.col(c).alias(f"e{c}") for c in "xyz"))
-    t = truths.select("truth_id", F.col("class_name").alias("tc"), *(c.alias(f"t{n}") for n, c in zip("xyz", G.apply_rigid(rotation, shift, [F.col(c) for c in "xyz"]))))
-    rows = links.join(e, "estimated_id").join(t, "truth_id").where("ec = tc")
+    require_rotation(rotation)
+    require_empty(link_issues(estimates, truths, links), "links")
+    e = estimates.select("estimated_id", *(F.col(c).alias(f"e{c}") for c in "xyz"))
+    t = truths.select("truth_id", *(c.alias(f"t{n}") for n, c in zip("xyz", G.apply_rigid(rotation, shift, [F.col(c) for c in "xyz"]))))
+    rows = links.join(e, "estimated_id").join(t, "truth_id")
     d = [F.col(f"e{c}") - F.col(f"t{c}") for c in "xyz"]
     return rows.select("estimated_id", "truth_id", *(x.alias(f"d{c}") for x, c in zip(d, "xyz")), G.norm(d).alias("error"))
 
 
+def localisation_summary(errors: DataFrame, estimates: DataFrame, truths: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: matched, mean, median, rmse and p95 of the distance, mean signed and absolute errors by axis, and unmatched on both sides; nulls without a match."""
+    one = error_summary(errors.withColumn("g", F.lit(1)), ["g"]).drop("g")
+    axes = errors.agg(*(F.avg(f"d{c}").alias(f"mean_d{c}") for c in "xyz"), *(F.avg(F.abs(f"d{c}")).alias(f"mean_abs_d{c}") for c in "xyz"), F.count("*").alias("matched"))
+    missing = unlinked(estimates, links, "estimated_id").agg(F.count("*").alias("unmatched_estimates")).crossJoin(unlinked(truths, links, "truth_id").agg(F.count("*").alias("unmatched_truths")))  # one row each
+    return axes.join(F.broadcast(one.drop("count")), F.lit(True), "left").crossJoin(missing)
+
+
 def unlinked(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """Rows of one side that no link names."""
     return rows.join(links.select(key).distinct(), key, "left_anti")
+
+
+def require_rotation(matrix: list[list[float]], tolerance: float = 1e-9) -> np.ndarray:
+    """The matrix if it is a proper rotation, else ValueError."""
+    r = np.array(matrix, float)
+    if r.shape != (3, 3) or not np.isfinite(r).all() or np.abs(r @ r.T - np.eye(3)).max() > tolerance or abs(np.linalg.det(r) - 1) > tolerance:
+        raise ValueError("no proper rotation")
+    return r
+
+
+def require_rigid(matrix: list[list[float]], tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, shift) of a 4 x 4 rigid motion, else ValueError."""
+    m = np.array(matrix, float)
+    if m.shape != (4, 4) or not np.isfinite(m).all() or np.abs(m[3] - [0, 0, 0, 1]).max() > tolerance:
+        raise ValueError("no rigid motion")
+    return require_rotation(m[:3, :3].tolist(), tolerance), m[:3, 3]
+
+
+def metric_rows(coverage_rows: DataFrame, absolute: DataFrame, relative: DataFrame) -> DataFrame:
+    """(run, metric, value): the named measures of each run, one to a row; runs without a measure have null.
+
+    coverage_rows: (run, matched, coverage, seconds); absolute: (run, rmse); relative: (run, rmse_translation, rmse_rotation).
+    """
+    wide = coverage_rows.join(absolute.select("run", "rmse"), "run", "left").join(relative.select("run", "rmse_translation", "rmse_rotation"), "run", "left")
+    names = {
+        "ate_translation_rmse_m": "rmse", "rpe_translation_rmse_m_1s": "rmse_translation", "rpe_rotation_rmse_deg_1s": "rmse_rotation",
+        "aligned_sample_count": "matched", "timestamp_alignment_coverage": "coverage", "evaluated_duration_s": "seconds",
+    }
+    cells = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in names.items()))
+    return wide.select("run", F.explode(cells).alias("x")).select("run", "x.*")
+
+
+def plane_check(depths: DataFrame, expected: float, tolerance: float) -> DataFrame:
+    """Depth samples (key, depth_m) that aren't finite or lie off the expected plane by more than the tolerance."""
+    return depths.where(~finite(F.col("depth_m")) | (F.abs(F.col("depth_m") - expected) > tolerance))
+
+
+def common_stamps(*streams: DataFrame) -> DataFrame:
+    """Stamps that occur in every stream (column stamp), each once."""
+    out = streams[0].select("stamp").distinct()
+    for s in streams[1:]:
+        out = out.join(s.select("stamp").distinct(), "stamp", "left_semi")
+    return out

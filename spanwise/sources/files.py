@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from spanwise.functions.scalars import corners
+from spanwise.functions.scalars import corners, finite
+from spanwise.session import cut
 
 _NESTED = ("array", "map", "struct")
 
@@ -41,9 +42,17 @@ def read_json_with_hash(spark: SparkSession, path: str, schema: str) -> DataFram
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", "UTF-8"), schema).alias("document"))
 
 
-def canonical_json(columns: list[str]) -> Column:
-    """Compact JSON text with sorted keys; NaN and infinity give null for the whole."""
-    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+def canonical_json(df: DataFrame, columns: list[str]) -> Column:
+    """Compact JSON text with sorted keys, nulls kept; NaN and infinity anywhere at the top level are an error."""
+    kinds = dict(df.dtypes)
+    odd = F.lit(False)
+    for c in columns:
+        if kinds[c] in ("double", "float"):
+            odd = odd | F.coalesce(~finite(F.col(c)) & F.col(c).isNotNull(), F.lit(False))
+        elif kinds[c] in ("array<double>", "array<float>"):
+            odd = odd | F.coalesce(F.exists(c, lambda x: x.isNotNull() & ~finite(x)), F.lit(False))
+    text = F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+    return F.when(odd, F.raise_error(F.lit("NaN and infinity have no JSON text"))).otherwise(text)
 
 
 def directory(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
@@ -100,16 +109,20 @@ def annotated_regions(documents: DataFrame) -> DataFrame:
 def normalised_predictions(arrays: DataFrame) -> DataFrame:
     """One row for each detection of (image_id, class_ids, confidences, boxes), with dense ids over image, class, falling confidence, box.
 
+    Arrays of unequal length are an error; with columns width and height, so are boxes beyond them.
+
     Ids come from counts of images, summed in order, and ranks within an image, so no global sort meets in one task.
     """
+    even = (F.size("class_ids") == F.size("confidences")) & (F.size("class_ids") == F.size("boxes"))
+    if {"width", "height"} <= set(arrays.columns):
+        x = lambda b, i: F.get(b, F.lit(i))
+        inside = lambda b: F.coalesce((x(b, 0) >= 0) & (x(b, 0) < x(b, 2)) & (x(b, 2) <= F.col("width")) & (x(b, 1) >= 0) & (x(b, 1) < x(b, 3)) & (x(b, 3) <= F.col("height")), F.lit(False))
+        even = even & F.forall("boxes", inside)
+    arrays = arrays.withColumn("boxes", F.when(even, F.col("boxes")).otherwise(F.raise_error(F.lit("uneven arrays or a box beyond its picture"))))
     rows = arrays.select("image_id", F.explode(F.arrays_zip("class_ids", "confidences", "boxes")).alias("d")).select("image_id", F.col("d.class_ids").alias("class_id"), F.col("d.confidences").alias("confidence"), F.col("d.boxes").alias("box"))
-    from pyspark.sql import Window
-
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy("class_id", F.col("confidence").desc(), "box")))
     counts = rows.groupBy("image_id").agg(F.count("*").alias("n"))
     bucketed = counts.repartitionByRange("image_id").sortWithinPartitions("image_id").select("image_id", "n", F.spark_partition_id().alias("p"))
-    from spanwise.session import cut
-
     bucketed = cut(bucketed)
     before = bucketed.groupBy("p").agg(F.sum("n").alias("s")).select("p", (F.sum("s").over(Window.orderBy("p")) - F.col("s")).alias("p0"))
     inside = F.sum("n").over(Window.partitionBy("p").orderBy("image_id")) - F.col("n")
@@ -123,3 +136,37 @@ def export_state(defects: DataFrame, path: str) -> None:
 
 def import_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, mode="FAILFAST")
+
+
+def inventory(spark: SparkSession, root: str, hashed: DataFrame | None = None) -> DataFrame:
+    """(path, size, modified, sha256) of every file below root; contents are read only of the paths in `hashed` (path)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    out = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if hashed is None:
+        return out.withColumn("sha256", F.lit(None).cast("string"))
+    own = [r.path for r in hashed.select("path").distinct().collect()]  # the files to read, named one by one
+    sums = spark.read.format("binaryFile").load(own).select("path", F.sha2("content", 256).alias("sha256")) if own else out.select("path", F.lit(None).cast("string").alias("sha256")).limit(0)
+    return out.join(sums, "path", "left")
+
+
+def ragged_rows(values: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(image, k, value) of ragged arrays: values (position, value) and offsets (image, start, stop), half open.
+
+    Slices that overlap or leave positions out are allowed; empty ones give no row.
+    A slice is listed position by position, so the join is one by equality.
+    """
+    wanted = offsets.where("stop > start").select("image", "start", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("position"))
+    return wanted.join(values, "position").select("image", (F.col("position") - F.col("start")).alias("k"), "value")
+
+
+def reconciled_annotations(documents: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(image_id, regions, boxes, status): annotated documents against label rows of the same images.
+
+    Status: equal, count_differs, class_differs (equal numbers, other classes), or only_documents and only_labels.
+    documents: (image_id, annotations); boxes: (image_id, class_id).
+    """
+    d = documents.select("image_id", F.size("annotations").alias("regions"), F.array_sort(F.transform("annotations", lambda a: a["category"])).alias("dc"))
+    b = boxes.groupBy("image_id").agg(F.count("*").cast("int").alias("boxes"), F.array_sort(F.collect_list("class_id")).alias("bc"))
+    both = d.join(b, "image_id", "full_outer")
+    status = F.when(F.col("bc").isNull(), "only_documents").when(F.col("dc").isNull(), "only_labels").when(F.col("regions") != F.col("boxes"), "count_differs").when(F.col("dc") != F.col("bc"), "class_differs").otherwise("equal")
+    return both.select("image_id", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("boxes", F.lit(0)).alias("boxes"), status.alias("status"))

@@ -36,14 +36,24 @@ def fuse_stream(observations: DataFrame, radius: float = 0.25) -> DataFrame:
     return keyed.groupBy("inspection_id", "class_id").applyInPandasWithState(step, _OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def synchronise(requests: DataFrame, depth: DataFrame, info: DataFrame, key: str = "stamp", time: str = "ts", bound: str = "5 seconds") -> DataFrame:
-    """Inner join of three streams (or tables) on equal stamps; the watermark bounds what is kept for late partners."""
+def synchronise(requests: DataFrame, depth: DataFrame, info: DataFrame, key: str = "stamp", time: str = "ts", bound_seconds: int = 5) -> DataFrame:
+    """Inner join of three streams (or tables) on equal stamps whose times lie at most `bound_seconds` apart.
 
-    def marked(df: DataFrame, name: str) -> DataFrame:
-        return df.withWatermark(name, bound) if df.isStreaming else df
+    On streams the watermarks and the time bound together let old rows leave the
+    state; partners that come later than that are lost. Columns of depth and
+    info other than key and time keep their names, their times become depth_ts and info_ts.
+    """
 
-    d, i = (marked(x.withColumnRenamed(time, f"{n}_{time}"), f"{n}_{time}") for n, x in (("depth", depth), ("info", info)))
-    return marked(requests, time).join(d, key).join(i, key)
+    def marked(df: DataFrame, name: str) -> DataFrame:
+        return df.withWatermark(name, f"{bound_seconds} seconds") if df.isStreaming else df
+
+    out, at = marked(requests, time), F.col(time)
+    for name, side in (("depth", depth), ("info", info)):
+        own = side.withColumnRenamed(time, f"{name}_{time}").withColumnRenamed(key, f"{name}_{key}")
+        gap = F.expr(f"interval {bound_seconds} seconds")
+        near = (F.col(f"{name}_{time}") >= at - gap) & (F.col(f"{name}_{time}") <= at + gap)
+        out = out.join(marked(own, f"{name}_{time}"), (F.col(key) == F.col(f"{name}_{key}")) & near).drop(f"{name}_{key}")
+    return out
 
 
 class StampBuffer:
