@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from spanwise.functions import scalars as X
 from spanwise.functions.text import hex_long, hex_text, plain, unify_split
 from spanwise.operators import detection, fusion, graph, inventory, quarantine, stats, store, trajectory, validate
-from spanwise.plans.core import P7_BOXES_SQL
-from spanwise.session import table
+from spanwise.plans.core import P7_BOXES_SQL, P7_RESULTS_SQL
+from spanwise.session import cut, table
+from spanwise.streaming import fusion_stream
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -169,29 +170,41 @@ def hash_sample(spark, sf):
     return stats.hash_sample(table(spark, sf, "manifest"), F.concat_ws(":", "split", "image_relative_path"), 42, 100).select("image_id")
 
 
-@query(f"""
-WITH i AS (SELECT {_SPLIT.format("split")} s, replace(lower(trim(regexp_replace(trim(image_filename), '\\.[^.]*$', ''))), 'ß', 'ss') k, image_relative_path image FROM manifest),
-l AS (SELECT raw_split s, replace(lower(trim(regexp_replace(trim(regexp_extract(label_relative_path, '[^/]*$')), '\\.[^.]*$', ''))), 'ß', 'ss') k, record_id::VARCHAR label FROM gyu_det_v3_baseline_v1 WHERE contains(label_relative_path, '/')),
-ni AS (SELECT s, k, count(*) n, any_value(image) image FROM i WHERE s IS NOT NULL AND k IS NOT NULL GROUP BY ALL), nl AS (SELECT s, k, count(*) n, any_value(label) label FROM l GROUP BY ALL)
-SELECT s AS split, k AS key, CASE WHEN coalesce(ni.n, 0) > 1 OR coalesce(nl.n, 0) > 1 THEN 'ambiguous' WHEN ni.n IS NULL THEN 'label_without_image' WHEN nl.n IS NULL THEN 'image_without_label' ELSE 'exact_pair' END AS status
-FROM ni FULL JOIN nl USING (s, k)""")
+PAIRS = f"""i AS (SELECT {_SPLIT.format("split")} s, replace(lower(trim(regexp_replace(trim(image_filename), '\\.[^.]*$', ''))), 'ß', 'ss') k, image_relative_path image, image_filename name FROM manifest WHERE {_SPLIT.format("split")} IS NOT NULL AND image_filename IS NOT NULL),
+l AS (SELECT raw_split s, replace(lower(trim(regexp_replace(trim(regexp_extract(label_relative_path, '[^/]*$')), '\\.[^.]*$', ''))), 'ß', 'ss') k, record_id::VARCHAR label, regexp_extract(label_relative_path, '[^/]*$') name FROM gyu_det_v3_baseline_v1 WHERE contains(label_relative_path, '/')),
+ni AS (SELECT *, count(*) OVER (PARTITION BY s, k) n FROM i), nl AS (SELECT *, count(*) OVER (PARTITION BY s, k) n FROM l),
+ci AS (SELECT s, k, count(*) n FROM i GROUP BY ALL), cl AS (SELECT s, k, count(*) n FROM l GROUP BY ALL),
+pairs AS (
+  SELECT s, k, image, label, 'exact_pair' AS status FROM ni JOIN nl USING (s, k) WHERE ni.n = 1 AND nl.n = 1
+  UNION ALL SELECT ni.s, ni.k, image, NULL, CASE WHEN cl.n IS NULL THEN 'image_without_label' ELSE 'ambiguous' END FROM ni LEFT JOIN cl ON cl.s = ni.s AND cl.k = ni.k WHERE NOT (ni.n = 1 AND coalesce(cl.n, 0) = 1)
+  UNION ALL SELECT nl.s, nl.k, NULL, label, CASE WHEN ci.n IS NULL THEN 'label_without_image' ELSE 'ambiguous' END FROM nl LEFT JOIN ci ON ci.s = nl.s AND ci.k = nl.k WHERE NOT (nl.n = 1 AND coalesce(ci.n, 0) = 1))"""
+
+
+def pair_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    images = table(spark, sf, "manifest").select(unify_split(F.col("split")).alias("split"), X.pairing_key(F.col("image_filename")).alias("key"), F.col("image_relative_path").alias("image"), F.col("image_filename").alias("name")).where("split is not null and key is not null")
+    labels = table(spark, sf, "gyu_det_v3_baseline_v1").where(F.contains("label_relative_path", F.lit("/"))).withColumn("name", F.regexp_extract("label_relative_path", "[^/]*$", 0))
+    return images, labels.select(F.col("raw_split").alias("split"), X.pairing_key(F.col("name")).alias("key"), F.col("record_id").cast("string").alias("label"), "name")
+
+
+@query(f"WITH {PAIRS} SELECT s AS split, k AS key, image, label, status FROM pairs")
 def pair_inventory(spark, sf):
-    images = table(spark, sf, "manifest").select(unify_split(F.col("split")).alias("split"), X.pairing_key(F.col("image_filename")).alias("key"), F.col("image_relative_path").alias("image")).where("split is not null and key is not null")
-    labels = table(spark, sf, "gyu_det_v3_baseline_v1").where(F.contains("label_relative_path", F.lit("/")))
-    labels = labels.select(F.col("raw_split").alias("split"), X.pairing_key(F.regexp_extract("label_relative_path", "[^/]*$", 0)).alias("key"), F.col("record_id").cast("string").alias("label"))
-    return inventory.pair_unique(images, labels, ["split", "key"]).select("split", "key", "status")
+    images, labels = pair_sides(spark, sf)
+    return inventory.pair_unique(images.drop("name"), labels.drop("name"), ["split", "key"])
 
 
 @query("""
-WITH l AS (SELECT structure_id left_id, lower(trim(name)) ln FROM structures), p AS (SELECT p_partkey right_id, lower(p_name) rn FROM part),
-c AS (SELECT left_id, right_id, levenshtein(ln, rn) distance, round(1 - levenshtein(ln, rn) / greatest(length(ln), length(rn), 1), 8) similarity FROM l, p)
-SELECT left_id, right_id, distance, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) rank FROM c) WHERE rank <= 10""")
+WITH l AS (SELECT structure_id left_id, lower(trim(name)) ln, ['train', 'valid', 'test'][structure_id % 3 + 1] ls FROM structures), p AS (SELECT p_partkey right_id, lower(p_name) rn, ['train', 'valid', 'test'][p_partkey % 3 + 1] rs FROM part),
+c AS (SELECT *, levenshtein(ln, rn) distance, 1 - levenshtein(ln, rn) / greatest(length(ln), length(rn), 1) similarity FROM l, p),
+u AS (SELECT *, 'all_splits' scope FROM c UNION ALL SELECT *, 'same_split' FROM c WHERE ls = rs)
+SELECT left_id, scope, right_id, distance, round(similarity, 8) AS similarity, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY scope, left_id ORDER BY distance, similarity DESC, list_position(['train', 'valid', 'test'], rs), rn, right_id) rank FROM u) WHERE rank <= 10""")
 def fuzzy_candidates(spark, sf):
-    """Every structure name against every part name: one shared block, as the left side is a fixed table."""
-    left = table(spark, sf, "structures").select(F.col("structure_id").alias("left_id"), plain(F.col("name")).alias("name"))
-    right = table(spark, sf, "part").select(F.col("p_partkey").alias("right_id"), F.lower("p_name").alias("name"))
-    d = inventory.fuzzy_candidates(left, right, [F.lit(0)])
-    return d.select("left_id", "right_id", F.col("distance").cast("bigint").alias("distance"), F.round("similarity", 8).alias("similarity"), "rank")
+    """The structure names (a stated query set) against every part name, in their own split and in all."""
+    split = lambda c: F.element_at(F.array(*map(F.lit, ("train", "valid", "test"))), (F.col(c) % 3 + 1).cast("int"))
+    left = table(spark, sf, "structures").select(F.col("structure_id").alias("left_id"), split("structure_id").alias("left_split"), plain(F.col("name")).alias("left_name"))
+    right = table(spark, sf, "part").select(F.col("p_partkey").alias("right_id"), split("p_partkey").alias("right_split"), F.lower("p_name").alias("right_name"))
+    d = inventory.fuzzy_candidates(left, right)
+    return d.select("left_id", "scope", "right_id", F.col("distance").cast("bigint").alias("distance"), F.round("similarity", 8).alias("similarity"), "rank")
 
 
 @query(f"""
@@ -255,15 +268,24 @@ r AS (SELECT id, image_id, {", ".join(_ONE)} FROM (SELECT {", ".join(_DET)} FROM
 o AS (SELECT p.image_id, p.class_id, p.id pid, p.confidence, r.id rid, greatest(least(p.x2, r.x2) - greatest(p.x1, r.x1), 0.0) * greatest(least(p.y2, r.y2) - greatest(p.y1, r.y1), 0.0) AS i,
   (p.x2 - p.x1) * (p.y2 - p.y1) AS ap, (r.x2 - r.x1) * (r.y2 - r.y1) AS ar FROM p JOIN r USING (image_id, class_id)),
 u AS (SELECT image_id, class_id, pid, confidence, rid, i / (ap + ar - i) AS iou FROM o WHERE i > 0)"""
-MATCHES = """t AS (SELECT unnest([0.5, 0.75]::DOUBLE[]) threshold),
-c0 AS (SELECT threshold, image_id, class_id, pid, confidence, list(rid ORDER BY iou DESC, rid) rs FROM u, t WHERE iou >= threshold GROUP BY ALL),
-c AS (SELECT *, row_number() OVER (PARTITION BY threshold, image_id, class_id ORDER BY confidence DESC, pid) k FROM c0),
-w(threshold, image_id, class_id, k, pid, rid, used) AS (
-  SELECT threshold, image_id, class_id, k, pid, rs[1], [rs[1]] FROM c WHERE k = 1
+
+
+def matches_sql(to: str = "", extra: str = "true") -> str:
+    """The greedy matches m (their names end in `to`) of the pairs that meet `extra`."""
+    t, c0, c, w = (f"{n}{to}" for n in ("t", "c0", "c", "w"))
+    free = f"list_filter({c}.rs, lambda x: NOT list_contains({w}.used, x))[1]"
+    return f"""{t} AS (SELECT unnest([0.5, 0.75]::DOUBLE[]) threshold),
+{c0} AS (SELECT threshold, image_id, class_id, pid, confidence, list(rid ORDER BY iou DESC, rid) rs FROM u, {t} WHERE iou >= threshold AND {extra} GROUP BY ALL),
+{c} AS (SELECT *, row_number() OVER (PARTITION BY threshold, image_id, class_id ORDER BY confidence DESC, pid) k FROM {c0}),
+{w}(threshold, image_id, class_id, k, pid, rid, used) AS (
+  SELECT threshold, image_id, class_id, k, pid, rs[1], [rs[1]] FROM {c} WHERE k = 1
   UNION ALL
-  SELECT c.threshold, c.image_id, c.class_id, c.k, c.pid, list_filter(c.rs, lambda x: NOT list_contains(w.used, x))[1], list_append(w.used, list_filter(c.rs, lambda x: NOT list_contains(w.used, x))[1])
-  FROM w JOIN c ON c.threshold = w.threshold AND c.image_id = w.image_id AND c.class_id = w.class_id AND c.k = w.k + 1),
-m AS (SELECT threshold, pid, rid FROM w WHERE rid IS NOT NULL)"""
+  SELECT {c}.threshold, {c}.image_id, {c}.class_id, {c}.k, {c}.pid, {free}, list_append({w}.used, {free})
+  FROM {w} JOIN {c} ON {c}.threshold = {w}.threshold AND {c}.image_id = {w}.image_id AND {c}.class_id = {w}.class_id AND {c}.k = {w}.k + 1),
+m{to} AS (SELECT threshold, pid, rid FROM {w} WHERE rid IS NOT NULL)"""
+
+
+MATCHES = matches_sql()
 RANKED = "a AS (SELECT t.threshold, p.class_id, p.image_id, p.id, p.confidence, m.pid IS NOT NULL AS correct FROM p CROSS JOIN t LEFT JOIN m ON m.threshold = t.threshold AND m.pid = p.id), n AS (SELECT class_id, count(*) truths FROM r GROUP BY class_id)"
 THRESHOLDS = [0.5, 0.75]
 TEN = str(detection.IOU_THRESHOLDS)
@@ -311,28 +333,22 @@ def mean_average_precision(spark, sf):
     return d.select(*(F.round(c, 8).alias(c) for c in ("map50", "map50_95")))
 
 
-@query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED},
+@query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED}, z AS (SELECT count(*) images FROM (SELECT image_id FROM p UNION SELECT image_id FROM r)),
 g AS (SELECT class_id, threshold, truths, count(*) FILTER (correct) tp, count(*) FILTER (NOT correct) fp FROM a JOIN n USING (class_id) GROUP BY ALL)
-SELECT class_id, threshold, tp, fp, truths - tp AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / truths, 9) AS recall, round(2 * tp / (tp + fp + truths), 9) AS f1, round(fp / 100, 9) AS fp_per_image FROM g""")
+SELECT class_id, threshold, tp, fp, truths - tp AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / truths, 9) AS recall, round(2 * tp / (tp + fp + truths), 9) AS f1, round(fp / images, 9) AS fp_per_image FROM g, z""")
 def class_scores(spark, sf):
-    rows, truths = ranked_detections(spark, sf)
-    d = detection.class_scores(rows, truths, 100, ["class_id", "threshold"])
-    return d.select("class_id", "threshold", "tp", "fp", "fn", *(r9(c).alias(c) for c in ("precision", "recall", "f1", "fp_per_image")))
-
-
-@query(_SQL["class_scores"].replace("g AS (", "z AS (SELECT count(*) images FROM (SELECT image_id FROM p UNION SELECT image_id FROM r)), g AS (").replace("fp / 100, 9", "fp / images, 9").replace("FROM g", "FROM g, z"))
-def class_scores_counted(spark, sf):
-    """As class_scores, but with false positives for each image that has a prediction or region."""
+    """False positives are divided by the images that have a prediction or a region."""
     rows, truths = ranked_detections(spark, sf)
     p, r = detections(spark, sf)
-    images = p.select("image_id").unionByName(r.select("image_id")).distinct().count()
-    d = detection.class_scores(rows, truths, images, ["class_id", "threshold"])
+    d = detection.class_scores(rows, truths, p.select("image_id").unionByName(r.select("image_id")), ["class_id", "threshold"])
     return d.select("class_id", "threshold", "tp", "fp", "fn", *(r9(c).alias(c) for c in ("precision", "recall", "f1", "fp_per_image")))
 
 
 @query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED},
-g AS (SELECT threshold, least(floor(confidence * 10), 9)::INT bin, count(*) n, avg(confidence) c, avg(correct::INT) y FROM a GROUP BY ALL)
-SELECT threshold, bin, n, round(c, 9) AS mean_confidence, round(y, 9) AS accuracy, round(n / sum(n) OVER (PARTITION BY threshold) * abs(c - y), 9) AS ece_part FROM g""".replace("SELECT threshold, bin, n, round", "SELECT threshold, bin, g.n, round").replace("round(n / sum(n)", "round(g.n / sum(g.n)"))
+g AS (SELECT threshold, least(floor(confidence * 10), 9)::INT bin, count(*) m, avg(confidence) c, avg(correct::INT) y FROM a GROUP BY ALL),
+d AS (SELECT threshold, x::INT bin FROM t, range(0, 10) y(x))
+SELECT d.threshold, d.bin, coalesce(m, 0) AS n, round(c, 9) AS mean_confidence, round(y, 9) AS accuracy, round(coalesce(m / sum(m) OVER (PARTITION BY d.threshold) * abs(c - y), 0), 9) AS ece_part
+FROM d LEFT JOIN g ON g.threshold = d.threshold AND g.bin = d.bin""")
 def reliability(spark, sf):
     rows, _ = ranked_detections(spark, sf)
     d = detection.reliability(rows, ["threshold"])
@@ -346,17 +362,19 @@ def best_overlaps(spark, sf):
     return detection.best_overlaps(*detections(spark, sf), 0.25)
 
 
-@query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES},
-g AS (SELECT r.class_id, CASE WHEN (r.x2 - r.x1) * (r.y2 - r.y1) < 60 THEN 'small' ELSE 'large' END AS size, m.rid IS NOT NULL matched FROM r LEFT JOIN m ON m.rid = r.id AND m.threshold = 0.5),
-s AS (SELECT class_id, size, count(*) instances, count(*) FILTER (matched) tp FROM g GROUP BY ALL)
-SELECT class_id, size, instances, tp, instances - tp AS fn, round(tp / instances, 9) AS recall, round((instances - tp) / instances, 9) AS fn_rate, round((instances - tp) / sum(instances - tp) OVER (), 9) AS share_of_all_fn FROM s""")
+@query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {matches_sql("_", "confidence >= 0.5")},
+g AS (SELECT r.class_id, CASE WHEN (r.x2 - r.x1) * (r.y2 - r.y1) < 60 THEN 'small' ELSE 'large' END AS size, m_.rid IS NOT NULL matched, m.rid IS NOT NULL at_floor
+  FROM r LEFT JOIN m ON m.rid = r.id AND m.threshold = 0.5 LEFT JOIN m_ ON m_.rid = r.id AND m_.threshold = 0.5),
+s AS (SELECT class_id, size, count(*) instances, count(*) FILTER (matched) tp, count(*) FILTER (at_floor) fl FROM g GROUP BY ALL)
+SELECT class_id, size, instances, tp, instances - tp AS fn, round(tp / instances, 9) AS recall, round((instances - tp) / instances, 9) AS fn_rate, fl AS tp_at_floor, round((instances - tp) / sum(instances - tp) OVER (), 9) AS share_of_all_fn FROM s""")
 def stratified_recall(spark, sf):
+    """Matches of predictions of confidence 0.5 and more, beside those of all predictions."""
     p, r = detections(spark, sf)
-    hits = detection.greedy_match(p, r, [0.5]).select(F.col("region_id").alias("id"), F.lit(True).alias("matched"))
+    hit = lambda q, name: detection.greedy_match(q, r, [0.5]).select(F.col("region_id").alias("id"), F.lit(True).alias(name))
     size = F.when((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) < 60, "small").otherwise("large")
-    rows = r.join(hits, "id", "left").fillna(False, ["matched"]).withColumn("size", size)
+    rows = r.join(hit(p.where("confidence >= 0.5"), "matched"), "id", "left").join(hit(p, "matched_at_floor"), "id", "left").fillna(False, ["matched", "matched_at_floor"]).withColumn("size", size)
     d = stats.stratified_recall(rows, ["class_id", "size"])
-    return d.select("class_id", "size", "instances", "tp", "fn", *(r9(c).alias(c) for c in ("recall", "fn_rate", "share_of_all_fn")))
+    return d.select("class_id", "size", "instances", "tp", "fn", *(r9(c).alias(c) for c in ("recall", "fn_rate")), "tp_at_floor", r9("share_of_all_fn").alias("share_of_all_fn"))
 
 
 @query()
@@ -365,8 +383,50 @@ def confusion_matrix(spark, sf):
 
 
 @query()
+def confusion_summary(spark, sf):
+    """Per class: truths, those found, missed and confused, false alarms."""
+    return detection.confusion_summary(detection.confusion(*detections(spark, sf)))
+
+
+@query()
+def top_confusions(spark, sf):
+    return detection.top_confusions(detection.confusion(*detections(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED},
+d AS (SELECT threshold, class_id, x::INT AS point FROM t, (SELECT DISTINCT class_id FROM n), range(0, 1001) y(x)),
+b AS (SELECT threshold, class_id, floor(confidence * 1000)::INT AS point, count(*) c, count(*) FILTER (correct) h FROM a GROUP BY ALL),
+s AS (SELECT d.*, sum(coalesce(c, 0)) OVER w AS seen, sum(coalesce(h, 0)) OVER w AS tp FROM d LEFT JOIN b ON b.threshold = d.threshold AND b.class_id = d.class_id AND b.point = d.point WINDOW w AS (PARTITION BY d.threshold, d.class_id ORDER BY d.point DESC))
+SELECT s.class_id, s.threshold, s.point, s.point / 1000 AS confidence, round(CASE WHEN seen > 0 THEN tp / seen ELSE 1 END, 9) AS precision, round(coalesce(tp / truths, 0), 9) AS recall FROM s JOIN n USING (class_id)""")
 def confidence_curves(spark, sf):
-    return detection.curve_at_confidence(*ranked_detections(spark, sf), ["class_id", "threshold"])
+    d = detection.curve_at_confidence(*ranked_detections(spark, sf), ["class_id", "threshold"])
+    return d.select("class_id", "threshold", "point", "confidence", r9("precision").alias("precision"), r9("recall").alias("recall"))
+
+
+CURVES = f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED},
+s AS (SELECT threshold, class_id, confidence, row_number() OVER z AS k, sum(correct::INT) OVER z AS tp FROM a WINDOW z AS (PARTITION BY threshold, class_id ORDER BY confidence DESC, image_id, id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT threshold, class_id, truths, x AS point, x / 999 AS gx FROM t, n, range(0, 1000) y(x)),
+e AS (SELECT d.*, lo.k AS k0, lo.confidence AS c0, lo.tp AS t0, hi.k AS k1, hi.confidence AS c1, hi.tp AS t1 FROM d
+  LEFT JOIN (SELECT threshold, class_id, confidence, max(k) AS k, max(tp) AS tp FROM s GROUP BY ALL) lo ON lo.threshold = d.threshold AND lo.class_id = d.class_id AND lo.confidence = (SELECT min(confidence) FROM s WHERE s.threshold = d.threshold AND s.class_id = d.class_id AND s.confidence >= d.gx)
+  LEFT JOIN s hi ON hi.threshold = d.threshold AND hi.class_id = d.class_id AND hi.k = coalesce(lo.k, 0) + 1)
+SELECT class_id, threshold, point::INT AS point, round(gx, 12) AS confidence,
+  round(CASE WHEN k0 IS NULL THEN 1 WHEN k1 IS NULL THEN t0 / k0 ELSE t0 / k0 + (t1 / k1 - t0 / k0) * (c0 - gx) / (c0 - c1) END, 9) AS precision,
+  round(CASE WHEN k0 IS NULL THEN 0 WHEN k1 IS NULL THEN t0 / truths ELSE t0 / truths + (t1 - t0) / truths * (c0 - gx) / (c0 - c1) END, 9) AS recall FROM e"""
+
+
+@query(CURVES)
+def interpolated_curves(spark, sf):
+    """Precision and recall at 1,000 even confidences, linear between the neighbouring predictions."""
+    d = detection.interpolated_curves(*ranked_detections(spark, sf), ["class_id", "threshold"])
+    return d.select("class_id", "threshold", "point", F.round("confidence", 12).alias("confidence"), r9("precision").alias("precision"), r9("recall").alias("recall"))
+
+
+@query(f"""WITH q AS ({CURVES}), w AS (SELECT unnest([0.05, 0.25, 0.5]::DOUBLE[]) wanted)
+SELECT class_id, threshold, wanted, point, confidence, precision, recall FROM q, w QUALIFY row_number() OVER (PARTITION BY class_id, threshold, wanted ORDER BY abs(point / 999 - wanted), point) = 1""")
+def curve_points(spark, sf):
+    """The grid points nearest to three confidences."""
+    d = detection.nearest_points(detection.interpolated_curves(*ranked_detections(spark, sf), ["class_id", "threshold"]), ["class_id", "threshold"], [0.05, 0.25, 0.5])
+    return d.select("class_id", "threshold", "wanted", "point", F.round("confidence", 12).alias("confidence"), r9("precision").alias("precision"), r9("recall").alias("recall"))
 
 
 # Trajectories.
@@ -417,6 +477,45 @@ def relative_pose_error(spark, sf):
     return d.groupBy("run").agg(F.count("*").alias("pairs"), F.sqrt(F.avg(F.col("translation") ** 2)).alias("rmse_translation"), F.sqrt(F.avg(F.col("rotation") ** 2)).alias("rmse_rotation"))
 
 
+@query(f"""WITH {ALIGNED}, c AS (SELECT a.r, a.t, b.t AS e, abs(b.t - a.t - 1000000000) AS gap FROM al a JOIN al b ON a.r = b.r AND b.t > a.t AND b.t BETWEEN a.t + 950000000 AND a.t + 1050000000)
+SELECT r AS run, t, arg_min(e, (gap, e)) AS end_t FROM c GROUP BY r, t""")
+def motion_pairs(spark, sf):
+    """Each sample with the later one nearest to a second on, within 50 ms."""
+    _, a = aligned(spark, sf)
+    return trajectory.relative_errors(a).select("run", "t", "end_t")
+
+
+@query()
+def trajectory_metrics(spark, sf):
+    """The six named measures of each run, one to a row."""
+    e, a = aligned(spark, sf)
+    a = cut(a)
+    absolute = trajectory.error_summary(trajectory.absolute_errors(a, trajectory.rigid_fit(a)), ["run"])
+    d = trajectory.relative_errors(a)
+    relative = d.groupBy("run").agg(F.sqrt(F.avg(F.col("translation") ** 2)).alias("rmse_translation"), F.sqrt(F.avg(F.col("rotation") ** 2)).alias("rmse_rotation"))
+    return trajectory.metric_rows(trajectory.coverage(e, a), absolute, relative)
+
+
+@query(f"""WITH s AS (SELECT sample_id, run_id, timestamp_ns t, x_m, y_m, z_m, qx * qx + qy * qy + qz * qz + qw * qw AS q, lag(timestamp_ns) OVER w AS before, min(coalesce(frame_id, '')) OVER (PARTITION BY run_id) AS f0, max(coalesce(frame_id, '')) OVER (PARTITION BY run_id) AS f1
+  FROM trajectory_est WINDOW w AS (PARTITION BY run_id ORDER BY timestamp_ns NULLS FIRST, sample_id)),
+c AS (SELECT unnest([CASE WHEN NOT coalesce(t > 0, false) THEN 'stamp' END, CASE WHEN NOT coalesce(isfinite(x_m) AND isfinite(y_m) AND isfinite(z_m), false) THEN 'position' END,
+  CASE WHEN NOT coalesce(isfinite(q) AND q > 1e-24, false) THEN 'quaternion' END, CASE WHEN NOT coalesce(t > before, true) THEN 'increasing' END, CASE WHEN f0 <> f1 THEN 'one_frame' END]) AS code FROM s)
+SELECT code, count(*) AS samples FROM c WHERE code IS NOT NULL GROUP BY code""")
+def trajectory_issues(spark, sf):
+    """Samples that break each rule of a trajectory."""
+    coded = validate.with_codes(table(spark, sf, "trajectory_est"), validate.trajectory_rules(["run_id"]))
+    return coded.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("samples"))
+
+
+@query("""
+WITH e AS (SELECT lower(trim(run_id)) AS r, timestamp_ns t, min(sample_id) id FROM trajectory_gt WHERE run_id IS NOT NULL AND timestamp_ns > 0 GROUP BY ALL)
+SELECT r AS run, t // 100000000 AS tick, arg_min(id, t) AS sample_id FROM e GROUP BY ALL""")
+def trajectory_samples(spark, sf):
+    """Ground truth at a fixed period of 100 ms: the first sample of each, missed periods left out."""
+    g = table(spark, sf, "trajectory_gt").where("run_id is not null and timestamp_ns > 0").groupBy(plain(F.col("run_id")).alias("run"), F.col("timestamp_ns").alias("t")).agg(F.min("sample_id").alias("sample_id"))
+    return fusion_stream.sampled(g, "run", "t", 100_000_000).select("run", F.expr("t div 100000000").alias("tick"), "sample_id")
+
+
 # Graph and splits.
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(split_a)) || ':' || lower(trim(image_a)) a, lower(trim(split_b)) || ':' || lower(trim(image_b)) b FROM leakage_review WHERE human_outcome = 'CONFIRMED_EXACT_CROSS_SPLIT_LEAKAGE'),
@@ -429,21 +528,35 @@ def linked_groups(spark, sf):
     return graph.linked_groups(r.select(name("a"), name("b")), "a", "b")
 
 
-@query("""
-WITH g AS (SELECT record_id, image_relative_path p, nullif(upper(trim(duplicate_group_id)), '') d, nullif(lower(trim(leakage_group_id)), '') l, CASE raw_split WHEN 'test' THEN 0 WHEN 'valid' THEN 1 WHEN 'train' THEN 2 END s FROM gyu_det_v3_baseline_v1),
-k AS (SELECT *, CASE WHEN d IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY d ORDER BY s NULLS LAST, lower(p), p, record_id) END k, CASE WHEN l IS NOT NULL THEN min(s) OVER (PARTITION BY l) END gs FROM g)
-SELECT record_id, CASE WHEN s IS NULL OR k > 1 OR gs <> s THEN 'excluded' ELSE ['test', 'valid', 'train'][s + 1] END AS proposed_split,
-  CASE WHEN s IS NULL THEN 'UNKNOWN_SPLIT' WHEN k > 1 THEN 'DUPLICATE_REDUNDANT' WHEN gs <> s THEN 'LEAKAGE_GROUP_OTHER_SPLIT' END AS reason FROM k""")
+_VERDICT = """CASE WHEN count(c) = 0 THEN 'NO_LABELS' WHEN count(c) = 1 AND count(*) > 1 THEN 'ONLY_ONE_LABELED_COPY' WHEN count(DISTINCT c) = 1 THEN 'IDENTICAL_ANNOTATIONS'
+  WHEN count(DISTINCT list_sort(string_split(replace(trim(c, '[]'), ' ', ''), ','))::VARCHAR) = 1 THEN 'REORDERED_EQUIVALENT_ANNOTATIONS' ELSE 'CONFLICTING_ANNOTATIONS' END"""
+GYU = """g AS (SELECT record_id id, raw_split s, image_relative_path p, coalesce(annotation_count >= 0, false) el, nullif(upper(trim(duplicate_group_id)), '') d, nullif(lower(trim(leakage_group_id)), '') l,
+  CASE WHEN class_ids LIKE '[%' THEN class_ids END c, CASE raw_split WHEN 'test' THEN 0 WHEN 'valid' THEN 1 WHEN 'train' THEN 2 END o FROM gyu_det_v3_baseline_v1)"""
+
+
+@query(f"""
+WITH RECURSIVE {GYU}, v AS (SELECT d, {_VERDICT} AS verdict FROM g WHERE d IS NOT NULL GROUP BY d),
+k AS (SELECT g.*, verdict, row_number() OVER (PARTITION BY g.d, el AND o IS NOT NULL ORDER BY o, lower(p), p, id) k FROM g LEFT JOIN v ON v.d = g.d),
+r AS (SELECT *, CASE WHEN NOT (el AND o IS NOT NULL) THEN NULL WHEN verdict = 'CONFLICTING_ANNOTATIONS' THEN 'ANNOTATION_CONFLICT_HUMAN_REVIEW_REQUIRED' WHEN d IS NOT NULL AND k > 1 THEN 'EQUIVALENT_EXACT_DUPLICATE_REDUNDANT' END AS reason FROM k),
+e AS (SELECT min(id) OVER (PARTITION BY d) a, id b FROM g WHERE d IS NOT NULL UNION SELECT min(id) OVER (PARTITION BY l), id FROM g WHERE l IS NOT NULL),
+u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+w(id, c) AS (SELECT a, a FROM u UNION SELECT u.b, w.c FROM w JOIN u ON u.a = w.id WHERE w.c < u.b),
+m AS (SELECT id, min(c) AS component FROM w GROUP BY id),
+q AS (SELECT r.*, m.component, el AND o IS NOT NULL AND reason IS NULL AS kept FROM r LEFT JOIN m ON m.id = r.id),
+t AS (SELECT *, kept AND component IS NOT NULL AND min(o) FILTER (kept) OVER (PARTITION BY component) <> o AS moved FROM q)
+SELECT id AS record_id, coalesce(component::VARCHAR, '') AS component, kept AND NOT moved AS included, CASE WHEN kept AND NOT moved THEN s END AS proposed_split, CASE WHEN moved THEN 'APPROVED_LEAKAGE_GROUP_OTHER_SPLIT_RETAINED' ELSE reason END AS reason FROM t""")
 def split_proposal(spark, sf):
+    """Copies by duplicate group, links by leakage group; records with a known annotation count are eligible."""
     g = table(spark, sf, "gyu_det_v3_baseline_v1")
-    rows = g.select("record_id", "raw_split", F.concat(F.col("image_relative_path"), F.lit("\x00"), F.lpad(F.col("record_id").cast("string"), 20, "0")).alias("path"), F.nullif(F.upper(F.trim("duplicate_group_id")), F.lit("")).alias("d"), F.nullif(plain(F.col("leakage_group_id")), F.lit("")).alias("l"))
-    return graph.propose_split(rows, "d", "l", F.col("raw_split"), "path").select("record_id", "proposed_split", "reason")
+    named = lambda c, f: F.nullif(f(F.trim(c)), F.lit(""))
+    rows = g.select(F.col("record_id").alias("record"), F.col("raw_split").alias("split"), F.col("image_relative_path").alias("path"), F.coalesce(F.col("annotation_count") >= 0, F.lit(False)).alias("eligible"), named("duplicate_group_id", F.upper).alias("duplicate"), F.when(F.startswith("class_ids", F.lit("[")), F.from_json("class_ids", "array<int>")).alias("ids"))
+    leaks = g.select("record_id", named("leakage_group_id", F.lower).alias("l")).where("l is not null")
+    links = leaks.join(leaks.groupBy("l").agg(F.min("record_id").alias("a")), "l").select("a", F.col("record_id").alias("b"))
+    d = graph.propose_split(rows, links, F.col("ids"))
+    return d.select(F.col("record").alias("record_id"), F.coalesce(F.col("component").cast("string"), F.lit("")).alias("component"), "included", "proposed_split", "reason")
 
 
-@query("""
-WITH m AS (SELECT upper(trim(duplicate_group_id)) g, CASE WHEN class_ids LIKE '[%' THEN class_ids END c FROM gyu_det_v3_baseline_v1 WHERE trim(duplicate_group_id) <> ''),
-x AS (SELECT g, c, list_sort(string_split(replace(trim(c, '[]'), ' ', ''), ','))::VARCHAR s FROM m)
-SELECT g AS group_id, count(*) AS members, CASE WHEN count(c) = 0 THEN 'NO_LABELS' WHEN count(c) < count(*) THEN 'ONLY_ONE' WHEN count(DISTINCT c) = 1 THEN 'IDENTICAL' WHEN count(DISTINCT s) = 1 THEN 'REORDERED' ELSE 'CONFLICTING' END AS verdict FROM x GROUP BY g""")
+@query(f"WITH {GYU} SELECT d AS group_id, count(*) AS members, {_VERDICT} AS verdict FROM g WHERE d IS NOT NULL GROUP BY d")
 def annotation_consistency(spark, sf):
     g = table(spark, sf, "gyu_det_v3_baseline_v1").where("trim(duplicate_group_id) <> ''").select(F.upper(F.trim("duplicate_group_id")).alias("group_id"), F.when(F.startswith("class_ids", F.lit("[")), F.from_json("class_ids", "array<int>")).alias("c"))
     return graph.annotation_consistency(g, "group_id", F.col("c"))
@@ -510,14 +623,35 @@ def fusion_decisions(spark, sf):
     return fusion.fuse(observations(spark, sf))[0].select("seq", "inspection_id", "observation_id", "decision", "defect_id")
 
 
-@query()
+RESULTS = f"({P7_RESULTS_SQL})"
+
+
+@query(f"""WITH r AS (SELECT * FROM {RESULTS}), w AS (SELECT *, time - coalesce(lag(time) OVER (PARTITION BY file_name ORDER BY epoch, line_id), 0) AS pause, max(epoch) OVER (PARTITION BY file_name) AS last FROM r)
+SELECT file_name, count(*) AS epochs, max(map50_95) AS best, arg_max(epoch, (map50_95, -epoch)) AS best_epoch, round(avg(train_box_loss) FILTER (epoch > last - 10), 9) AS late_box_loss, max(pause) AS longest_pause FROM w GROUP BY file_name""")
 def learning_curve(spark, sf):
     """Per run file: epochs, best mAP50-95 and its epoch, mean box loss over the last ten epochs, longest pause between epochs."""
     r = quarantine.load_results(table(spark, sf, "raw_lines"))
     w = Window.partitionBy("file_name")
     lag = F.col("time") - F.coalesce(F.lag("time").over(w.orderBy("epoch", "line_id")), F.lit(0.0))
     rows = r.withColumn("pause", lag).withColumn("last", F.max("epoch").over(w))
-    return rows.groupBy("file_name").agg(F.count("*").alias("epochs"), F.max("map50_95").alias("best"), F.max_by("epoch", F.struct("map50_95", -F.col("epoch"))).alias("best_epoch"), F.avg(F.when(F.col("epoch") > F.col("last") - 10, F.col("train_box_loss"))).alias("late_box_loss"), F.max("pause").alias("longest_pause"))
+    return rows.groupBy("file_name").agg(F.count("*").alias("epochs"), F.max("map50_95").alias("best"), F.max_by("epoch", F.struct("map50_95", -F.col("epoch"))).alias("best_epoch"), r9(F.avg(F.when(F.col("epoch") > F.col("last") - 10, F.col("train_box_loss")))).alias("late_box_loss"), F.max("pause").alias("longest_pause"))
+
+
+#: Ranges of epochs that a curve is averaged over.
+EPOCH_WINDOWS = ((1, 10), (11, 20), (21, 30), (31, 60), (61, 100))
+
+
+@query(f"""WITH r AS (SELECT * FROM {RESULTS}), w AS (SELECT unnest({[a for a, _ in EPOCH_WINDOWS]}) lo, unnest({[b for _, b in EPOCH_WINDOWS]}) hi),
+m AS (SELECT file_name, lo, hi, count(*) n, avg(map50_95) v, avg(val_box_loss) l FROM r, w WHERE epoch BETWEEN lo AND hi GROUP BY ALL)
+SELECT file_name, lo::INT AS first_epoch, hi::INT AS last_epoch, n AS epochs, round(v, 9) AS map50_95, round(l, 9) AS val_box_loss, round(v - lag(v) OVER (PARTITION BY file_name ORDER BY lo), 9) AS gain FROM m""")
+def epoch_windows(spark, sf):
+    """Means over ranges of epochs, and the gain over the range before."""
+    r = quarantine.load_results(table(spark, sf, "raw_lines"))
+    ranges = F.array(*(F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in EPOCH_WINDOWS))
+    met = r.withColumn("w", F.explode(F.filter(ranges, lambda x: F.col("epoch").between(x["lo"], x["hi"])))).groupBy("file_name", F.col("w.lo").alias("first_epoch"), F.col("w.hi").alias("last_epoch"))
+    m = met.agg(F.count("*").alias("epochs"), F.avg("map50_95").alias("v"), F.avg("val_box_loss").alias("l"))
+    gain = F.col("v") - F.lag("v").over(Window.partitionBy("file_name").orderBy("first_epoch"))
+    return m.select("file_name", "first_epoch", "last_epoch", "epochs", r9("v").alias("map50_95"), r9("l").alias("val_box_loss"), r9(gain).alias("gain"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

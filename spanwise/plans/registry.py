@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.plans import core, reference
+from spanwise.plans import audit, core, reference
+
+_MODULES = (reference, audit, core)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**reference.queries(), **core.queries()}
+    return {k: f for m in _MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**reference.oracle_sql(), **core.oracle_sql()}
+    return {k: f for m in _MODULES for k, f in m.oracle_sql().items()}

@@ -89,7 +89,7 @@ def test_average_precision_at_all_ten_thresholds(spark, tmp_path):
 def test_class_scores_count_the_images(spark, tmp_path):
     lines = [(40 * image, n, 1000 * image, 0, 1.0) for image in range(3) for n in (1, 3)] + [(0, 2, 0, 0, 1.0), (120, 2, 0, 0, 1.0)]  # the last image has a region only
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = reference.queries()["class_scores_counted"](spark, str(tmp_path)).collect()
+    got = reference.queries()["class_scores"](spark, str(tmp_path)).collect()
     assert {(r.threshold, r.tp, r.fp, r.fn, r.fp_per_image) for r in got} == {(0.5, 1, 5, 1, 1.25), (0.75, 1, 5, 1, 1.25)}
 
 
