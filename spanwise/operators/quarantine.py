@@ -121,6 +121,12 @@ def load_boxes(lines: DataFrame) -> DataFrame:
     return rows.select("line_id", "file_name", "line_no", *(F.col(f"v.{n}") for n in BOX_COLUMNS))
 
 
+def _offsets(rows: DataFrame) -> DataFrame:
+    """Adds the key of a line's offset: its id (null as -1) and a hash of feed, file and number, nulls told apart."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    return rows.select("*", F.coalesce("line_id", F.lit(-1)).alias("id"), F.xxhash64(part("line_id"), part("feed"), part("file_name"), part("line_no")).alias("offset"))
+
+
 def rejected(lines: DataFrame) -> DataFrame:
     """(line_id, feed, file_name, line_no, line, reason) of records that don't conform.
 
@@ -128,12 +134,12 @@ def rejected(lines: DataFrame) -> DataFrame:
     line's offset is its feed, file, number and id; of lines that share all of
     them, one that conforms stands for all. A null part of an offset equals null.
     """
-    raw = records(lines)
-    offset = ("line_id", "file_name", "line_no")
-    loaded = load_results(lines).select(F.lit("results").alias("feed"), *offset).unionByName(load_boxes(lines).select(F.lit("boxes").alias("feed"), *offset))
-    l = loaded.select(F.col("line_id").alias("id"), F.col("feed").alias("fe"), F.col("file_name").alias("fi"), F.col("line_no").alias("no"))
-    same = (F.col("line_id") == F.col("id")) & (F.col("feed") == F.col("fe")) & F.col("file_name").eqNullSafe(F.col("fi")) & F.col("line_no").eqNullSafe(F.col("no"))
-    rest = raw.join(l, same, "left_anti")
+    raw = _offsets(records(lines))
+    loaded = None
+    for feed in ("results", "boxes"):
+        good = _parsed(raw, feed).where(_valid(feed)).select("id", "offset")
+        loaded = good if loaded is None else loaded.unionByName(good)
+    rest = raw.join(loaded, ["id", "offset"], "left_anti")
     reason = F.when(~F.col("ok_quotes"), "broken_quoting").when(~F.col("ok_count"), "column_count").otherwise("invalid_value")
     keep = ("line_id", "feed", "file_name", "line_no", "line")
     return _parsed(rest, "results").select(*keep, reason.alias("reason")).unionByName(_parsed(rest, "boxes").select(*keep, reason.alias("reason")))
