@@ -20,7 +20,7 @@ from spanwise.operators.skew import hot_keys, lookup
 from spanwise.session import cut, release
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200, hot_rows: int = 100_000) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200, hot_rows: int = 1_000_000) -> DataFrame:
     """(id, group_id): every id that an edge links to another, with the smallest id of its component.
 
     Null ends and edges from an id to itself link nothing; repeated and reversed
