@@ -63,6 +63,16 @@ class Defect:
         self.first = o["ts"] if self.first is None else min(self.first, o["ts"])
         self.last = o["ts"] if self.last is None else max(self.last, o["ts"])
 
+    def body(self) -> dict:
+        """What to_json keeps of it."""
+        return {"n": self.n, "parts": self.parts, "tracks": self.tracks, "first": pd.Timestamp(self.first).isoformat(), "last": pd.Timestamp(self.last).isoformat()}
+
+    @classmethod
+    def of(cls, defect_id: str, body: dict) -> Defect:
+        if set(body) != {"n", "parts", "tracks", "first", "last"}:
+            raise ValueError(f"inconsistent defect {defect_id}")
+        return cls(defect_id, body["n"], body["parts"], body["tracks"], pd.Timestamp(body["first"]), pd.Timestamp(body["last"]))
+
     def track(self) -> str | None:
         """The most frequent track, ties to the smaller name."""
         return min(self.tracks, key=lambda t: (-self.tracks[t], t)) if self.tracks else None
@@ -103,7 +113,7 @@ class State:
                 self.cells.setdefault(self._cell(d.centre, radius), set()).add(d.defect_id)
         x, y, z = self._cell(at, radius)
         around = ((x + i, y + j, z + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))
-        return [self.defects[k] for c in around for k in self.cells.get(c, ())]
+        return [self.defects.get(k) for c in around for k in self.cells.get(c, ())]
 
     def ingest(self, o: dict, radius: float) -> tuple[str, str]:
         """(decision, defect_id): REPLAY of a known observation, ASSOCIATED with a defect within radius, or CREATED. One state has one radius."""
@@ -122,19 +132,17 @@ class State:
             decision, defect = "ASSOCIATED", best[1]
         else:
             decision, defect = "CREATED", Defect(self.naming.of(o["inspection_id"], o["observation_id"]))
-            self.defects[defect.defect_id] = defect
         if defect.centre is not None:
             self.cells[self._cell(defect.centre, radius)].discard(defect.defect_id)
         defect.add(o)
+        self.defects[defect.defect_id] = defect
         self.cells.setdefault(self._cell(defect.centre, radius), set()).add(defect.defect_id)
         self.seen[o["observation_id"]] = (o["fingerprint"], defect.defect_id)
         return decision, defect.defect_id
 
-
     def to_json(self) -> str:
         """Canonical text of the state: sorted keys, stamps in ISO form, exact partial sums."""
-        defects = {k: {"n": d.n, "parts": d.parts, "tracks": d.tracks, "first": pd.Timestamp(d.first).isoformat(), "last": pd.Timestamp(d.last).isoformat()} for k, d in self.defects.items()}
-        return json.dumps({"defects": defects, "seen": self.seen}, sort_keys=True, separators=(",", ":"), allow_nan=False)
+        return json.dumps({"defects": {k: d.body() for k, d in self.defects.items()}, "seen": self.seen}, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
     @classmethod
     def from_json(cls, text: str) -> State:
@@ -144,9 +152,9 @@ class State:
             raise ValueError("unknown or missing keys")
         state = cls(seen={k: (f, d) for k, (f, d) in raw["seen"].items()})
         for k, d in raw["defects"].items():
-            if set(d) != {"n", "parts", "tracks", "first", "last"} or d["n"] != sum(own == k for _, own in state.seen.values()):
+            state.defects[k] = Defect.of(k, d)
+            if d["n"] != sum(own == k for _, own in state.seen.values()):
                 raise ValueError(f"inconsistent defect {k}")
-            state.defects[k] = Defect(k, d["n"], d["parts"], d["tracks"], pd.Timestamp(d["first"]), pd.Timestamp(d["last"]))
         if any(own not in state.defects for _, own in state.seen.values()):
             raise ValueError("observations of unknown defects")
         return state

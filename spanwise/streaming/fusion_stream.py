@@ -8,32 +8,90 @@ from collections import OrderedDict
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from spanwise.operators.fusion import COLUMNS, State, fingerprint, rows_of
+from spanwise.operators.fusion import COLUMNS, Defect, Naming, State, fingerprint, rows_of
 
 _OUT = "seq long, inspection_id long, class_id int, observation_id string, decision string, defect_id string"
 
 
-def fuse_stream(observations: DataFrame, radius: float = 0.25) -> DataFrame:
-    """Decisions on a stream of observations, in order of arrival and of `seq` within a batch.
+class _Backed(dict):
+    """A dictionary over a map state: values are read when asked for, changed ones are written by `flush`."""
 
-    State lives by inspection and class and survives restarts through the
-    query's checkpoint. Nothing is late: stamps only move first and last seen.
-    Equal replays are told REPLAY; others fail the query.
-    """
+    def __init__(self, state, load, dump) -> None:
+        super().__init__()
+        self.state, self.load, self.dump, self.changed, self.asked = state, load, dump, set(), set()
 
-    def step(key, batches, state):
-        held = State.from_json(state.get[0]) if state.exists else State()
-        out = []
-        pdf = pd.concat(list(batches))
-        for o in rows_of(pdf):
-            decision, defect = held.ingest(o, radius)
+    def _fetch(self, key) -> None:
+        if key not in self.asked:
+            self.asked.add(key)
+            if self.state.containsKey((self._name(key),)):
+                super().__setitem__(key, self.load(self.state.getValue((self._name(key),))[0], key))
+
+    @staticmethod
+    def _name(key) -> str:
+        return key if isinstance(key, str) else ",".join(map(str, key))
+
+    def get(self, key, default=None):
+        self._fetch(key)
+        return super().get(key, default)
+
+    def __getitem__(self, key):
+        self._fetch(key)
+        self.changed.add(key)
+        return super().__getitem__(key)
+
+    def __setitem__(self, key, value) -> None:
+        self.asked.add(key)
+        self.changed.add(key)
+        super().__setitem__(key, value)
+
+    def setdefault(self, key, default=None):
+        if self.get(key) is None:
+            self[key] = default
+        self.changed.add(key)
+        return super().__getitem__(key)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            self.state.updateValue((self._name(key),), (self.dump(super(_Backed, self).__getitem__(key)),))
+
+
+class Fusion(StatefulProcessor):
+    """The batch fold's step over state that stays in the store: observations, defects and grid cells are looked up one by one, never all at once."""
+
+    def __init__(self, radius: float, naming: Naming) -> None:
+        self.radius, self.naming = radius, naming
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen, self.defects, self.cells = (handle.getMapState(n, "name string", "body string") for n in ("seen", "defects", "cells"))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        seen = _Backed(self.seen, lambda text, _: tuple(json.loads(text)), json.dumps)
+        defects = _Backed(self.defects, lambda text, k: Defect.of(k, json.loads(text)), lambda d: json.dumps(d.body(), allow_nan=False))
+        cells = _Backed(self.cells, lambda text, _: set(json.loads(text)), lambda c: json.dumps(sorted(c)))
+        held, out = State(defects, seen, self.naming, cells), []
+        for o in rows_of(pd.concat(list(rows))):
+            decision, defect = held.ingest(o, self.radius)
             out.append((o["seq"], o["inspection_id"], o["class_id"], o["observation_id"], decision, defect))
-        state.update((held.to_json(),))
+        for part in (seen, defects, cells):
+            part.flush()
         yield pd.DataFrame(out, columns=["seq", "inspection_id", "class_id", "observation_id", "decision", "defect_id"])
 
+    def close(self) -> None:
+        pass
+
+
+def fuse_stream(observations: DataFrame, radius: float = 0.25, naming: Naming = Naming()) -> DataFrame:
+    """Decisions on a stream of observations, in order of arrival and of `seq` within a batch.
+
+    State lives by inspection and class in map states and survives restarts through the
+    query's checkpoint; a batch reads and writes what its observations touch. It
+    needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    Nothing is late: stamps only move first and last seen. Equal replays are told REPLAY; others fail the query.
+    """
     keyed = observations.select(*COLUMNS).withColumn("fingerprint", fingerprint())
-    return keyed.groupBy("inspection_id", "class_id").applyInPandasWithState(step, _OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("inspection_id", "class_id").transformWithStateInPandas(Fusion(radius, naming), _OUT, "append", "None")
 
 
 def synchronise(requests: DataFrame, depth: DataFrame, info: DataFrame, key: str = "stamp", time: str = "ts", bound_seconds: int = 5) -> DataFrame:
