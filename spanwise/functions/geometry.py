@@ -32,17 +32,19 @@ def unit(q: Vector) -> Vector:
     return [F.try_divide(x, n) for x in q]
 
 
-def slerp(a: Vector, b: Vector, t: Column) -> Vector:
-    """Shortest-path spherical interpolation of unit quaternions; nearly parallel ones (over 0.9995) linearly, normalised."""
+def slerp_weights(a: Vector, b: Vector, t: Column) -> Vector:
+    """What a and b weigh in the shortest-path interpolation of unit quaternions, before it is normalised; nearly parallel ones (over 0.9995) weigh linearly."""
     d = dot(a, b)
-    b = [F.when(d < 0, -x).otherwise(x) for x in b]
-    c = F.least(F.abs(d), F.lit(1.0))
+    sign, c = F.when(d < 0, -1.0).otherwise(1.0), F.least(F.abs(d), F.lit(1.0))
     angle = F.acos(c)
-    s = F.sin(angle)
-    wa, wb = F.try_divide(F.sin((1 - t) * angle), s), F.try_divide(F.sin(t * angle), s)
-    straight = unit(lerp(a, b, t))
-    curved = unit([wa * x + wb * y for x, y in zip(a, b)])
-    return [F.when(c > 0.9995, x).otherwise(y) for x, y in zip(straight, curved)]
+    near = c > 0.9995
+    return [F.when(near, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * angle), F.sin(angle))), sign * F.when(near, t).otherwise(F.try_divide(F.sin(t * angle), F.sin(angle)))]
+
+
+def slerp(a: Vector, b: Vector, t: Column) -> Vector:
+    """Shortest-path spherical interpolation of unit quaternions; see slerp_weights."""
+    wa, wb = slerp_weights(a, b, t)
+    return unit([wa * x + wb * y for x, y in zip(a, b)])
 
 
 def conjugate(q: Vector) -> Vector:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed value: the URL namespace of version-5 UUIDs.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -221,3 +221,8 @@ def magnitude_bucket(value: Column, per_factor: int = 4_096) -> Column:
     big = F.lit(2 * top).cast("bigint")
     out = F.when(F.isnan(value), big + 1).when(value == float("inf"), big).when(value == float("-inf"), -big)
     return out.when(value > 0, size(value)).when(value < 0, -size(-value)).when(value == 0, F.lit(0).cast("bigint"))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once: explode(array(x)) keeps the optimizer from copying x into every place that uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanwise.functions.scalars import back_project, finite, or_nan
+from spanwise.functions.scalars import back_project, finite, once, or_nan
 
 FRAME = "camera_optical_frame"
 
@@ -19,7 +19,6 @@ STATUSES = (
     "SUCCESS", "NO_VALID_DEPTH", "INSUFFICIENT_DEPTH", "INVALID_CAMERA_MODEL", "OUT_OF_BOUNDS",
     "TIMESTAMP_MISMATCH", "FRAME_MISMATCH", "INVALID_DEPTH_IMAGE", "INVALID_REQUEST", "NUMERICAL_ERROR",
 )
-CODE = {name: i for i, name in enumerate(STATUSES)}
 
 
 def decode_depth(data: Column, width: Column, height: Column, step: Column, big_endian: Column, encoding: Column) -> Column:
@@ -37,22 +36,26 @@ def decode_depth(data: Column, width: Column, height: Column, step: Column, big_
     return decode(data, width, height, step, big_endian, encoding)
 
 
-def region_depth(depth: Column, width: Column, box: list[Column], fraction: float = 0.5) -> tuple[Column, Column]:
-    """(median, valid share) of the positive finite depths in the middle of a region.
+def region_depth(df: DataFrame, depth: str, width: str, box: list[Column], fraction: float = 0.5) -> DataFrame:
+    """Adds __median and __share: the median and the valid share of the positive finite depths in the middle of a region.
 
-    depth: row-major; box: left, top, right, bottom, half open, inside the image.
+    depth: row-major; box: left, top, right, bottom, half open, inside the image, or null.
     The middle takes `fraction` of each side, rounded up; ties of centring favour top and left. The median is null without a valid depth.
     """
     left, top, right, bottom = box
     w, h = F.ceil((right - left) * fraction).cast("int"), F.ceil((bottom - top) * fraction).cast("int")
-    x0 = left + F.floor((right - left - w) / 2).cast("int")
-    y0 = top + F.floor((bottom - top - h) / 2).cast("int")
-    rows = F.transform(F.sequence(y0, y0 + h - 1), lambda y: F.slice(depth, y * width + x0 + 1, w))
-    valid = F.array_sort(F.transform(F.filter(F.flatten(rows), lambda z: finite(z) & (z > 0)), lambda z: z.cast("double")))
-    n = F.size(valid)
-    high = F.try_element_at(valid, (F.floor(n / 2) + 1).cast("int"))
-    low = F.try_element_at(valid, F.floor(n / 2).cast("int"))
-    return F.when(n % 2 == 1, high).when(n > 0, low + (high - low) / 2), n / (w * h)
+    df = once(df, "__size", F.struct(left.alias("left"), top.alias("top"), (right - left).alias("across"), (bottom - top).alias("down"), w.alias("w"), h.alias("h")))
+    c = lambda n: F.col(f"__size.{n}")
+    x0 = c("left") + F.floor((c("across") - c("w")) / 2).cast("int")
+    y0 = c("top") + F.floor((c("down") - c("h")) / 2).cast("int")
+    rows = F.transform(F.sequence(y0, y0 + c("h") - 1), lambda y: F.slice(depth, y * F.col(width).cast("int") + x0 + 1, c("w")))
+    df = once(df, "__valid", F.array_sort(F.filter(F.flatten(rows), lambda z: finite(z) & (z > 0))))
+    n = F.size("__valid")
+    at = lambda i: F.try_element_at("__valid", i.cast("int")).cast("double")
+    high, low = at(F.floor(n / 2) + 1), at(F.floor(n / 2))
+    median = F.when(n % 2 == 1, high).when(n > 0, low + (high - low) / 2)
+    out = once(df, "__depth", F.struct(median.alias("median"), (n / (c("w") * c("h"))).alias("share")))
+    return out.select("*", F.col("__depth.median").alias("__median"), F.col("__depth.share").alias("__share")).drop("__size", "__valid", "__depth")
 
 
 def camera_ok() -> Column:
@@ -81,9 +84,8 @@ def project(requests: DataFrame, fraction: float = 0.5, least_valid: float = 0.5
     decoded = sure((c("width") > 0) & (c("height") > 0) & (F.size("depth") == c("width") * c("height")))
     usable = region & ordered & inside & decoded
     box = [F.when(usable, c(n).cast("int")) for n in ("left", "top", "right", "bottom")]
-    median, share = region_depth(c("depth"), c("width").cast("int"), box, fraction)
     at = F.get("depth", F.when(decoded & pixel_in, (c("v") * c("width") + c("u")).cast("int"))).cast("double")
-    rows = requests.withColumn("__m", median).withColumn("__s", share).withColumn("__p", at)
+    rows = once(region_depth(requests, "depth", "width", box, fraction), "__p", at)
     pixel_ok = sure(finite(c("__p")) & (c("__p") > 0))
     k = lambda i: F.get("k", F.lit(i))
     name = (
@@ -93,18 +95,21 @@ def project(requests: DataFrame, fraction: float = 0.5, least_valid: float = 0.5
         .when(~sure(c("mode").isin(0, 1)), "INVALID_REQUEST")
         .when(~region & ~pixel_in, "OUT_OF_BOUNDS").when(~region & ~pixel_ok, "NO_VALID_DEPTH")
         .when(region & ~ordered, "INVALID_REQUEST").when(region & ~inside, "OUT_OF_BOUNDS")
-        .when(region & c("__m").isNull(), "NO_VALID_DEPTH").when(region & (c("__s") < least_valid), "INSUFFICIENT_DEPTH")
+        .when(region & c("__median").isNull(), "NO_VALID_DEPTH").when(region & (c("__share") < least_valid), "INSUFFICIENT_DEPTH")
     )
-    z = F.when(region, c("__m")).otherwise(c("__p"))
+    rows = once(rows, "__name", F.coalesce(name, F.lit("SUCCESS")))
+    z = F.when(region, c("__median")).otherwise(c("__p"))
     u = F.when(region, (c("left") + c("right") - 1) / 2).otherwise(c("u").cast("double"))
     v = F.when(region, (c("top") + c("bottom") - 1) / 2).otherwise(c("v").cast("double"))
     place = back_project(u, v, z, k(0), k(4), k(2), k(5))
-    sound = sure(finite(place[0]) & finite(place[1]))
-    rows = rows.withColumn("status_name", F.coalesce(name, F.when(sound, "SUCCESS").otherwise("NUMERICAL_ERROR")))
-    codes = F.create_map(*(F.lit(x) for pair in CODE.items() for x in pair))
-    rows = rows.withColumn("status", F.element_at(codes, c("status_name")))
-    cells = [or_nan(c("status"), p).alias(n) for n, p in zip(("x", "y", "z", "sample_u", "sample_v"), (*place, u, v))]
-    return rows.select("*", *cells).drop("__m", "__s", "__p")
+    good = c("__name") == "SUCCESS"
+    rows = once(rows, "__at", F.when(good, F.struct(*(p.alias(n) for n, p in zip(("x", "y", "z", "u", "v"), (*place, u, v))))))
+    sound = sure(finite(c("__at.x")) & finite(c("__at.y")))
+    rows = rows.withColumn("status_name", F.when(good & ~sound, "NUMERICAL_ERROR").otherwise(c("__name")))
+    status = F.array_position(F.array(*map(F.lit, STATUSES)), c("status_name")) - 1
+    rows = rows.withColumn("status", status.cast("int"))
+    cells = [or_nan(c("status"), c(f"__at.{n}")).alias(to) for n, to in zip(("x", "y", "z", "u", "v"), ("x", "y", "z", "sample_u", "sample_v"))]
+    return rows.select("*", *cells).drop("__median", "__share", "__p", "__name", "__at")
 
 
 def detection_requests(detections: DataFrame) -> DataFrame:

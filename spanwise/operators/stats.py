@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanwise.functions import scalars as X
 from spanwise.functions.scalars import magnitude_bucket
-from spanwise.session import cut
 
 SUMMARY = ("count", "mean", "min", "p01", "p05", "p25", "median", "p75", "p95", "p99", "max")
 
@@ -42,25 +41,43 @@ def class_distribution(boxes: DataFrame, split: str = "split", cls: str = "class
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], per_factor: int = 4_096) -> DataFrame:
-    """keys and a column for each point: linear percentiles, exact, with no group sorted in one task.
+    """keys, count, mean, rms, min, max and a column for each point: linear percentiles, exact, with no group sorted in one task.
 
     Equal values are counted first; their buckets (see magnitude_bucket) are
     counted and added up, which tells the bucket that holds each wanted rank; only those
-    buckets are looked into. Keys and values are not null; no rows give no row.
+    buckets are looked into. Keys are not null; null values are left out, and a
+    group of nulls only has count 0 and nulls; no rows give no row.
     """
-    counts = df.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")).withColumn("bucket", magnitude_bucket(F.col("v"), per_factor))
-    counts = cut(counts)
-    buckets = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("c"))
-    total = F.sum("c").over(Window.partitionBy(*keys))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(h).alias("high"), (F.ceil if h else F.floor)((F.col("n") - 1) * p).cast("bigint").alias("rank"), ((F.col("n") - 1) * p).alias("place")) for n, p in points.items() for h in (False, True)))
-    held = buckets.withColumn("n", total).withColumn("before", before).select(*keys, "bucket", "before", F.explode(F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c")))).alias("r")).select(*keys, "bucket", "before", "r.*")
-    own = counts.join(held.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
-    upto = F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    found = held.join(own.withColumn("upto", upto), [*keys, "bucket"]).where("before + upto > rank and before + upto - c <= rank")
-    ends = found.groupBy(*keys, "name").agg(F.max(F.when(~F.col("high"), F.col("v"))).alias("low"), F.max(F.when(F.col("high"), F.col("v"))).alias("top"), F.first("place").alias("place"))
-    ends = ends.withColumn("q", F.when(F.col("low") == F.col("top"), F.col("low")).otherwise(F.col("low") + (F.col("top") - F.col("low")) * (F.col("place") - F.floor("place"))))
-    return ends.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in points))
+    v = F.col(value).cast("double")
+    # This shuffle is read twice, by the sums of buckets and by the look into some of them.
+    counts = df.groupBy(*keys, v.alias("__v")).agg(F.count("*").alias("__c")).withColumn("__bucket", magnitude_bucket(F.col("__v"), per_factor))
+    some = F.col("__v").isNotNull()
+    part = counts.groupBy(*keys, "__bucket").agg(F.sum(F.when(some, F.col("__c")).otherwise(0)).alias("__c"), F.sum(F.col("__v") * F.col("__c")).alias("__s"), F.sum(F.col("__v") * F.col("__v") * F.col("__c")).alias("__ss"), F.min("__v").alias("__low"), F.max("__v").alias("__top"))
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first())
+    n = F.sum("__c").over(whole)
+    ranked = part.select(
+        *keys, "__bucket", "__c", n.alias("count"), F.try_divide(F.sum("__s").over(whole), n).alias("mean"), F.sqrt(F.try_divide(F.sum("__ss").over(whole), n)).alias("rms"),
+        F.min("__low").over(whole).alias("min"), F.max("__top").over(whole).alias("max"), F.coalesce(F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.row_number().over(order).alias("__k"),
+    )
+    place = lambda p: F.greatest(F.col("count") - 1, F.lit(0)) * p
+    # Places of the wanted ranks: twice for each point, the last where no value is.
+    ends = [F.struct(F.lit(i).alias("i"), F.lit(h).alias("high"), (F.ceil if h else F.floor)(place(p)).cast("bigint").alias("rank")) for i, p in enumerate(points.values()) for h in (False, True)]
+    here = F.filter(F.array(*ends), lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__before") + F.col("__c")))
+    # The first bucket of a group goes on in any case, with what describes the group.
+    held = ranked.withColumn("__ends", here).where((F.size("__ends") > 0) | (F.col("__k") == 1))
+    inside = counts.where(some).select(*keys, "__bucket", F.struct(F.col("__v").alias("v"), F.col("__c").alias("vc")).alias("__x"))
+    upto = F.sum("__x.vc").over(Window.partitionBy(*keys, "__bucket").orderBy("__x.v").rowsBetween(Window.unboundedPreceding, 0))
+    met = held.join(inside, [*keys, "__bucket"], "left").withColumn("__upto", F.col("__before") + upto)
+    found = F.filter("__ends", lambda r: (r["rank"] < F.col("__upto")) & (r["rank"] >= F.col("__upto") - F.col("__x.vc")))
+    one = met.select(*keys, "count", "mean", "rms", "min", "max", F.explode_outer(F.transform(found, lambda r: F.struct(r["i"].alias("i"), r["high"].alias("high"), F.col("__x.v").alias("v")))).alias("__e"))
+    pick = lambda i, h: F.max(F.when((F.col("__e.i") == i) & (F.col("__e.high") == h), F.col("__e.v")))
+    out = one.groupBy(*keys, "count", "mean", "rms", "min", "max").agg(*(pick(i, h).alias(f"__{'h' if h else 'l'}{i}") for i in range(len(points)) for h in (False, True)))
+
+    def between(i: int, p: float) -> Column:
+        low, high = F.col(f"__l{i}"), F.col(f"__h{i}")
+        return F.when(low == high, low).otherwise(low + (high - low) * (place(p) - F.floor(place(p))))
+
+    return out.select(*keys, "count", "mean", "rms", "min", "max", *(between(i, p).alias(name) for i, (name, p) in enumerate(points.items())))
 
 
 def eleven_numbers(df: DataFrame, groupings: list[list[str]], metrics: list[str]) -> DataFrame:
@@ -76,9 +93,7 @@ def eleven_numbers(df: DataFrame, groupings: list[list[str]], metrics: list[str]
     cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
     keys = ["grain", *names, "metric"]
     long = df.select(F.explode(grains).alias("g"), cells.alias("m")).select("g.*", F.explode("m").alias("m")).select("grain", *names, "m.*")
-    base = long.groupBy(*keys).agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    points = exact_quantiles(long.where("value is not null"), keys, "value", {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
-    out = base.join(points, keys, "left")
+    out = exact_quantiles(long, keys, "value", {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
     shown = [F.when(~F.col(c).isin("\x00", "\x01"), F.col(c)).alias(c) for c in names]
     return out.select("grain", *shown, "metric", "count", "mean", "min", "max", "p01", "p05", "p25", "median", "p75", "p95", "p99")
 
@@ -92,7 +107,7 @@ def split_comparison(images: DataFrame, boxes: DataFrame, classes: list[int]) ->
     per = images.select("split", "image").distinct().join(own, ["split", "image"], "left").fillna(0, ["n", "kinds"])
     base = per.groupBy("split").agg(F.count("*").alias("images"), F.sum("n").alias("annotations"), F.avg("n").alias("mean_annotations"), (100 * F.avg((F.col("kinds") > 1).cast("int"))).alias("multi_class_percent"))
     shares = boxes.groupBy("split").agg(*((100.0 * F.count_if(F.col("class_id") == c) / F.count("*")).alias(f"class_{c}_percent") for c in classes))
-    area = exact_quantiles(boxes.where("split is not null and area is not null"), ["split"], "area", {"median_area": 0.5})
+    area = exact_quantiles(boxes.where("split is not null"), ["split"], "area", {"median_area": 0.5}).select("split", "median_area")
     return base.join(shares, "split", "left").join(area, "split", "left").fillna(0.0, [f"class_{c}_percent" for c in classes])
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanwise.functions import geometry as G
-from spanwise.functions.scalars import finite
+from spanwise.functions.scalars import finite, once
 from spanwise.functions.text import plain
 from spanwise.operators.stats import exact_quantiles
 from spanwise.operators.validate import require_empty
@@ -53,12 +53,14 @@ def associate(estimates: DataFrame, truth: DataFrame, max_span: int = 50_000_000
     exact = F.col("prev.t") == F.col("t")
     span = F.col("next.t") - F.col("prev.t")
     met = met.where(exact | (span <= max_span))
-    part = F.when(exact, F.lit(0.0)).otherwise((F.col("t") - F.col("prev.t")) / span)
+    met = met.withColumn("part", F.when(exact, F.lit(0.0)).otherwise((F.col("t") - F.col("prev.t")) / span))
     a, b = ([F.col(f"{s}.{c}") for c in XYZ] for s in ("prev", "next"))
     qa, qb = ([F.col(f"{s}.{c}") for c in QUAT] for s in ("prev", "next"))
+    met = once(met, "w", F.struct(*(w.alias(n) for n, w in zip("ab", G.slerp_weights(qa, qb, F.col("part"))))))
+    mixed = [F.col("w.a") * x + F.col("w.b") * y for x, y in zip(qa, qb)]
     pos = [F.when(exact, x).otherwise(y).alias(f"gt_{c}") for x, y, c in zip(a, G.lerp(a, b, F.col("part")), XYZ)]
-    rot = [F.when(exact, x).otherwise(y).alias(f"gt_{c}") for x, y, c in zip(qa, G.slerp(qa, qb, F.col("part")), QUAT)]
-    return met.withColumn("part", part).select("run", "t", "sample_id", *(F.col(f"v.{c}").alias(c) for c in XYZ + QUAT), *pos, *rot, exact.alias("exact"))
+    rot = [F.when(exact, x).otherwise(y).alias(f"gt_{c}") for x, y, c in zip(qa, G.unit(mixed), QUAT)]
+    return met.select("run", "t", "sample_id", *(F.col(f"v.{c}").alias(c) for c in XYZ + QUAT), *pos, *rot, exact.alias("exact"))
 
 
 def coverage(estimates: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -107,10 +109,8 @@ def absolute_errors(aligned: DataFrame, fits: DataFrame) -> DataFrame:
 
 def error_summary(errors: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
     """count, mean, median, rmse and linear 95th percentile; nulls for no errors. Keys are not null."""
-    e = F.col(error)
-    base = errors.groupBy(*keys).agg(F.count(e).alias("count"), F.avg(e).alias("mean"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    points = exact_quantiles(errors.where(e.isNotNull()), keys, error, {"median": 0.5, "p95": 0.95})
-    return base.join(points, keys, "left").select(*keys, "count", "mean", "median", "rmse", "p95")
+    points = exact_quantiles(errors, keys, error, {"median": 0.5, "p95": 0.95})
+    return points.select(*keys, "count", "mean", "median", F.col("rms").alias("rmse"), "p95")
 
 
 def relative_errors(aligned: DataFrame, delta: int = 1_000_000_000, tolerance: int = 50_000_000) -> DataFrame:

@@ -466,7 +466,7 @@ def trajectory_window(spark, sf):
 @query()
 def absolute_trajectory_error(spark, sf):
     """Per run, after the rigid fit."""
-    _, a = aligned(spark, sf)
+    a = cut(aligned(spark, sf)[1].select("run", "t", "sample_id", *trajectory.XYZ, *(f"gt_{c}" for c in trajectory.XYZ)))
     return trajectory.error_summary(trajectory.absolute_errors(a, trajectory.rigid_fit(a)), ["run"])
 
 
