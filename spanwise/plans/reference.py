@@ -377,20 +377,38 @@ def stratified_recall(spark, sf):
     return d.select("class_id", "size", "instances", "tp", "fn", *(r9(c).alias(c) for c in ("recall", "fn_rate")), "tp_at_floor", r9("share_of_all_fn").alias("share_of_all_fn"))
 
 
-@query()
+# One-to-one matches across classes: pairs by falling overlap, then region, then prediction; each is taken if both its ends are free.
+_ANY = DETECTIONS.replace("FROM p JOIN r USING (image_id, class_id))", "FROM p JOIN r USING (image_id))")
+_FREE = "NOT list_contains(w.ps, x.pid) AND NOT list_contains(w.rs, x.rid)"
+CONFUSION = f"""{_ANY},
+x AS (SELECT image_id, pid, rid, row_number() OVER (PARTITION BY image_id ORDER BY iou DESC, rid, pid) k FROM u WHERE iou >= 0.5),
+w(image_id, k, ps, rs) AS (
+  SELECT image_id, k, [pid], [rid] FROM x WHERE k = 1
+  UNION ALL
+  SELECT x.image_id, x.k, CASE WHEN {_FREE} THEN list_append(w.ps, x.pid) ELSE w.ps END, CASE WHEN {_FREE} THEN list_append(w.rs, x.rid) ELSE w.rs END FROM w JOIN x ON x.image_id = w.image_id AND x.k = w.k + 1),
+f AS (SELECT unnest(ps) pid, unnest(rs) rid FROM (SELECT * FROM w QUALIFY k = max(k) OVER (PARTITION BY image_id))),
+q AS (SELECT p.class_id::VARCHAR AS predicted, f.rid FROM p LEFT JOIN f ON f.pid = p.id),
+cm AS (SELECT coalesce(r.class_id::VARCHAR, 'background') AS truth, coalesce(q.predicted, 'background') AS predicted, count(*) AS n FROM q FULL JOIN r ON r.id = q.rid GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {CONFUSION} SELECT truth, predicted, n FROM cm")
 def confusion_matrix(spark, sf):
     return detection.confusion(*detections(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CONFUSION}, c AS (SELECT truth AS class_name FROM cm UNION SELECT predicted FROM cm),
+s AS (SELECT class_name, coalesce(sum(n) FILTER (truth = class_name), 0)::BIGINT AS truths, coalesce(sum(n) FILTER (truth = class_name AND predicted = class_name), 0)::BIGINT AS correct, coalesce(sum(n) FILTER (truth = class_name AND predicted = 'background'), 0)::BIGINT AS missed,
+  coalesce(sum(n) FILTER (truth = class_name AND predicted NOT IN (class_name, 'background')), 0)::BIGINT AS confused, coalesce(sum(n) FILTER (predicted = class_name AND truth = 'background'), 0)::BIGINT AS false_alarms FROM c, cm WHERE class_name <> 'background' GROUP BY class_name)
+SELECT *, round(missed / truths, 9) AS missed_share FROM s""")
 def confusion_summary(spark, sf):
     """Per class: truths, those found, missed and confused, false alarms."""
-    return detection.confusion_summary(detection.confusion(*detections(spark, sf)))
+    return detection.confusion_summary(detection.confusion(*detections(spark, sf))).withColumn("missed_share", r9("missed_share"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CONFUSION}, s AS (SELECT truth, sum(n) t FROM cm GROUP BY truth)
+SELECT truth, predicted, n, round(n / t, 9) AS share FROM cm JOIN s USING (truth) WHERE truth <> predicted AND truth <> 'background' AND predicted <> 'background' ORDER BY n DESC, truth, predicted LIMIT 10""")
 def top_confusions(spark, sf):
-    return detection.top_confusions(detection.confusion(*detections(spark, sf)))
+    return detection.top_confusions(detection.confusion(*detections(spark, sf))).withColumn("share", r9("share"))
 
 
 @query(f"""WITH RECURSIVE {DETECTIONS}, {MATCHES}, {RANKED},
@@ -470,11 +488,40 @@ def absolute_trajectory_error(spark, sf):
     return trajectory.error_summary(trajectory.absolute_errors(a, trajectory.rigid_fit(a)), ["run"])
 
 
-@query()
+def _times(a: list[str], b: list[str]) -> list[str]:
+    """The product of two quaternions (x, y, z, w) as SQL."""
+    (ax, ay, az, aw), (bx, by, bz, bw) = a, b
+    return [f"({aw} * {bx} + {ax} * {bw} + {ay} * {bz} - {az} * {by})", f"({aw} * {by} - {ax} * {bz} + {ay} * {bw} + {az} * {bx})", f"({aw} * {bz} + {ax} * {by} - {ay} * {bx} + {az} * {bw})", f"({aw} * {bw} - {ax} * {bx} - {ay} * {by} - {az} * {bz})"]
+
+
+def _back(q: list[str]) -> list[str]:
+    return [f"(-{c})" for c in q[:3]] + [q[3]]
+
+
+_FULL = ALIGNED.replace("z := z_m)", "z := z_m, qx := qx / sqrt(qx * qx + qy * qy + qz * qz + qw * qw), qy := qy / sqrt(qx * qx + qy * qy + qz * qz + qw * qw), qz := qz / sqrt(qx * qx + qy * qy + qz * qz + qw * qw), qw := qw / sqrt(qx * qx + qy * qy + qz * qz + qw * qw))").replace(" f, p0, p1 FROM hi", " f, p0, p1, p FROM hi")
+_Q = ("qx", "qy", "qz", "qw")
+_MOTION = lambda p: (
+    _times(_times(_back([f"a.{p}{c}" for c in _Q]), [f"(b.{p}{c} - a.{p}{c})" for c in "xyz"] + ["0.0"]), [f"a.{p}{c}" for c in _Q])[:3],
+    _times(_back([f"a.{p}{c}" for c in _Q]), [f"b.{p}{c}" for c in _Q]),
+)
+_TURN = _times(_back([f"g{c}" for c in _Q]), [f"e{c}" for c in _Q])
+
+
+@query(f"""WITH {_FULL},
+d AS (SELECT *, {" + ".join(f"p0.{c} * p1.{c}" for c in _Q)} AS d FROM al), h AS (SELECT *, least(abs(d), 1.0) AS c, CASE WHEN d < 0 THEN -1 ELSE 1 END AS sg, acos(least(abs(d), 1.0)) AS th FROM d),
+v AS (SELECT *, CASE WHEN c > 0.9995 THEN 1 - f ELSE sin((1 - f) * th) / sin(th) END AS wa, sg * CASE WHEN c > 0.9995 THEN f ELSE sin(f * th) / sin(th) END AS wb FROM h),
+i AS (SELECT *, {", ".join(f"wa * p0.{c} + wb * p1.{c} AS r{c}" for c in _Q)} FROM v),
+n AS (SELECT r, t, {", ".join(f"p.{c} AS e{c}" for c in ("x", "y", "z", *_Q))}, {", ".join(f"p0.{c} + (p1.{c} - p0.{c}) * f AS g{c}" for c in "xyz")},
+  {", ".join(f"CASE WHEN exact THEN p0.{c} ELSE r{c} / sqrt({' + '.join(f'r{x} * r{x}' for x in _Q)}) END AS g{c}" for c in _Q)} FROM i),
+c AS (SELECT a.r, a.t, arg_min(b.t, (abs(b.t - a.t - 1000000000), b.t)) AS t1 FROM n a JOIN n b ON a.r = b.r AND b.t > a.t AND b.t BETWEEN a.t + 950000000 AND a.t + 1050000000 GROUP BY a.r, a.t),
+m AS (SELECT c.r, {", ".join(f"{x} AS e{n}" for n, x in zip("xyz", _MOTION("e")[0]))}, {", ".join(f"{x} AS g{n}" for n, x in zip("xyz", _MOTION("g")[0]))}, {", ".join(f"{x} AS e{n}" for n, x in zip(_Q, _MOTION("e")[1]))}, {", ".join(f"{x} AS g{n}" for n, x in zip(_Q, _MOTION("g")[1]))}
+  FROM c JOIN n a ON a.r = c.r AND a.t = c.t JOIN n b ON b.r = c.r AND b.t = c.t1),
+z AS (SELECT r, (ex - gx) ** 2 + (ey - gy) ** 2 + (ez - gz) ** 2 AS tt, degrees(2 * atan2(sqrt({" + ".join(f"{x} ** 2" for x in _TURN[:3])}), abs({_TURN[3]}))) AS a FROM m)
+SELECT r AS run, count(*) AS pairs, round(sqrt(avg(tt)), 7) AS rmse_translation, round(sqrt(avg(a * a)), 5) AS rmse_rotation FROM z GROUP BY r""")
 def relative_pose_error(spark, sf):
     _, a = aligned(spark, sf)
     d = trajectory.relative_errors(a)
-    return d.groupBy("run").agg(F.count("*").alias("pairs"), F.sqrt(F.avg(F.col("translation") ** 2)).alias("rmse_translation"), F.sqrt(F.avg(F.col("rotation") ** 2)).alias("rmse_rotation"))
+    return d.groupBy("run").agg(F.count("*").alias("pairs"), F.round(F.sqrt(F.avg(F.col("translation") ** 2)), 7).alias("rmse_translation"), F.round(F.sqrt(F.avg(F.col("rotation") ** 2)), 5).alias("rmse_rotation"))
 
 
 @query(f"""WITH {ALIGNED}, c AS (SELECT a.r, a.t, b.t AS e, abs(b.t - a.t - 1000000000) AS gap FROM al a JOIN al b ON a.r = b.r AND b.t > a.t AND b.t BETWEEN a.t + 950000000 AND a.t + 1050000000)
