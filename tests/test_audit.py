@@ -215,6 +215,8 @@ def test_small_functions(spark):
     assert one(X.shown_if(F.lit("ACCEPTED"), F.lit(1)), X.shown_if(F.lit("PENDING"), F.lit(1))) == (1, None)
     assert one(X.minimum_jerk(F.lit(0.5)), X.minimum_jerk(F.lit(-1.0)), X.minimum_jerk(F.lit(2.0))) == (0.5, 0.0, 1.0)
     assert one(X.annotation_rows(F.lit("0 0.50 1e-1\n\n1 .5 2"))) == ([["0", "0.5", "0.1"], ["1", "0.5", "2"]],)
+    ts = F.timestamp_micros(F.lit(1_500_000).cast("bigint"))
+    assert one(X.utc_seconds(ts), X.utc_micros(ts)) == ("1970-01-01T00:00:01Z", "1970-01-01T00:00:01.500000Z")
     wide, tall = [[float(x) for x in range(9)] * 8], [[0.0] * 72]
     df = spark.createDataFrame([(wide[0], tall[0])], "w array<double>, t array<double>")
     assert df.select(X.difference_hash(F.col("w"), F.col("t"))).first()[0] == "f" * 16 + "0" * 16
