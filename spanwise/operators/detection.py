@@ -63,30 +63,60 @@ def ranked(predictions: DataFrame, matches: DataFrame, thresholds: list[float])
     return grid.join(hits, ["threshold", "prediction_id"], "left").fillna(False, ["correct"])
 
 
+def _ranks(rows: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """Adds the place of each row among those of its keys, from 1, counted within buckets with carried counts; `bucket` rises along the order."""
+    b = rows.withColumn("__bucket", bucket)
+    sums = b.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
+    above = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order))
+    return b.withColumn("__own", own).join(carried, [*keys, "__bucket"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__bucket", "__own", "__before")
+
+
+def _falling(confidence: Column) -> Column:
+    """Buckets in the order of falling confidence, fine near 0, where most detections lie."""
+    return -magnitude_bucket(F.coalesce(confidence, F.lit(0.0)), 256)
+
+
+def _interpolated(points: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, truths, ap from the ranks of correct predictions: points: keys, rank, tp (the how manieth correct one it is)."""
+    curve = points.join(truths, keys).where("truths > 0")
+    curve = curve.select(*keys, (F.col("tp") / F.col("rank")).alias("precision"), F.floor(F.lit(100) * F.col("tp") / F.col("truths")).cast("int").alias("reach"))
+    best = curve.groupBy(*keys, "reach").agg(F.max("precision").alias("precision"))
+    # At most 101 recall steps for each key.
+    steps = best.groupBy(*keys).agg(F.collect_list(F.struct("reach", "precision")).alias("s"))
+    at = lambda k: F.coalesce(F.array_max(F.transform(F.filter("s", lambda x: x["reach"] >= k), lambda x: x["precision"])), F.lit(0.0))
+    ap = F.aggregate(F.sequence(F.lit(0), F.lit(100)), F.lit(0.0), lambda acc, k: acc + at(k)) / 101
+    scored = steps.select(*keys, ap.alias("ap"))
+    return truths.join(scored, keys, "left").select(*keys, "truths", F.when(F.col("truths") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+
+
 def average_precision(rows: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
     """keys, truths, ap: 101-point interpolated average precision.
 
     rows: keys, image_id, prediction_id, confidence, correct; truths: keys and
     `truths`. Predictions rank by confidence, image, id; precision at a recall is
     the best at that recall or beyond. No truths gives null, no predictions 0.
-    A class is ranked within buckets of confidence with carried sums, so that no
-    class is sorted in one task; buckets are fine near 0, where most detections lie.
+    A class is ranked within buckets of confidence with carried counts, so that no
+    class is sorted in one task.
     """
-    b = rows.withColumn("bucket", magnitude_bucket(F.coalesce("confidence", F.lit(0.0)), 256))
-    sums = b.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.count_if("correct").alias("hits"))
-    above = Window.partitionBy(*keys).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, "bucket", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("h0"))
-    order = Window.partitionBy(*keys, "bucket").orderBy(F.col("confidence").desc(), "image_id", "prediction_id").rowsBetween(Window.unboundedPreceding, 0)
-    curve = b.join(carried, [*keys, "bucket"]).withColumn("rank", F.col("n0") + F.count("*").over(order)).withColumn("tp", F.col("h0") + F.sum(F.col("correct").cast("int")).over(order))
-    curve = curve.join(truths, keys).where("truths > 0 and correct")
-    points = curve.select(*keys, (F.col("tp") / F.col("rank")).alias("precision"), F.floor(F.lit(100) * F.col("tp") / F.col("truths")).cast("int").alias("reach"))
-    best = points.groupBy(*keys, "reach").agg(F.max("precision").alias("precision"))
-    # At most 101 recall steps for each key.
-    steps = best.groupBy(*keys).agg(F.collect_list(F.struct("reach", "precision")).alias("s"))
-    at = lambda k: F.coalesce(F.array_max(F.transform(F.filter("s", lambda x: x["reach"] >= k), lambda x: x["precision"])), F.lit(0.0))
-    ap = F.aggregate(F.sequence(F.lit(0), F.lit(100)), F.lit(0.0), lambda acc, k: acc + at(k)) / 101
-    scored = steps.select(*keys, ap.alias("ap"))
-    return truths.join(scored, keys, "left").select(*keys, "truths", F.when(F.col("truths") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    order = [F.col("confidence").desc(), F.col("image_id"), F.col("prediction_id")]
+    ranked_ = _ranks(rows, keys, order, _falling(F.col("confidence")), "rank").where("correct")
+    return _interpolated(_ranks(ranked_, keys, order, _falling(F.col("confidence")), "tp"), truths, keys)
+
+
+def average_precisions(predictions: DataFrame, matches: DataFrame, truths: DataFrame) -> DataFrame:
+    """(class_id, threshold, truths, ap) as average_precision, from the predictions, their matches and (class_id, threshold, truths).
+
+    A prediction's rank within its class holds for every threshold, so predictions
+    are ranked once, and only the matches are repeated by threshold.
+    """
+    order = [F.col("confidence").desc(), F.col("image_id"), F.col("prediction_id")]
+    p = predictions.select("class_id", "image_id", F.col("id").alias("prediction_id"), "confidence")
+    places = _ranks(p, ["class_id"], order, _falling(F.col("confidence")), "rank").select("prediction_id", "rank", "confidence")
+    hit = matches.groupBy("prediction_id", "class_id").agg(F.collect_list("threshold").alias("t"))  # as many as there are thresholds
+    hits = hit.join(places, "prediction_id").select("class_id", F.explode("t").alias("threshold"), "rank", "confidence")
+    return _interpolated(_ranks(hits, ["class_id", "threshold"], [F.col("rank")], _falling(F.col("confidence")), "tp"), truths, ["class_id", "threshold"])
 
 
 def class_scores(rows: DataFrame, truths: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,9 +187,8 @@ IOU_THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 def evaluate(predictions: DataFrame, regions: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
     """(class_id, threshold, truths, ap) of every class with truths."""
     thresholds = thresholds or IOU_THRESHOLDS
-    rows = ranked(predictions, greedy_match(predictions, regions, thresholds), thresholds)
     truths = regions.groupBy("class_id").agg(F.count("*").alias("truths")).select("class_id", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), "truths")
-    return average_precision(rows, truths, ["class_id", "threshold"])
+    return average_precisions(predictions, greedy_match(predictions, regions, thresholds), truths)
 
 
 def interpolated_curves(rows: DataFrame, truths: DataFrame, keys: list[str], grid: int = 1000) -> DataFrame:

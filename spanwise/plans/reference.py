@@ -316,8 +316,7 @@ q AS (SELECT s.threshold, s.class_id, truths, tp / k AS precision, tp / truths A
 g AS (SELECT threshold, class_id, x, max(precision) p FROM q, range(0, 101) y(x) WHERE floor(100 * recall + 1e-9) >= x GROUP BY ALL)
 SELECT class_id, threshold, truths, round(coalesce((SELECT sum(p) FROM g WHERE g.class_id = n.class_id AND g.threshold = t.threshold), 0) / 101, 9) AS ap FROM n, t""")
 def average_precision(spark, sf):
-    d = detection.average_precision(*ranked_detections(spark, sf), ["class_id", "threshold"])
-    return d.withColumn("ap", r9("ap"))
+    return detection.evaluate(*detections(spark, sf), THRESHOLDS).withColumn("ap", r9("ap"))
 
 
 @query(_SQL["average_precision"].replace(str(THRESHOLDS), TEN))
