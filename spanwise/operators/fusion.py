@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanwise.operators.graph import linked_groups
 from spanwise.session import cut
 
 COLUMNS = ("seq", "inspection_id", "observation_id", "class_id", "track_id", "confidence", "x_m", "y_m", "z_m", "ts")
@@ -173,13 +174,35 @@ def conflicts(observations: DataFrame) -> DataFrame:
     return f.groupBy("inspection_id", "observation_id").agg(F.count_distinct("fingerprint").alias("forms")).where("forms > 1")
 
 
-def fuse(observations: DataFrame, radius: float = 0.25, naming: Naming = Naming()) -> tuple[DataFrame, DataFrame]:
+def independent_units(observations: DataFrame, radius: float) -> DataFrame:
+    """Adds `unit`: observations of one inspection and class that may come to depend on each other.
+
+    An observation joins a defect within the radius of its mean. By induction
+    the mean squared distance of a defect's members to their mean is at most the radius
+    squared, so some member lies within the radius of the mean, and within twice
+    the radius of the new one. Observations that no chain of such steps links never meet;
+    chains are found over the cells of a grid twice the radius wide.
+    """
+    width = max(2 * radius, 1e-9) * (1 + 1e-6)
+    axes = [F.floor(F.col(c) / width).cast("bigint") for c in ("x_m", "y_m", "z_m")]
+    name = lambda cells: F.concat_ws("/", F.col("inspection_id").cast("string"), F.col("class_id").cast("string"), *(c.cast("string") for c in cells))
+    celled = observations.select("*", *(a.alias(f"__{i}") for i, a in enumerate(axes))).withColumn("__cell", name([F.col(f"__{i}") for i in range(3)]))
+    cells = cut(celled.select("inspection_id", "class_id", "__0", "__1", "__2", "__cell").distinct())
+    half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+    beside = F.array(*(name([F.col("__0") + i, F.col("__1") + j, F.col("__2") + k]) for i, j, k in half))
+    links = cells.select(F.col("__cell").alias("a"), F.explode(beside).alias("b")).join(cells.select(F.col("__cell").alias("b")), "b", "left_semi")
+    groups = linked_groups(links, "a", "b").select(F.col("id").alias("__cell"), F.col("group_id").alias("__group"))
+    units = cells.select("__cell").join(groups, "__cell", "left").select("__cell", F.coalesce("__group", "__cell").alias("unit"))
+    return celled.join(units, "__cell").drop("__cell", "__0", "__1", "__2")
+
+
+def fuse(observations: DataFrame, radius: float = 0.25, naming: Naming = Naming(), unit_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(decisions, defects) of observations taken in order of `seq`.
 
     Replays are found by a shuffle first and don't enter the fold; a replay with
-    other content fails the batch. The fold runs for each inspection and class,
-    which is the finest unit that keeps the result: later observations depend on
-    earlier ones of it.
+    other content fails the batch. The fold runs for each inspection and class;
+    where some hold more than `unit_rows` observations, they are cut into independent_units,
+    which changes no result: later observations depend on earlier ones of their unit only.
     """
     keyed = observations.select(*COLUMNS).withColumn("fingerprint", fingerprint())
     w = Window.partitionBy("inspection_id", "observation_id")
@@ -195,7 +218,10 @@ def fuse(observations: DataFrame, radius: float = 0.25, naming: Naming = Naming(
             out.append((o["seq"], o["inspection_id"], o["class_id"], o["observation_id"], decision, defect))
         return pd.DataFrame(out, columns=["seq", "inspection_id", "class_id", "observation_id", "decision", "defect_id"])
 
-    decided = cut(first.groupBy("inspection_id", "class_id").applyInPandas(fold, "seq long, inspection_id long, class_id int, observation_id string, decision string, defect_id string"))
+    keys = ["inspection_id", "class_id"]
+    if not first.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > unit_rows).isEmpty():
+        first, keys = independent_units(first, radius), [*keys, "unit"]
+    decided = cut(first.groupBy(*keys).applyInPandas(fold, "seq long, inspection_id long, class_id int, observation_id string, decision string, defect_id string"))
     replays = marked.where("nth > 1").select("seq", "inspection_id", "observation_id")
     again = replays.join(decided.select("inspection_id", "observation_id", "class_id", "defect_id"), ["inspection_id", "observation_id"]).withColumn("decision", F.lit("REPLAY"))
     decisions = decided.unionByName(again.select(*decided.columns))

@@ -311,6 +311,19 @@ def test_grid_finds_what_a_scan_finds():
     assert np.mean(plain) > 0.99  # edges may differ in the last bit
 
 
+def test_independent_units_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    t0 = datetime(2026, 1, 1)
+    at = np.round(np.concatenate([rng.normal(size=(60, 3)) * 0.3 + c for c in ([0, 0, 0], [4, 0, 0], [0, -5, 2])]), 3)
+    order = rng.permutation(len(at))
+    data = [(int(s), 1 + int(s) % 2, f"o{s}", int(s) % 3 % 2, f"t{s % 5}" if s % 4 else None, 0.5, *map(float, at[i]), t0 + timedelta(seconds=int(s))) for s, i in enumerate(order)]
+    o = spark.createDataFrame(data, "seq long, inspection_id long, observation_id string, class_id int, track_id string, confidence double, x_m double, y_m double, z_m double, ts timestamp")
+    units = U.independent_units(o, 0.25)
+    assert units.select("unit").distinct().count() > 6 and units.count() == len(data)
+    whole, parts = U.fuse(o)[0], U.fuse(o, unit_rows=1)[0]
+    assert rows(whole.select("seq", "decision", "defect_id")) == rows(parts.select("seq", "decision", "defect_id"))
+
+
 def test_radius_join_chunks_and_levels(spark):
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.random((900, 2)) * 20, rng.normal(size=(300, 2)) * 0.3 + 5, np.full((20, 2), 7.0)])
