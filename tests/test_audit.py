@@ -437,3 +437,56 @@ def test_review_samples(spark):
     assert rows(deltas) == {("x", 1.0, 1.5, 0.5), ("y", None, 2.0, None)}
     det = C.detection_requests(spark.createDataFrame([(1, -1.0, 0.5, 3.2, 9.0, 8, 6)], "stamp long, x1 double, y1 double, x2 double, y2 double, width int, height int")).first()
     assert (det.left, det.top, det.right, det.bottom, det.mode) == (0, 0, 4, 6, 1)
+
+
+def test_record_store_survives_a_restart(spark, tmp_path):
+    from spanwise.sources.records import RecordStore, VersionConflict, dense_ids
+
+    kept = RecordStore(spark, str(tmp_path / "db"))
+    assert kept.table("defects").count() == 0 and kept.version("defects") == 0
+    s = kept.create_structures(spark.createDataFrame([("Pier B", "d", None), ("Pier A", "d", "Kelmoor")], "name string, description string, location_text string"))
+    assert {(r.structure_id, r.name) for r in s.collect()} == {(1, "Pier A"), (2, "Pier B")}
+    with pytest.raises(V.ValidationError):
+        kept.create_structures(spark.createDataFrame([(" ", "d", None)], "name string, description string, location_text string"))
+    t = datetime(2026, 1, 1)
+    kind = "structure_id long, started_at timestamp, completed_at timestamp, status string, system_version string, notes string"
+    kept.create_inspections(spark.createDataFrame([(1, t, None, "RUNNING", "v1", None), (1, t + timedelta(1), None, "PLANNED", "v1", None)], kind))
+    with pytest.raises(V.ValidationError):
+        kept.create_inspections(spark.createDataFrame([(9, t, None, "RUNNING", "v1", None)], kind))
+    defect = lambda i, c, d="D1": spark.createDataFrame([(d, i, "t", "Crack", c, 0.0, 0.0, 0.0, "map", 1, t, t, "m")], "defect_id string, inspection_id long, track_id string, class_name string, confidence double, x_m double, y_m double, z_m double, coordinate_frame string, observation_count int, first_seen timestamp, last_seen timestamp, model_version string")
+    kept.ingest_defects(defect(1, 0.5))
+    with pytest.raises(V.ValidationError):
+        kept.ingest_defects(defect(1, 0.5))
+    kept.set_review(spark.createDataFrame([("D1", "CONFIRMED", "seen")], "defect_id string, status string, notes string"))
+    with pytest.raises(V.ValidationError):
+        kept.set_review(spark.createDataFrame([("D1", "MAYBE", None)], "defect_id string, status string, notes string"))
+    kept.update_defects(defect(1, 0.9))
+    with pytest.raises(V.ValidationError):
+        kept.update_defects(defect(2, 0.9))
+    proof = spark.createDataFrame([("D1", "f", t, 0.5, 0.0, 0.0, 1.0, 1.0)], "defect_id string, frame_id string, timestamp timestamp, confidence double, x1 double, y1 double, x2 double, y2 double")
+    kept.add_evidence(proof)
+    with pytest.raises(V.ValidationError):
+        kept.add_evidence(proof)
+
+    again = RecordStore(spark, str(tmp_path / "db"))  # a new process
+    r = again.get_defect(" D1 ").first()
+    assert (r.confidence, r.review_status, r.review_notes) == (0.9, "CONFIRMED", "seen")
+    assert [x.inspection_id for x in again.list_inspections().collect()] == [2, 1] and again.list_evidence("D1").count() == 1
+    assert again.list_defects(inspection_id=1, min_confidence=0.8).count() == 1 and again.get_structure(2).first().name == "Pier B" and again.get_inspection(3).count() == 0
+    report, issues = again.report()
+    assert {(x.inspection_id, len(x.defects)) for x in report.collect()} == {(1, 1), (2, 0)} and issues.count() == 0
+    with pytest.raises(V.ValidationError):
+        again.delete_structures(spark.createDataFrame([(1,)], "structure_id long"))
+    again.delete_structures(spark.createDataFrame([(2,)], "structure_id long"))
+    base = again.version("inspections")
+    again.delete_inspections(spark.createDataFrame([(1,)], "inspection_id long"))
+    assert [again.table(n).count() for n in ("structures", "inspections", "defects", "evidence")] == [1, 1, 0, 0]
+    with pytest.raises(VersionConflict):
+        again._commit("inspections", again.table("inspections"), base)
+    (tmp_path / "db/_versions/structures/9").write_text("")  # a writer was lost
+    with pytest.raises(VersionConflict):
+        again.create_structures(spark.createDataFrame([("Pier C", "d", None)], "name string, description string, location_text string"))
+    again.abandon("structures")
+    assert again.create_structures(spark.createDataFrame([("Pier C", "d", None)], "name string, description string, location_text string")).count() == 1
+    ids = dense_ids(spark.range(50).select((F.lit(100) - F.col("id")).alias("v")), ["v"], "n", 5).orderBy("v").collect()
+    assert [x.n for x in ids] == list(range(5, 55))
