@@ -98,21 +98,34 @@ def _scrambled(codes: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(codes: np.ndarray, kinds: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash with names as they are, hash with names as placeholders, whether the window has a name) of every window of the words."""
+    """(hash with names as they are, hash with names as placeholders, whether the latter counts) of every window of the words.
+
+    A template of more than half slots tells nothing (a table of numbers): such a window is hashed on its words
+    as they are, and doesn't count with names as placeholders.
+    """
     n = len(codes) - span + 1
-    plain = _scrambled(np.where((kinds == _NUMBER) | (kinds == _UNIT), _CODES[kinds], codes))
-    masked = _scrambled(np.where(kinds > _WORD, _CODES[kinds], codes))
     unit = kinds == _UNIT  # no unit at the start of a window, as its number lies outside
     own = _scrambled(codes)
-    out = []
-    for series in (plain, masked):
-        first = np.where(unit, own, series)
-        h = first[:n].copy()
+    plain = _scrambled(np.where((kinds == _NUMBER) | unit, _CODES[kinds], codes))
+    masked = _scrambled(np.where(kinds > _WORD, _CODES[kinds], codes))
+
+    def rolled(series: np.ndarray) -> np.ndarray:
+        h = np.where(unit, own, series)[:n]
         for i in range(1, span):
             h = h * _M + series[i : i + n]
-        out.append(h ^ (h >> np.uint64(32)))
-    named = np.append(0, np.cumsum(kinds == _NAME))
-    return out[0], out[1] ^ np.uint64(1), named[span:] > named[:n]
+        return h ^ (h >> np.uint64(32))
+
+    def held(flags: np.ndarray) -> np.ndarray:
+        sums = np.append(0, np.cumsum(flags))
+        return sums[span:] - sums[:n]
+
+    named = held(kinds == _NAME)
+    slots = held((kinds == _NUMBER) | unit) - unit[:n]
+    dense = slots > span // 2
+    first = rolled(plain)
+    if dense.any():
+        first = np.where(dense, rolled(own) ^ np.uint64(2), first)
+    return first, rolled(masked) ^ np.uint64(1), (named > 0) & (slots + named <= span // 2)
 
 
 def judge(a: np.ndarray, ak: np.ndarray, b: np.ndarray, bk: np.ndarray, shift: int, span: int) -> tuple[int, int, int]:
@@ -248,9 +261,13 @@ def _met(probes: _Probes, coder: Coder, texts: list[str], span: int) -> list[tup
         return []
     begin = np.searchsorted(text, np.arange(len(texts) + 1))
     owner = text[w]
-    diagonals = np.unique(np.stack([owner, probes.owners[p], w - begin[owner] - probes.places[p]]), axis=1)
+    diagonals, met = np.unique(np.stack([owner, probes.owners[p], w - begin[owner] - probes.places[p]]), axis=1, return_counts=True)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for doc, item, shift in diagonals.T.tolist():
+    # The diagonals with most windows first: a run of n words has n - span + 1 windows (twice, with names), so the rest may be too short to matter.
+    order = np.argsort(-met, kind="stable")
+    for (doc, item, shift), windows in zip(diagonals.T[order].tolist(), met[order].tolist()):
+        if windows + span - 1 <= best.get((doc, item), (0,))[0]:
+            continue
         own = slice(begin[doc], begin[doc + 1])
         v, t, d = judge(codes[own], kinds[own], *probes.words[item], shift, span)
         V, T, D = best.get((doc, item), (0, 0, 0))
@@ -265,8 +282,8 @@ def eval_leaks(documents: DataFrame, items: DataFrame, span: int = 13, block_win
 
     kind is 'verbatim' where at least `span` consecutive words are equal, else
     'reparameterised' where as many agree but for consistently replaced
-    numbers, units and names. template_words is the longest such run with a
-    replaced slot, or without one where there is none. Null, empty and shorter texts give no row; a
+    numbers, units and names; a passage needs a window of which half at least are plain words. template_words is the longest such run with a
+    replaced slot, or without one where there is none (of a verbatim pair: where a longer verbatim passage was looked for). Null, empty and shorter texts give no row; a
     repeated id counts as one document; items of one text are found once and told each.
     Blocks hold about `block_windows` windows (32 bytes each), a single item
     at least; the documents are read once for each block. Names are told by capitals: texts
