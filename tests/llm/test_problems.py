@@ -136,6 +136,31 @@ def test_consensus_of_a_large_group(spark):
     assert got.value.startswith("data/north/bridge/pier") and got.voters == 701
 
 
+def test_very_long_values_align():
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(30_000)]
+    other = [w if rng.random() > 0.001 else f"x{i}" for i, w in enumerate(base)]
+    del other[500:510]
+    got = survivors.align([{w: 1.0} for w in base], other)
+    assert [i for i, _ in got if i >= 0] == list(range(len(base))) and [j for _, j in got if j >= 0] == list(range(len(other)))
+    assert sum(i >= 0 and j >= 0 for i, j in got) > 29_900
+    assert survivors.distance(base, other) < 60 and survivors.distance(base, base) == 0 and survivors.distance(["a"] * 40_000, ["b"] * 40_000) == 40_000
+    assert survivors.closest([" ".join(base), " ".join(other), " ".join(other)], [1.0, 1.0, 1.0]) == 1
+    for _ in range(200):  # small tables: the exact distance
+        a, b = (list(rng.choice(list("abc"), int(rng.integers(0, 8)))) for _ in range(2))
+        table = np.arange(len(b) + 1)[None, :] + np.arange(len(a) + 1)[:, None]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        assert survivors.distance(a, b) == table[-1, -1]
+
+
+def test_consensus_of_empty_and_long_records(spark):
+    df = spark.createDataFrame([(1, "G", None, None, None, "x " * 30_000, None, None, None, None), (2, "G", None, None, None, "y " * 30_000, None, None, None, None)], RECORDS)
+    assert {(r.field_name, r.record_id) for r in survivors.image_consensus(df).collect()} == {("label_relative_path", 1)}
+    assert survivors.image_survivors(df).count() == 2 and survivors.image_consensus(df.limit(0)).count() == 0
+
+
 def test_image_consensus_outvotes_the_best_record(spark):
     t = "2026-01-01 00:00:00"
     rows = [(1, "G", "IN", None, t, "a/x.txt", 9, "[1]", 5, 5)] + [(i, "g", "IN", None, t, "a/y.txt", 3, "[2]", 5, None) for i in (2, 3, 4)]
@@ -236,6 +261,15 @@ def test_copies_of_items_and_texts_of_capitals(spark):
     assert got == {(1, i): "verbatim" for i in (5, 6, 7)} | {(2, i): "verbatim" for i in (5, 6, 7)}
 
 
+def test_tables_of_numbers_are_no_templates(spark):
+    table = " ".join(str(i) for i in range(100, 4_000))
+    items = spark.createDataFrame([(1, " ".join(str(7 * i) for i in range(40))), (2, " ".join(str(i) for i in range(500, 520)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, table), (2, "word " * 20_000)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind, r.verbatim_words) for r in eval_leaks.eval_leaks(docs, items).collect()} == {(1, 2, "verbatim", 20)}
+    same = spark.createDataFrame([(9, "word " * 60)], "item_id long, text string")
+    assert {(r.doc_id, r.verbatim_words) for r in eval_leaks.eval_leaks(docs, same).collect()} == {(2, 60)}
+
+
 def longest_consistent(doc, item):
     """Brute force on one diagonal: the words of the longest run with replaced slots that map one-to-one."""
     coder = eval_leaks.Coder()
