@@ -17,7 +17,6 @@ RESULT_COLUMNS = (
 BOX_COLUMNS = ("class_id", "x", "y", "width", "height")
 RATES = ("precision", "recall", "map50", "map50_95")
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _COUNT = r"^\+?0*[1-9][0-9]*\z"
 _COMMA, _NEVER = "\x01", "\x02"
 
@@ -65,11 +64,16 @@ def _bare(c: Column) -> Column:
 
 
 def _number(c: Column) -> Column:
-    """The double that a plain or exponent decimal stands for, else null; infinity is none."""
-    value = F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    """The double that a text of digits, signs, points and exponents stands for, else null; infinity is none."""
+    value = c.try_cast("double")
     return F.when(F.abs(value) < float("inf"), value)
 
 
+def _numeric(fields: Column) -> Column:
+    """Whether the fields hold nothing but what plain and exponent decimals are made of. Of such texts just the decimals can be cast, so no field needs a pattern of its own."""
+    return F.translate(F.array_join(fields, ""), "0123456789+-.eE \t", "") == ""
+
+
 def _parsed(rows: DataFrame, feed: str) -> DataFrame:
     """Adds `f` (fields), `ok_quotes`, `ok_count` and `v` (values, null where invalid)."""
     if feed == "results":
@@ -81,6 +85,7 @@ def _parsed(rows: DataFrame, feed: str) -> DataFrame:
     # explode(array(x)) keeps the optimizer from copying x into every place that uses it.
     out = rows.where(F.col("feed") == feed).select("*", F.explode(F.array(cut)).alias("f"))
     out = out.select("*", F.col("f").isNotNull().alias("ok_quotes"), F.coalesce(F.size("f") == len(names), F.lit(False)).alias("ok_count"))
+    numbers = F.slice("f", 2, 14 if feed == "results" else 4)
     at = lambda i: F.get("f", F.lit(i))
     values = []
     for i, name in enumerate(names):
@@ -97,7 +102,7 @@ def _parsed(rows: DataFrame, feed: str) -> DataFrame:
             else:
                 good = (x <= 1) & ((x > 0) if name in ("width", "height") else (x >= 0))
             values.append(F.when(good, x).alias(name))
-    return out.select("*", F.explode(F.array(F.when(F.col("ok_count"), F.struct(*values)))).alias("v"))
+    return out.select("*", F.explode(F.array(F.when(F.col("ok_count") & _numeric(numbers), F.struct(*values)))).alias("v"))
 
 
 def _valid(feed: str) -> Column:
