@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanwise.functions.scalars import content_group_id
-from spanwise.session import cut
+from spanwise.operators.skew import hot_keys, lookup
+from spanwise.session import cut, release
 
 
-def linked_groups(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
+def linked_groups(edges: DataFrame, a: str, b: str, max_rounds: int = 100, hot_rows: int = 1_000_000) -> DataFrame:
     """(id, group_id): ids linked directly or through others with the smallest id of their group.
 
     Alternates large stars (larger neighbours to the smallest neighbour) and
@@ -19,8 +20,11 @@ def linked_groups(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> Da
     now = cut(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rows = 2 * now.count()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        hot = hot_keys(low, ["u"], "n", rows, hot_rows)  # centres of stars with very many ends
+        low = low.select("u", "m")
+        large = lookup(both.where("v > u"), low, ["u"], hot, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = now.groupBy("u").agg(F.min("v").alias("v"))
         large = large.unionByName(kept.join(low, "u").select("u", F.least("v", "m").alias("v"))).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -29,6 +33,7 @@ def linked_groups(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> Da
         if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
             roots = new.select(F.col("v").alias("id"), F.col("v").alias("group_id")).distinct()
             return new.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(roots)
+        release(now)
         now = new
     raise RuntimeError(f"links still move after {max_rounds} rounds")
 

@@ -226,3 +226,25 @@ def require_empty(df: DataFrame, what: str) -> None:
     found = df.limit(3).collect()
     if found:
         raise ValidationError(f"{what}: {found}")
+
+
+def contract_issues(record: dict, contract: dict) -> list[str]:
+    """What a settings record breaks of its contract: missing and unknown keys, values that differ; a type as value stands for any of it (a bool is no int)."""
+    out = [f"missing:{k}" for k in contract if k not in record] + [f"unknown:{k}" for k in record if k not in contract]
+    for k in contract.keys() & record.keys():
+        want, got = contract[k], record[k]
+        fits = type(got) is want if isinstance(want, type) else type(got) is type(want) and got == want
+        out += [] if fits else [f"differs:{k}"]
+    return sorted(out)
+
+
+def gates(rows: DataFrame, section: str, ok: Column) -> DataFrame:
+    """(section, checks, passed): a section passes if all its checks do, 'all' if all sections do; an unknown outcome fails."""
+    sure = F.coalesce(ok, F.lit(False))
+    sets = rows.select(F.explode(F.array(F.col(section), F.lit("all"))).alias("section"), sure.alias("ok"))
+    return sets.groupBy("section").agg(F.count("*").alias("checks"), F.bool_and("ok").alias("passed"))
+
+
+def scored_classes(mapping: DataFrame) -> DataFrame:
+    """(class_id): the classes that an approved label maps to, each once, in order."""
+    return mapping.where("status = 'approved' and class_id is not null").select("class_id").distinct().orderBy("class_id")

@@ -170,3 +170,28 @@ def reconciled_annotations(documents: DataFrame, boxes: DataFrame) -> DataFrame:
     both = d.join(b, "image_id", "full_outer")
     status = F.when(F.col("bc").isNull(), "only_documents").when(F.col("dc").isNull(), "only_labels").when(F.col("regions") != F.col("boxes"), "count_differs").when(F.col("dc") != F.col("bc"), "class_differs").otherwise("equal")
     return both.select("image_id", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("boxes", F.lit(0)).alias("boxes"), status.alias("status"))
+
+
+def write_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Long rows of one batch, in a folder of its own below path; a batch that comes again replaces itself, others stay."""
+    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """(rows, digest): one row that tells whether two tables hold the same rows in any order, repeated ones counted; columns are taken by name."""
+    parts = [F.coalesce(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))), F.lit("")) for c in sorted(df.columns)]
+    whole = F.sha2(F.concat_ws("\x1f", *parts), 256)
+    halves = [F.conv(F.substring(whole, i, 15), 16, 10).cast("decimal(38,0)") for i in (1, 16)]
+    sums = [F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string") for h in halves]
+    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("/", *sums), 256).alias("digest"))
+
+
+def bundle(predictions: DataFrame, regions: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(kind, image_id, id, class_ids, confidence, x1, y1, x2, y2): predictions and regions as one table, once their digests are those of the contract (names 'predictions' and 'regions')."""
+    for name, rows in (("predictions", predictions), ("regions", regions)):
+        if table_digest(rows).first().digest != expected[name]:
+            raise ValueError(f"{name} aren't those of the contract")
+    box = ("x1", "y1", "x2", "y2")
+    p = predictions.select(F.lit("prediction").alias("kind"), "image_id", F.col("id").cast("string").alias("id"), F.array("class_id").alias("class_ids"), "confidence", *box)
+    r = regions.select(F.lit("region").alias("kind"), "image_id", F.col("id").cast("string").alias("id"), F.col("labels").alias("class_ids"), F.lit(None).cast("double").alias("confidence"), *box)
+    return p.unionByName(r)

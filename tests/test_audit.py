@@ -55,6 +55,12 @@ def test_annotation_verdicts(spark, labels, verdict):
     assert [r.verdict for r in graph.annotation_consistency(df, "g", F.col("ids")).collect()] == [verdict]
 
 
+def test_linked_groups_around_a_hub(spark):
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 320)] + [(199, 300)]
+    got = dict(graph.linked_groups(spark.createDataFrame(edges, "a long, b long"), "a", "b", hot_rows=20).collect())
+    assert got == {k: 0 for k in [*range(200), *range(300, 321)]}
+
+
 def test_split_proposal_rules(spark):
     data = [
         (1, "train", "b", True, "D1", [1]), (2, "test", "c", True, "D1", [1]), (3, "valid", "a", False, "D1", [1]),  # the test copy stays
@@ -412,6 +418,33 @@ def test_more_files(spark, tmp_path):
         files.normalised_predictions(arrays).collect()
 
 
+def test_batches_digests_and_bundles(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "id long, v string"), spark.createDataFrame([(2, "y")], "id long, v string")
+    for df, batch in ((a, "b1"), (b, "b2"), (b, "b1")):
+        files.write_batch(df, str(tmp_path / "batches"), batch)
+    assert rows(spark.read.parquet(str(tmp_path / "batches")).select("id", "batch")) == {(2, "b1"), (2, "b2")}
+    digest = lambda df: files.table_digest(df).first()
+    t = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "id long, v string")
+    assert digest(t) == digest(t.select("v", "id").orderBy(F.desc("id"))) and digest(t) != digest(t.distinct()) and digest(t) != digest(t.fillna("null"))
+    assert digest(t.limit(0)).rows == 0
+    p = spark.createDataFrame([(1, 1, 0, 0.5, 0.0, 0.0, 1.0, 1.0)], "id long, image_id long, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    r = spark.createDataFrame([(5, 1, [0, 1], 0.0, 0.0, 1.0, 1.0)], "id long, image_id long, labels array<int>, x1 double, y1 double, x2 double, y2 double")
+    names = {"predictions": digest(p).digest, "regions": digest(r).digest}
+    assert {(x.kind, tuple(x.class_ids)) for x in files.bundle(p, r, names).collect()} == {("prediction", (0,)), ("region", (0, 1))}
+    with pytest.raises(ValueError):
+        files.bundle(p.withColumn("confidence", F.lit(0.6)), r, names)
+
+
+def test_contracts_and_gates(spark):
+    contract = {"seed": 7, "name": str, "on": bool}
+    assert V.contract_issues({"seed": 7, "name": "x", "on": True}, contract) == []
+    assert V.contract_issues({"seed": True, "name": 1, "more": 0}, contract) == ["differs:name", "differs:seed", "missing:on", "unknown:more"]
+    checks = spark.createDataFrame([("a", True), ("a", True), ("b", True), ("b", None)], "section string, ok boolean")
+    assert rows(V.gates(checks, "section", F.col("ok"))) == {("a", 2, True), ("b", 2, False), ("all", 4, False)}
+    table = spark.createDataFrame([("x", 3, "approved"), ("y", 1, "approved"), ("z", 3, "approved"), ("w", 2, "rejected")], "label string, class_id int, status string")
+    assert [r.class_id for r in V.scored_classes(table).collect()] == [1, 3]
+
+
 def test_checkpoints_need_a_shared_folder(spark, tmp_path):
     d = session.cut(spark.range(3))
     path = d._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().replace("file:", "")
