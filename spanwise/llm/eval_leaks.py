@@ -221,6 +221,13 @@ class _Probes:
         self.sieve = np.zeros(1 << 18, bool)
         self.sieve[(self.hashes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
+    @classmethod
+    def of(cls, parts: dict) -> _Probes:
+        """From what vars() gives: broadcasts carry plain arrays, so that workers need no installed package to read them."""
+        out = cls.__new__(cls)
+        out.__dict__.update(parts)
+        return out
+
     def met(self, hashes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, probe) of equal hashes, of the given windows."""
         windows = windows[self.sieve[(hashes[windows] & np.uint64((1 << 18) - 1)).astype(np.int64)]]
@@ -234,7 +241,7 @@ def _scan(shared, span: int):
     """mapInPandas over documents: (doc_id, item, verbatim_words, template_words, differing_slots)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probes, coder = shared.value, Coder()
+        probes, coder = _Probes.of(shared.value), Coder()
         for pdf in batches:
             ids, at = pdf["doc_id"].to_numpy(), 0
             for texts in pieces(pdf["text"].tolist()):
@@ -306,7 +313,7 @@ def eval_leaks(documents: DataFrame, items: DataFrame, span: int = 13, block_win
             rows = own.select("item", "text").collect()
             if not rows:
                 continue
-            shared = spark.sparkContext.broadcast(_Probes([r.item for r in rows], [r.text for r in rows], span))
+            shared = spark.sparkContext.broadcast(vars(_Probes([r.item for r in rows], [r.text for r in rows], span)))
             found = docs.mapInPandas(_scan(shared, span), schema)
             out = found if blocks == 1 else out.unionByName(found)
     members = given.join(classes.select("text", "item"), "text").select("item", "item_id")
