@@ -86,6 +86,16 @@ class _Pivots:
         self.home = to.argmin(1)
         self.away = to[np.arange(len(places)), self.home]
 
+    @classmethod
+    def of(cls, parts: dict, metric) -> _Pivots:
+        """From the plain arrays of `parts`; broadcasts carry those, so that workers need no installed package to read them."""
+        out = cls.__new__(cls)
+        out.__dict__.update(parts, metric=metric)
+        return out
+
+    def parts(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "metric"}
+
     def cells(self, points: np.ndarray, radius: float, block: int = 2_048):
         """(cell, gap, place, other cell, distance): nearest pivot of each point, and the larger-numbered cells within gap + 2 r of some."""
         cell, gap, at, other, apart = np.zeros(len(points), np.int64), np.zeros(len(points)), [], [], []
@@ -148,10 +158,10 @@ def radius_join(
         places = np.unique(rows[xs].to_numpy()[: max(1, round(wanted * len(rows) / len(drawn)))], axis=0)
         pivots[g] = _Pivots(places, at, distance)
         at += len(places)
-    shared = spark.sparkContext.broadcast(pivots)
+    shared = spark.sparkContext.broadcast({g: p.parts() for g, p in pivots.items()})
 
     def place(batches):
-        known = shared.value
+        known = {g: _Pivots.of(p, distance) for g, p in shared.value.items()}
         for pdf in batches:
             cells, gaps = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
             others = [[] for _ in range(len(pdf))]

@@ -111,6 +111,24 @@ def split_comparison(images: DataFrame, boxes: DataFrame, classes: list[int]) ->
     return base.join(shares, "split", "left").join(area, "split", "left").fillna(0.0, [f"class_{c}_percent" for c in classes])
 
 
+def overview(images: DataFrame, split: str, paired: Column, annotations: Column, kinds: Column) -> DataFrame:
+    """(view, split, ...) of two views, 'raw' (all images) and 'baseline' (pairs only), each for every split and 'all'.
+
+    `annotations`: how many an image has, null or negative if unknown; `kinds`: how many classes. images, exact_pairs, unlabelled, annotations,
+    one_class_images and multi_class_images of the pairs, and mean and median annotations of a pair (null without pairs of known number).
+    """
+    known = F.when(annotations >= 0, annotations.cast("double"))
+    rows = images.select(F.coalesce(split, F.lit("unknown")).alias("own"), F.coalesce(paired, F.lit(False)).alias("paired"), known.alias("n"), F.coalesce(kinds, F.lit(0)).alias("kinds"))
+    views = F.array_compact(F.array(F.lit("raw"), F.when(F.col("paired"), F.lit("baseline"))))
+    long = rows.select(F.explode(views).alias("view"), F.array("own", F.lit("all")).alias("s"), "paired", "n", "kinds").select("view", F.explode("s").alias("split"), "paired", F.when(F.col("paired"), F.col("n")).alias("n"), "kinds")
+    base = long.groupBy("view", "split").agg(
+        F.count("*").alias("images"), F.count_if("paired").alias("exact_pairs"), F.count_if(~F.col("paired")).alias("unlabelled"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("annotations"),
+        F.count_if(F.col("paired") & (F.col("kinds") == 1)).alias("one_class_images"), F.count_if(F.col("paired") & (F.col("kinds") > 1)).alias("multi_class_images"), F.avg("n").alias("mean_annotations"),
+    )
+    middle = exact_quantiles(long, ["view", "split"], "n", {"median_annotations": 0.5}).select("view", "split", "median_annotations")
+    return base.join(middle, ["view", "split"], "left")
+
+
 def category_counts(rows: DataFrame, tags: str, categories: list[str]) -> DataFrame:
     """(category, n) for every category, zeros kept; `tags`: an array of any number of them, a tag that repeats in a row counts once."""
     got = rows.select(F.explode(F.array_distinct(tags)).alias("category")).groupBy("category").agg(F.count("*").alias("n"))

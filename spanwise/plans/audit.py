@@ -177,6 +177,33 @@ def split_comparison(spark, sf):
     return d.select("split", "images", "annotations", *(R.r9(c).alias(c) for c in ("mean_annotations", "multi_class_percent", *(f"class_{c}_percent" for c in CLASSES), "median_area")))
 
 
+@query(f"""WITH i AS (SELECT raw_split s, coalesce(m.pairing_status = 'exact_pair', false) p, CASE WHEN annotation_count >= 0 THEN annotation_count END n, CASE WHEN class_ids LIKE '[%' THEN len(list_distinct(from_json(class_ids, '["INTEGER"]'))) ELSE 0 END k
+  FROM gyu_det_v3_baseline_v1 g LEFT JOIN manifest m USING (image_id)),
+v AS (SELECT 'raw' AS view, s, p, n, k FROM i UNION ALL SELECT 'baseline', s, p, n, k FROM i WHERE p), a AS (SELECT view, s AS split, p, n, k FROM v UNION ALL SELECT view, 'all', p, n, k FROM v)
+SELECT view, split, count(*) AS images, count(*) FILTER (p) AS exact_pairs, count(*) FILTER (NOT p) AS unlabelled, coalesce(sum(n) FILTER (p), 0)::BIGINT AS annotations, count(*) FILTER (p AND k = 1) AS one_class_images, count(*) FILTER (p AND k > 1) AS multi_class_images,
+  round(avg(n) FILTER (p), 9) AS mean_annotations, median(n) FILTER (p) AS median_annotations FROM a GROUP BY ALL""")
+def overview(spark, sf):
+    """Both views of the records: all images, and exact pairs only."""
+    g = table(spark, sf, "gyu_det_v3_baseline_v1").join(table(spark, sf, "manifest").select("image_id", "pairing_status"), "image_id", "left")
+    ids = F.when(F.startswith("class_ids", F.lit("[")), F.size(F.array_distinct(F.from_json("class_ids", "array<int>"))))
+    d = stats.overview(g, "raw_split", F.col("pairing_status") == "exact_pair", F.col("annotation_count"), ids)
+    return d.withColumn("mean_annotations", R.r9("mean_annotations"))
+
+
+_ROLLUP = {
+    "images": "true", "exact_pairs": "pairing_status = 'exact_pair'", "images_without_label": "pairing_status = 'image_without_label'", "empty_files": "file_size_bytes = 0",
+    "missing_hashes": "image_sha256 IS NULL", "missing_fingerprints": "perceptual_hash IS NULL", "missing_sizes": "width IS NULL OR height IS NULL", "small_images": "least(width, height) < 256",
+    "large_images": "greatest(width, height) > 10000", "portrait_images": "height > width", "landscape_images": "width > height", "square_images": "width = height",
+    "with_camera": "trim(camera_make) <> '' OR trim(camera_model) <> ''", "with_capture_time": "trim(exif_datetime_original) <> '' OR trim(exif_datetime) <> ''", "train_images": "lower(trim(split)) IN ('train', 'training')",
+}
+
+
+@query("WITH a AS (SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _ROLLUP.items()) + f" FROM manifest) UNPIVOT a ON {', '.join(_ROLLUP)} INTO NAME metric VALUE value")
+def inventory_rollup(spark, sf):
+    """Counts over the manifest, one to a row."""
+    return stats.rollup_metrics(table(spark, sf, "manifest"), {n: F.expr(c) for n, c in _ROLLUP.items()})
+
+
 @query("""WITH d AS (SELECT DISTINCT ON (defect_id) defect_id, review_status FROM defects), s AS (SELECT unnest(['UNREVIEWED', 'CONFIRMED', 'REJECTED', 'NEEDS_INVESTIGATION']) status)
 SELECT status, count(defect_id) AS defects FROM s LEFT JOIN (SELECT defect_id, min(review_status) r FROM defects GROUP BY defect_id) ON r = status GROUP BY status""")
 def review_counts(spark, sf):
