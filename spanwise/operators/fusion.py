@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanwise.functions.scalars import finite
 from spanwise.operators.graph import linked_groups
 from spanwise.session import cut
 
@@ -168,6 +169,21 @@ def rows_of(pdf: pd.DataFrame) -> list[dict]:
     return rows
 
 
+def usable() -> Column:
+    """Whether an observation can be fused: its ids, class, place in the order and time are known, position and confidence finite numbers."""
+    out = F.lit(True)
+    for c in ("seq", "inspection_id", "observation_id", "class_id", "ts"):
+        out = out & F.col(c).isNotNull()
+    for c in ("confidence", "x_m", "y_m", "z_m"):
+        out = out & finite(F.col(c))
+    return out
+
+
+def refused(keyed: DataFrame) -> DataFrame:
+    """The decisions on observations that can't be fused: REJECTED, of no defect."""
+    return keyed.where(~usable()).select("seq", "inspection_id", "class_id", "observation_id", F.lit("REJECTED").alias("decision"), F.lit(None).cast("string").alias("defect_id"))
+
+
 def conflicts(observations: DataFrame) -> DataFrame:
     """Observation ids of an inspection that come with different content."""
     f = observations.withColumn("fingerprint", fingerprint())
@@ -199,12 +215,13 @@ def independent_units(observations: DataFrame, radius: float) -> DataFrame:
 def fuse(observations: DataFrame, radius: float = 0.25, naming: Naming = Naming(), unit_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(decisions, defects) of observations taken in order of `seq`.
 
-    Replays are found by a shuffle first and don't enter the fold; a replay with
-    other content fails the batch. The fold runs for each inspection and class;
+    Observations that aren't `usable` are REJECTED and have no defect. Replays are
+    found by a shuffle first and don't enter the fold; a replay with other content fails the batch. The fold runs for each inspection and class;
     where some hold more than `unit_rows` observations, they are cut into independent_units,
     which changes no result: later observations depend on earlier ones of their unit only.
     """
-    keyed = observations.select(*COLUMNS).withColumn("fingerprint", fingerprint())
+    given = observations.select(*COLUMNS)
+    keyed = given.where(usable()).withColumn("fingerprint", fingerprint())
     w = Window.partitionBy("inspection_id", "observation_id")
     order = w.orderBy("seq")
     marked = keyed.withColumn("nth", F.row_number().over(order)).withColumn("same", F.min("fingerprint").over(w) == F.max("fingerprint").over(w))
@@ -224,7 +241,7 @@ def fuse(observations: DataFrame, radius: float = 0.25, naming: Naming = Naming(
     decided = cut(first.groupBy(*keys).applyInPandas(fold, "seq long, inspection_id long, class_id int, observation_id string, decision string, defect_id string"))
     replays = marked.where("nth > 1").select("seq", "inspection_id", "observation_id")
     again = replays.join(decided.select("inspection_id", "observation_id", "class_id", "defect_id"), ["inspection_id", "observation_id"]).withColumn("decision", F.lit("REPLAY"))
-    decisions = decided.unionByName(again.select(*decided.columns))
+    decisions = decided.unionByName(again.select(*decided.columns)).unionByName(refused(given).select(*(F.col(c).cast(t).alias(c) for c, t in decided.dtypes)))
     members = first.join(decided.select("inspection_id", "observation_id", "defect_id"), ["inspection_id", "observation_id"])
     return decisions, defect_table(members)
 

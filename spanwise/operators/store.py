@@ -126,6 +126,6 @@ def fused_records(decisions: DataFrame, defects: DataFrame, observations: DataFr
     """(defect records, evidence rows) of a fusion: machine fields of each defect, and one piece of evidence for each observation that was no replay."""
     name = F.element_at(F.create_map(*(F.lit(x) for pair in classes.items() for x in pair)), F.col("class_id"))
     records = defects.select("defect_id", "inspection_id", "track_id", name.alias("class_name"), "confidence", "x_m", "y_m", "z_m", F.lit("map").alias("coordinate_frame"), "observation_count", "first_seen", "last_seen", F.lit("UNREVIEWED").alias("review_status"))
-    new = decisions.where("decision <> 'REPLAY'").select("seq", "inspection_id", "observation_id", "defect_id")
-    proof = new.join(observations.select("seq", "inspection_id", "observation_id", "confidence", "ts"), ["seq", "inspection_id", "observation_id"])
+    new = decisions.where("decision in ('CREATED', 'ASSOCIATED')").select("seq", "inspection_id", "observation_id", "defect_id")
+    proof = new.join(observations.select("seq", "inspection_id", "observation_id", "confidence", "ts").dropDuplicates(["seq", "inspection_id", "observation_id"]), ["seq", "inspection_id", "observation_id"])
     return records, proof.select("defect_id", F.col("observation_id").alias("frame_id"), F.col("ts").alias("timestamp"), "confidence")

@@ -415,7 +415,8 @@ def fusion_disagreements(spark, sf):
     """Fused defects that don't agree with their observations; none may come out."""
     o = R.observations(spark, sf)
     decisions, defects = fusion.fuse(o)
-    members = o.join(decisions.where("decision <> 'REPLAY'").select("seq", "inspection_id", "observation_id", "defect_id"), ["seq", "inspection_id", "observation_id"])
+    new = decisions.where("decision in ('CREATED', 'ASSOCIATED')").select("seq", "inspection_id", "observation_id", "defect_id")
+    members = o.dropDuplicates(["seq", "inspection_id", "observation_id"]).join(new, ["seq", "inspection_id", "observation_id"])
     return validate.aggregate_issues(defects, members).select(F.lit(0).alias("x"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from spanwise.operators.fusion import COLUMNS, Defect, Naming, State, fingerprint, rows_of
+from spanwise.operators.fusion import COLUMNS, Defect, Naming, State, fingerprint, refused, rows_of, usable
 
 _OUT = "seq long, inspection_id long, class_id int, observation_id string, decision string, defect_id string"
 
@@ -88,10 +88,12 @@ def fuse_stream(observations: DataFrame, radius: float = 0.25, naming: Naming =
     State lives by inspection and class in map states and survives restarts through the
     query's checkpoint; a batch reads and writes what its observations touch. It
     needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
-    Nothing is late: stamps only move first and last seen. Equal replays are told REPLAY; others fail the query.
+    Nothing is late: stamps only move first and last seen. Equal replays are told REPLAY; others fail the query. Observations that can't be fused are REJECTED.
     """
-    keyed = observations.select(*COLUMNS).withColumn("fingerprint", fingerprint())
-    return keyed.groupBy("inspection_id", "class_id").transformWithStateInPandas(Fusion(radius, naming), _OUT, "append", "None")
+    given = observations.select(*COLUMNS)
+    keyed = given.where(usable()).withColumn("fingerprint", fingerprint())
+    fused = keyed.groupBy("inspection_id", "class_id").transformWithStateInPandas(Fusion(radius, naming), _OUT, "append", "None")
+    return fused.unionByName(refused(given).select(*(F.col(c).cast(t).alias(c) for c, t in fused.dtypes)))
 
 
 def synchronise(requests: DataFrame, depth: DataFrame, info: DataFrame, key: str = "stamp", time: str = "ts", bound_seconds: int = 5) -> DataFrame:

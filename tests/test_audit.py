@@ -362,7 +362,8 @@ def test_streams_synchronise_with_bounded_state(spark, tmp_path):
 def test_stream_restart_keeps_state(spark, tmp_path):
     t0 = datetime(2026, 9, 16)
     kind = "seq long, inspection_id long, observation_id string, class_id int, track_id string, confidence double, x_m double, y_m double, z_m double, ts timestamp"
-    obs = spark.createDataFrame([(s, 1, f"o{s}", 0, "t", 0.5, 0.1 * s, 0.0, 0.0, t0) for s in range(4)], kind)
+    bad = [(8, 1, "n", 0, None, 0.5, float("nan"), 0.0, 0.0, t0), (9, None, None, None, None, None, None, None, None, None)]
+    obs = spark.createDataFrame([(s, 1, f"o{s}", 0, "t", 0.5, 0.1 * s, 0.0, 0.0, t0) for s in range(4)] + bad, kind).where("seq >= 0")
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in ("seq < 2", "seq >= 2"):
         obs.where(part).coalesce(1).write.mode("append").parquet(src)
@@ -371,7 +372,7 @@ def test_stream_restart_keeps_state(spark, tmp_path):
         q.stop()
     got = {r.observation_id: r.decision for r in spark.read.parquet(out).collect()}
     assert got == {r.observation_id: r.decision for r in U.fuse(obs)[0].collect()}
-    assert rows(FS.outcome_counts(spark.read.parquet(out))) == {("CREATED", 1), ("ASSOCIATED", 3)}
+    assert rows(FS.outcome_counts(spark.read.parquet(out))) == {("CREATED", 1), ("ASSOCIATED", 3), ("REJECTED", 2)}
     ticks = spark.createDataFrame([("a", 5, "x"), ("a", 9, "y"), ("a", 31, "z")], "k string, t long, v string")
     assert rows(FS.sampled(ticks, "k", "t", 10)) == {("a", 5, "x"), ("a", 31, "z")}
 
