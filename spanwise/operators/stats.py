@@ -45,12 +45,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
 
     Equal values are counted first; their buckets (see magnitude_bucket) are
     counted and added up, which tells the bucket that holds each wanted rank; only those
-    buckets are looked into. Keys are not null; null values are left out, and a
+    buckets are looked into. Rows with a null key and null values are left out; a
     group of nulls only has count 0 and nulls; no rows give no row.
     """
     v = F.col(value).cast("double")
     # This shuffle is read twice, by the sums of buckets and by the look into some of them.
-    counts = df.groupBy(*keys, v.alias("__v")).agg(F.count("*").alias("__c")).withColumn("__bucket", magnitude_bucket(F.col("__v"), per_factor))
+    # Both readers ask for the same rows (no filter on one side only), or it couldn't be reused.
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    bucket = F.coalesce(magnitude_bucket(F.col("__v"), per_factor), F.lit(-(1 << 62)))
+    counts = df.groupBy(*keys, v.alias("__v")).agg(F.count("*").alias("__c")).withColumn("__bucket", bucket)
     some = F.col("__v").isNotNull()
     part = counts.groupBy(*keys, "__bucket").agg(F.sum(F.when(some, F.col("__c")).otherwise(0)).alias("__c"), F.sum(F.col("__v") * F.col("__c")).alias("__s"), F.sum(F.col("__v") * F.col("__v") * F.col("__c")).alias("__ss"), F.min("__v").alias("__low"), F.max("__v").alias("__top"))
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first())
@@ -65,7 +69,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
     here = F.filter(F.array(*ends), lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__before") + F.col("__c")))
     # The first bucket of a group goes on in any case, with what describes the group.
     held = ranked.withColumn("__ends", here).where((F.size("__ends") > 0) | (F.col("__k") == 1))
-    inside = counts.where(some).select(*keys, "__bucket", F.struct(F.col("__v").alias("v"), F.col("__c").alias("vc")).alias("__x"))
+    inside = counts.select(*keys, "__bucket", F.struct(F.col("__v").alias("v"), F.when(some, F.col("__c")).otherwise(0).alias("vc")).alias("__x"))
     upto = F.sum("__x.vc").over(Window.partitionBy(*keys, "__bucket").orderBy("__x.v").rowsBetween(Window.unboundedPreceding, 0))
     met = held.join(inside, [*keys, "__bucket"], "left").withColumn("__upto", F.col("__before") + upto)
     found = F.filter("__ends", lambda r: (r["rank"] < F.col("__upto")) & (r["rank"] >= F.col("__upto") - F.col("__x.vc")))
