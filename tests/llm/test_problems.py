@@ -124,6 +124,21 @@ def test_weighted_vote_of_all_values(spark):
     assert survivors.consensus_survivors(long.limit(0), order, F.col("w")).count() == 0
 
 
+def test_ranked_survivors_hold_no_vote(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{rng.integers(40)}", f"f{rng.integers(3)}", "/".join(rng.choice(list("abc"), 4)), i, int(rng.integers(5))) for i in range(2000)]
+    long = spark.createDataFrame(rows, "group_id string, field_name string, value string, record_id long, age int")
+    order = [F.col("age").desc(), F.col("record_id").asc()]
+    first = {}
+    for g, f, v, i, a in sorted(rows, key=lambda r: (-r[4], r[3])):
+        first.setdefault((g, f), (v, i))
+    got = survivors.ranked_survivors(long, order)
+    assert {(r.group_id, r.field_name): (r.value, r.record_id) for r in got.collect()} == first and got.columns == long.columns[:4]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()  # a vote that the order has decided isn't held
+    raw = long.withColumn("value", F.unhex(F.concat(F.lit("FF"), F.hex("value"))).cast("string"))  # bytes that are no text pass through
+    assert {(r[0], r[1]): r[2] for r in survivors.ranked_survivors(raw, order).select("group_id", "field_name", F.hex("value")).collect()} == {k: "FF" + v.encode().hex().upper() for k, (v, _) in first.items()}
+
+
 def test_consensus_of_a_large_group(spark):
     rng = np.random.default_rng(8)
     rows = []
